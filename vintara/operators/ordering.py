@@ -139,6 +139,21 @@ class Timeline:
         filled = {n: F.when(last, F.col(f"_edge.{n}")).otherwise(c) for n, c in local.items()}
         return self.with_rows(rows.withColumns(filled).drop("_edge"))
 
+    def first(self, **names: str) -> Timeline:
+        """``name=column`` adds the column's value in the subject's first row."""
+        local = {n: F.first_value(c).over(self._so_far) for n, c in names.items()}
+        if not self.sliced:
+            return self.with_columns(local)
+        values = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+        opening = self._neighbour.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = self._carried(
+            {"_edge": F.min_by(values, self._order_key())},
+            {"_edge": F.first_value("_edge").over(opening)},
+        )
+        hot = F.col(SLICE) != WHOLE_SUBJECT
+        filled = {n: F.when(hot, F.col(f"_edge.{n}")).otherwise(c) for n, c in local.items()}
+        return self.with_rows(rows.withColumns(filled).drop("_edge"))
+
     def running_sum(self, **terms: Column) -> Timeline:
         """Inclusive running totals; integral terms give exact counters."""
         local = {n: F.sum(c).over(self._so_far) for n, c in terms.items()}

@@ -82,10 +82,15 @@ def loan_months(spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS) -> D
     placed = placed.withColumns(
         {"loan_identifier": F.col("l_orderkey"), "origination_vintage": F.year("o_orderdate")}
     )
-    story = Timeline.of(placed, LOAN, LINE_ORDER, hot)
-    story = story.number("seq").whole(months=F.count(F.lit(1)))
-    jump = (F.col("l_quantity") >= 49) & (F.col("seq") > 1)
-    rows = story.running_sum(jumps=F.when(jump, 1).otherwise(0)).rows
+    placed = placed.withColumn("_large", F.when(F.col("l_quantity") >= 49, 1).otherwise(0))
+    # One ordered window: position, gap counter, opening line and next line together.
+    story = (
+        Timeline.of(placed, LOAN, LINE_ORDER, hot)
+        .running_sum(seq=F.lit(1).cast("long"), _larges=F.col("_large"))
+        .first(_opening="_large")
+        .lead(_next="l_orderkey")
+    )
+    rows = story.rows.withColumn("jumps", F.col("_larges") - F.col("_opening"))
 
     seq, key = F.col("seq"), F.col("loan_identifier")
     late = F.when(key % 6 == 0, 2).otherwise(0)
@@ -96,7 +101,7 @@ def loan_months(spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS) -> D
     )
     status, returned = F.col("o_orderstatus"), F.col("l_returnflag")
     code = F.when(
-        seq == F.col("months"),
+        F.col("_next").isNull(),
         F.when((status == "F") & (returned == "A"), "03")
         .when((status == "O") & (F.col("l_linestatus") == "O"), "01")
         .when((status == "P") & (returned == "N") & (F.col("l_linestatus") == "F"), "16"),

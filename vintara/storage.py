@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,3 +49,9 @@ def staged(frame: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def small_side(frame: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Materialise a join side and broadcast it only if its row count allows."""
+    kept = durable(frame)
+    return F.broadcast(kept) if kept.count() <= limit else kept
