@@ -159,19 +159,46 @@ def economics_cells(settings: Settings) -> list[tuple[float, float]]:
     return [(g, s) for g in settings.sensitivity_lgds for s in settings.sensitivity_spreads]
 
 
-def portfolio_npv(
-    paths: DataFrame, settings: Settings, cells: list[tuple[float, float]] | None = None
-) -> DataFrame:
-    """Portfolio value per variant and economics cell, with the change against raw.
+def _cell_array(scope: str, grid: list[tuple[float, float]]) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(scope).alias("scope"), F.lit(float(g)).alias("lgd"),
+                F.lit(float(s)).alias("discount_spread_bps"),
+            )
+            for g, s in grid
+        ]
+    )
 
-    Only totals are needed, so month rows are summed directly (map-side combine)
-    without a per-loan stage. Cells are an inline array of fixed length.
+
+def scope_cells(settings: Settings) -> Column:
+    """The (scope, severity, spread) cells a path row takes part in.
+
+    headline: every loan, all variants but the sequential one, at the configured
+    economics. sequential: later test cohorts, all variants. sensitivity: the hash
+    sample of those, over the economics grid.
     """
-    grid = cells or [(settings.lgd, settings.spread_bps)]
-    literal = F.array(
-        *[F.struct(F.lit(float(g)).alias("lgd"), F.lit(float(s)).alias("discount_spread_bps"))
-          for g, s in grid]
+    configured = [(settings.lgd, settings.spread_bps)]
+    later = F.col("origination_vintage").isin(*settings.test_cohorts[1:])
+    sampled = in_share(F.col("loan_identifier"), settings.sensitivity_share, settings.holdout_seed)
+
+    def only(condition: Column, cells: Column) -> Column:
+        return F.when(condition, cells).otherwise(F.slice(cells, 1, 0))
+
+    return F.concat(
+        only(F.col("variant") != "sequential", _cell_array("headline", configured)),
+        only(later, _cell_array("sequential", configured)),
+        only(later & sampled, _cell_array("sensitivity", economics_cells(settings))),
     )
+
+
+def portfolio_npv(paths: DataFrame, settings: Settings, cells: Column | None = None) -> DataFrame:
+    """Portfolio value per variant, scope and economics cell, with the change against raw.
+
+    Only totals are needed, so month rows are summed directly (map-side combine)
+    without a per-loan stage. All scopes and cells come from one pass over the paths.
+    """
+    literal = _cell_array("headline", [(settings.lgd, settings.spread_bps)]) if cells is None else cells
     shifted = F.col("discount_rate") + (F.col("discount_spread_bps") - settings.spread_bps) / 10_000.0
     rows = paths.select("*", F.inline(literal))
     legs = monthly_legs(settings, lgd=F.col("lgd"), discount_rate=shifted)
@@ -179,7 +206,8 @@ def portfolio_npv(
     total = {leg: F.sum(legs[leg]) for leg in LEGS if leg != "terminal_leg"}
     total["terminal_leg"] = F.sum(F.when(last, legs["ending_balance"]))
     total["principal"] = F.sum(F.when(first, F.col("original_upb")))
-    sums = rows.groupBy("variant", "lgd", "discount_spread_bps").agg(
+    cell = ["scope", "lgd", "discount_spread_bps"]
+    sums = rows.groupBy("variant", *cell).agg(
         F.count_if(first).alias("loans"), *[c.alias(n) for n, c in total.items()]
     )
     npv = -F.col("principal")
@@ -191,7 +219,6 @@ def portfolio_npv(
             "npv_per_dollar": F.try_divide("npv_total", "principal"),
         }
     )
-    cell = ["lgd", "discount_spread_bps"]
     raw = table.where("variant = 'raw'").select(*cell, F.col("npv_per_loan").alias("_raw"))
     # Variants x cells rows: a handful.
     return table.join(F.broadcast(raw), cell, "left").withColumns(
@@ -210,7 +237,7 @@ def sensitivity_sample(loans: DataFrame, settings: Settings) -> DataFrame:
 
 def sensitivity_band(grid: DataFrame) -> DataFrame:
     """Smallest, middle and largest change per variant and severity over the spreads."""
-    return grid.where("variant <> 'raw'").groupBy("variant", "lgd").agg(
+    return grid.where("variant <> 'raw' AND scope = 'sensitivity'").groupBy("variant", "lgd").agg(
         F.min("delta_vs_raw").alias("low"),
         F.median("delta_vs_raw").alias("middle"),
         F.max("delta_vs_raw").alias("high"),

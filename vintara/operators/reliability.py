@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintara.functions.scalars import in_share
 from vintara.operators.quantiles import (
     distinct_edges, even_steps, exact_quantiles, left_closed_bin,
 )
@@ -50,6 +51,41 @@ def require_probabilities(rows: DataFrame, need_events: bool = False) -> None:
         raise ProbabilityError("no events in the calibration sample")
 
 
+def calibration_rows(
+    scored: DataFrame, variants: dict[str, str], settings: Settings, sequential: str | None = None
+) -> DataFrame:
+    """Scored panel rows as (population, variant, predicted, observed).
+
+    ``variants`` maps a variant to its probability column and includes ``raw``;
+    ``sequential`` names the column recalibrated on the first test cohort, which is
+    scored on the later ones. One pass; a row appears once per population it is in.
+    """
+    cohort = F.col("origination_vintage")
+    held = in_share(F.col("loan_identifier"), settings.holdout_share, settings.holdout_seed)
+    population = F.when(
+        cohort.isin(*settings.train_cohorts), F.when(held, HOLDOUT).otherwise(TRAIN)
+    ).when(cohort.isin(*settings.test_cohorts), TEST)
+
+    def entry(where: Column, variant: str, column: str) -> Column:
+        return F.struct(
+            where.alias("population"), F.lit(variant).alias("variant"),
+            F.col(column).alias("predicted"),
+        )
+
+    entries = F.array(*[entry(population, v, c) for v, c in variants.items()])
+    first, *later = settings.test_cohorts
+    if sequential and later:
+        label = F.lit(f"test {', '.join(map(str, later))} (sequential)")
+        extra = F.array(
+            entry(label, "raw", variants["raw"]), entry(label, f"platt fitted on {first}", sequential)
+        )
+        entries = F.concat(entries, F.when(cohort.isin(*later), extra).otherwise(F.slice(extra, 1, 0)))
+    return scored.select(
+        "origination_vintage", "loan_identifier", F.col("default_event").cast("double").alias("observed"),
+        F.inline(entries),
+    ).where(F.col("population").isNotNull())
+
+
 def bin_edges(rows: DataFrame, groups: Sequence[str], bins: int, strategy: str) -> DataFrame:
     """Ascending distinct edges per group, as an array column ``edges``."""
     groups = list(groups)

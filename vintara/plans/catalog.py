@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("panel", "economics")
+GROUPS = ("sources", "panel", "economics", "models", "calibration")
 
 
 def queries() -> dict:

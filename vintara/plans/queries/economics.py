@@ -114,7 +114,6 @@ def valued_months(spark, folder):
 def monthly_flows(spark, folder):
     months = realised.valued_months(realised.month_steps(loan_months(spark, folder)), S)
     flows = realised.monthly_flows(months, rates_of(spark, folder), S)
-    flows = rounded(flows, 8, "interest", "principal", "servicing", "loss")
     return rounded(flows, 9, "discount").select(
         "loan_identifier", "month_index", "discount", "interest", "principal", "servicing", "loss"
     )
