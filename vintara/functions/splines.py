@@ -1,4 +1,4 @@
-"""B-spline bases as piecewise polynomials in native columns.
+"""B-spline bases as piecewise polynomials in native expressions.
 
 The polynomial pieces of every basis function are worked out once from the knots.
 A row then needs one interval test and a cubic, and a whole fitted spline effect
@@ -12,8 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from numpy.polynomial import polynomial as P
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -80,22 +78,23 @@ class Spline:
         tail = (float(base[-1]), np.stack([value, slope], axis=1))
         return [(float(base[0]), first), *inner, tail]
 
-    def _choose(self, x: Column, polynomials: list[Column]) -> Column:
+    def _choose(self, x: str, polynomials: list[str]) -> str:
         """Pick the piece holding ``x``: left tail, [k, k+1) ..., last closed, right tail."""
-        chosen = F.when(x < self.knots[0], polynomials[0])
+        cases = [f"WHEN {x} < {number(self.knots[0])} THEN {polynomials[0]}"]
         for upper, poly in zip(self.knots[1:-1], polynomials[1:-2]):
-            chosen = chosen.when(x < upper, poly)
-        return chosen.when(x <= self.knots[-1], polynomials[-2]).otherwise(polynomials[-1])
+            cases.append(f"WHEN {x} < {number(upper)} THEN {poly}")
+        cases.append(f"WHEN {x} <= {number(self.knots[-1])} THEN {polynomials[-2]}")
+        return f"CASE {' '.join(cases)} ELSE {polynomials[-1]} END"
 
-    def columns(self, x: Column) -> list[Column]:
-        """The design columns of this basis."""
+    def columns(self, x: str) -> list[str]:
+        """The design columns of this basis, as SQL expressions of ``x``."""
         pieces = self.pieces()
         return [
             self._choose(x, [_polynomial(x, a, table[j]) for a, table in pieces])
             for j in range(self.size)
         ]
 
-    def effect(self, x: Column, weights: Sequence[float]) -> Column:
+    def effect(self, x: str, weights: Sequence[float]) -> str:
         """The weighted sum of the design columns as one polynomial per interval."""
         w = np.asarray(weights, dtype=float)
         return self._choose(
@@ -103,12 +102,17 @@ class Spline:
         )
 
 
-def _polynomial(x: Column, anchor: float, coefficients: np.ndarray) -> Column:
+def number(value: float) -> str:
+    """A double literal."""
+    return f"({float(value)!r}D)"
+
+
+def _polynomial(x: str, anchor: float, coefficients: np.ndarray) -> str:
     """Horner form; leading zeros are left out."""
     used = list(coefficients)
     while len(used) > 1 and used[-1] == 0.0:
         used.pop()
-    out = F.lit(float(used[-1]))
+    out = number(used[-1])
     for c in reversed(used[:-1]):
-        out = out * (x - anchor) + float(c)
+        out = f"({out} * ({x} - {number(anchor)}) + {number(c)})"
     return out

@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 
 from vintara.functions.scalars import defaulted_by, resolved_by
 from vintara.operators.design import fit_spec
-from vintara.operators.hazard import LogitModel, design_matrix, fit_logit
+from vintara.operators.hazard import (
+    LogitModel, NothingToFit, design_matrix, fit_logit, varying_columns,
+)
 from vintara.settings import Settings
 
 TARGET = "defaulted_within"
 
 
-class NothingToFit(ValueError):
-    """The sample holds no event."""
-
-
 @dataclass(frozen=True)
 class BinaryModel:
     logit: LogitModel
@@ -49,7 +47,7 @@ def fit_binary(loans: DataFrame, settings: Settings) -> BinaryModel:
     matrix = design_matrix(usable, spec, {TARGET: F.col(TARGET)})
     matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        logit = fit_logit(matrix, TARGET, spec, settings, counts["rows"])
+        logit = fit_logit(matrix, TARGET, spec, settings, *varying_columns(matrix))
     finally:
         matrix.unpersist()
     return BinaryModel(logit, settings.binary_window, counts["unresolved"])

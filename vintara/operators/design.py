@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintara.functions.splines import Spline
+from vintara.functions.splines import Spline, number
 from vintara.operators.quantiles import even_steps, exact_quantiles
 from vintara.settings import Settings
 
@@ -41,28 +41,36 @@ class DesignSpec:
 
     def columns(self) -> list[Column]:
         """Design columns in the order of ``names``."""
-        return [column for _, column in self._features()]
+        return [F.expr(text) for _, text in self._features()]
+
+    def _features(self) -> list[tuple[str, str]]:
+        """(name, SQL expression) pairs; text keeps wide designs cheap to build."""
+        out: list[tuple[str, str]] = []
+
+        def flag(name: str, condition: str) -> None:
+            out.append((name, f"CASE WHEN {condition} THEN 1.0D ELSE 0.0D END"))
 
-    def _features(self) -> list[tuple[str, Column]]:
-        out: list[tuple[str, Column]] = []
         if self.age:
-            basis = self.age.columns(F.col(AGE).cast("double"))
+            basis = self.age.columns(_AGE_TEXT)
             out += [(f"age_spline_{i}", c) for i, c in enumerate(basis)]
         for name, spline in self.splines.items():
             basis = spline.columns(self._filled(name))
             out += [(f"{name}_spline_{i}", c) for i, c in enumerate(basis)]
-            out.append((f"{name}_is_missing", _flag(F.col(name).isNull())))
+            flag(f"{name}_is_missing", f"{value_text(name)} IS NULL")
         for name, (mean, deviation) in self.linear.items():
-            out.append((f"lin_{name}", (self._filled(name) - mean) / deviation))
-            out.append((f"{name}_is_missing", _flag(raw_value(name).isNull())))
+            scaled = f"({self._filled(name)} - {number(mean)}) / {number(deviation)}"
+            out.append((f"lin_{name}", scaled))
+            flag(f"{name}_is_missing", f"{value_text(name)} IS NULL")
         for name, levels in self.levels.items():
-            value = level_of(name)
-            out += [(f"cat_{name}={v}", _flag(value == v)) for v in levels[1:]]
-            out.append((f"cat_{name}={OTHER}", _flag(~value.isin(*levels))))
+            value = level_text(name)
+            for level in levels[1:]:
+                flag(f"cat_{name}={level}", f"{value} = {quoted(level)}")
+            known = ", ".join(quoted(v) for v in levels)
+            flag(f"cat_{name}={OTHER}", f"{value} NOT IN ({known})")
         return out
 
-    def _filled(self, name: str) -> Column:
-        return F.coalesce(raw_value(name), F.lit(self.medians[name]))
+    def _filled(self, name: str) -> str:
+        return f"coalesce({value_text(name)}, {number(self.medians[name])})"
 
     def effects(self, coefficients: Sequence[float]) -> tuple[Column, Column]:
         """The linear predictor as (loan part, age part), without the intercept.
@@ -78,24 +86,27 @@ class DesignSpec:
             taken, weights[:] = weights[:count], weights[count:]
             return taken
 
-        age = F.lit(0.0)
+        age, loan = "0.0D", ["0.0D"]
         if self.age:
-            age = self.age.effect(F.col(AGE).cast("double"), take(self.age.size))
-        loan = F.lit(0.0)
+            age = self.age.effect(_AGE_TEXT, take(self.age.size))
+
+        def gap(name: str) -> None:
+            loan.append(f"CASE WHEN {value_text(name)} IS NULL THEN {number(take(1)[0])} ELSE 0.0D END")
+
         for name, spline in self.splines.items():
-            loan = loan + spline.effect(self._filled(name), take(spline.size))
-            loan = loan + F.when(F.col(name).isNull(), take(1)[0]).otherwise(0.0)
+            loan.append(spline.effect(self._filled(name), take(spline.size)))
+            gap(name)
         for name, (mean, deviation) in self.linear.items():
-            slope, gap = take(2)
-            loan = loan + (self._filled(name) - mean) / deviation * slope
-            loan = loan + F.when(raw_value(name).isNull(), gap).otherwise(0.0)
+            slope = number(take(1)[0])
+            loan.append(f"({self._filled(name)} - {number(mean)}) / {number(deviation)} * {slope}")
+            gap(name)
         for name, levels in self.levels.items():
-            value, kept, other = level_of(name), take(len(levels) - 1), take(1)[0]
-            chosen = F.when(value == levels[0], 0.0)
-            for level, weight in zip(levels[1:], kept):
-                chosen = chosen.when(value == level, weight)
-            loan = loan + chosen.otherwise(other)
-        return loan, age
+            kept, other = take(len(levels) - 1), take(1)[0]
+            cases = " ".join(
+                f"WHEN {quoted(v)} THEN {number(w)}" for v, w in zip(levels, [0.0, *kept])
+            )
+            loan.append(f"CASE {level_text(name)} {cases} ELSE {number(other)} END")
+        return F.expr(" + ".join(f"({part})" for part in loan)), F.expr(age)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -114,23 +125,35 @@ class DesignSpec:
         )
 
 
-def _flag(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("double")
+_AGE_TEXT = f"CAST({AGE} AS DOUBLE)"
 
 
-def raw_value(name: str) -> Column:
-    """A numeric model column; the log of the loan size is derived."""
+def quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def value_text(name: str) -> str:
+    """A numeric model column as SQL; the log of the loan size is derived."""
     if name == LOG_UPB:
-        return F.ln(F.greatest(F.col("original_upb"), F.when(F.col("original_upb").isNotNull(), 1.0)))
-    return F.col(name).cast("double")
+        return "ln(greatest(original_upb, CASE WHEN original_upb IS NOT NULL THEN 1.0D END))"
+    return f"CAST({name} AS DOUBLE)"
+
+
+def raw_value(name: str) -> Column:
+    return F.expr(value_text(name))
 
 
 def source_of(name: str) -> str:
     return "original_upb" if name == LOG_UPB else name
 
 
+def level_text(name: str) -> str:
+    return f"coalesce(CAST({name} AS STRING), {quoted(MISSING)})"
+
+
 def level_of(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
+    return F.expr(level_text(name))
 
 
 def model_columns(settings: Settings) -> list[str]:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import (
+    GeneralizedLinearRegression, IsotonicRegression, IsotonicRegressionModel,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import logit, sigmoid
+from vintara.operators.hazard import IRLS_CAP
 from vintara.operators.reliability import require_probabilities
 from vintara.settings import Settings
 
@@ -79,9 +81,10 @@ def fit_platt(rows: DataFrame, settings: Settings) -> Platt:
         array_to_vector(F.array(logit(F.col("predicted")))).alias("features"), "observed", "weight"
     ).persist()
     try:
-        model = LogisticRegression(
-            featuresCol="features", labelCol="observed", weightCol="weight", regParam=0.0,
-            tol=settings.tolerance, maxIter=settings.max_iterations,
+        model = GeneralizedLinearRegression(
+            family="binomial", link="logit", featuresCol="features", labelCol="observed",
+            weightCol="weight", regParam=0.0, tol=settings.tolerance,
+            maxIter=min(settings.max_iterations, IRLS_CAP),
         ).fit(points)
     finally:
         points.unpersist()

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.operators.hazard import EVENTS, design_matrix, fit_logit
+from vintara.operators.hazard import EVENTS, design_matrix, fit_logit, varying_columns
 from vintara.operators.design import fit_spec, loans_with_months
 from vintara.settings import Settings
 
@@ -24,7 +24,7 @@ def knot_study(
         spec = fit_spec(loans_with_months(panel), candidate)
         matrix = design_matrix(panel, spec, {event: F.col(event)}).persist()
         try:
-            fitted = fit_logit(matrix, event, spec, candidate, matrix.count())
+            fitted = fit_logit(matrix, event, spec, candidate, *varying_columns(matrix))
         finally:
             matrix.unpersist()
         p, y = F.col("_p"), F.col(event)

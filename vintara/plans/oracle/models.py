@@ -45,8 +45,9 @@ def spline_basis(x: str, knots: tuple[float, ...], degree: int = 3) -> list[str]
 
     def b(j: int, d: int) -> str:
         if d == 0:
+            start = ">" if t[j] == knots[-1] else ">="
             end = "<=" if t[j + 1] == knots[-1] else "<"
-            return f"(CASE WHEN {x} >= {t[j]}::DOUBLE AND {x} {end} {t[j + 1]}::DOUBLE THEN 1e0 ELSE 0e0 END)"
+            return f"(CASE WHEN {x} {start} {t[j]}::DOUBLE AND {x} {end} {t[j + 1]}::DOUBLE THEN 1e0 ELSE 0e0 END)"
         return (
             f"(({x} - {t[j]}::DOUBLE) / {t[j + d] - t[j]}::DOUBLE * {b(j, d - 1)} + "
             f"({t[j + d + 1]}::DOUBLE - {x}) / {t[j + d + 1] - t[j + 1]}::DOUBLE * {b(j + 1, d - 1)})"

@@ -54,15 +54,14 @@ def level_shares(spark, folder):
 
 def age_basis(spark, folder):
     rows = panel_of(spark, folder).select("loan_age").distinct()
-    basis = AGE_SPLINE.columns(F.col("loan_age").cast("double"))
-    return rows.select("loan_age", *[F.round(c, 9).alias(f"b{i}") for i, c in enumerate(basis)])
+    basis = AGE_SPLINE.columns("CAST(loan_age AS DOUBLE)")
+    return rows.select("loan_age", *[F.round(F.expr(c), 9).alias(f"b{i}") for i, c in enumerate(basis)])
 
 
 def fico_basis(spark, folder):
-    x = F.col("classic_fico").cast("double")
-    basis = Spline(FICO_KNOTS).columns(x)
-    return training_loans(spark, folder).where(x.isNotNull()).select(
-        "loan_identifier", *[F.round(c, 9).alias(f"b{i}") for i, c in enumerate(basis)]
+    basis = Spline(FICO_KNOTS).columns("CAST(classic_fico AS DOUBLE)")
+    return training_loans(spark, folder).where("classic_fico IS NOT NULL").select(
+        "loan_identifier", *[F.round(F.expr(c), 9).alias(f"b{i}") for i, c in enumerate(basis)]
     )
 
 
