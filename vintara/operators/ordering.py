@@ -63,9 +63,11 @@ class Timeline:
         if not hot or SLICE in rows.columns:
             return cls(rows, keys, order)
         is_hot = F.col(hot_column or keys[-1]).isin(list(hot))
+        # A fixed count keeps adaptive execution from merging the slices again.
+        slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         split = durable(
             rows.where(is_hot)
-            .repartitionByRange(*keys, *order)
+            .repartitionByRange(slices, *keys, *order)
             .withColumn(SLICE, F.spark_partition_id())
         )
         whole = rows.where(~F.coalesce(is_hot, F.lit(False))).withColumn(SLICE, F.lit(WHOLE_SUBJECT))

@@ -35,6 +35,15 @@ def exact_quantiles(
         .groupBy(*groups, F.col(value).cast("double").alias("_v"))
         .agg(F.sum(times).alias("_n"))
     )
+    return counted_quantiles(counts, groups, probabilities, window_rows)
+
+
+def counted_quantiles(
+    counts: DataFrame, groups: Sequence[str], probabilities: Sequence[float],
+    window_rows: int = WINDOW_ROWS,
+) -> DataFrame:
+    """``exact_quantiles`` of materialised counts ``_n`` per group and distinct value ``_v``."""
+    groups = list(groups)
     if counts.count() <= window_rows:
         here = Window.partitionBy(*groups).orderBy("_v")
         running = counts.withColumn(

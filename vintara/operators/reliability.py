@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from vintara.functions.scalars import in_share
 from vintara.operators.quantiles import (
-    distinct_edges, even_steps, exact_quantiles, left_closed_bin,
+    counted_quantiles, distinct_edges, even_steps, left_closed_bin,
 )
 from vintara.settings import Settings
-from vintara.storage import small_side
+from vintara.storage import durable, small_side
 
 # Labels of the scored populations.
 TRAIN, HOLDOUT, TEST = "train (in-sample)", "holdout (in-time)", "test (out-of-time)"
@@ -86,18 +86,34 @@ def calibration_rows(
     ).where(F.col("population").isNotNull())
 
 
-def bin_edges(rows: DataFrame, groups: Sequence[str], bins: int, strategy: str) -> DataFrame:
+def tally(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Row and event counts per group and distinct prediction, materialised.
+
+    The only pass over the scored rows: edges, bins and every score follow from it.
+    """
+    return durable(
+        rows.groupBy(*groups, F.col("predicted").cast("double").alias("_v")).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum(F.col("observed").cast("double")).alias("_y")
+        )
+    )
+
+
+def tally_edges(counts: DataFrame, groups: Sequence[str], bins: int, strategy: str) -> DataFrame:
     """Ascending distinct edges per group, as an array column ``edges``."""
     groups = list(groups)
     if strategy == "uniform":
         steps = F.array(*[F.lit(s) for s in even_steps(bins)])
-        return rows.select(*groups).distinct().withColumn("edges", steps)
-    quantiles = exact_quantiles(rows, groups, "predicted", even_steps(bins))
+        return counts.select(*groups).distinct().withColumn("edges", steps)
+    quantiles = counted_quantiles(counts, groups, even_steps(bins))
     edges = quantiles.select(*groups, distinct_edges(F.col("quantiles")).alias("edges"))
     one = F.get("edges", F.lit(0))
     return edges.withColumn("edges", F.when(F.size("edges") < 2, F.array(one, one)).otherwise(F.col("edges")))
 
 
+def bin_edges(rows: DataFrame, groups: Sequence[str], bins: int, strategy: str) -> DataFrame:
+    return tally_edges(tally(rows, groups), groups, bins, strategy)
+
+
 def reliability_parts(
     rows: DataFrame, groups: Sequence[str], bins: int, strategy: str = "quantile"
 ) -> DataFrame:
@@ -106,24 +122,30 @@ def reliability_parts(
     ``groups`` names at least one label column.
     """
     groups = list(groups)
+    counts = tally(rows, groups)
     # One row per population: broadcast behind a row-count check, so populations
     # of very different size never meet in a keyed shuffle.
-    edges = small_side(bin_edges(rows, groups, bins, strategy))
-    placed = rows.join(edges, groups)
-    p, y = F.col("predicted"), F.col("observed").cast("double")
+    edges = small_side(tally_edges(counts, groups, bins, strategy))
+    p, n, y = F.col("_v"), F.col("_n"), F.col("_y")
     table = (
-        placed.withColumn("bin", left_closed_bin(p, F.col("edges"), bins + 1))
+        counts.join(edges, groups)
+        .withColumn("bin", left_closed_bin(p, F.col("edges"), bins + 1))
         .groupBy(*groups, "bin")
         .agg(
-            F.count(F.lit(1)).alias("rows"),
+            F.sum(n).alias("rows"),
             F.sum(y).cast("bigint").alias("events"),
-            F.avg(p).alias("mean_predicted"),
-            F.avg(y).alias("observed_rate"),
+            F.sum(p * n).alias("sum_predicted"),
             F.min(p).alias("min_predicted"),
             F.max(p).alias("max_predicted"),
+            # (p - 0)^2 for the rows without the event, (p - 1)^2 for those with it.
+            F.sum((n - y) * p * p + y * (p - 1.0) * (p - 1.0)).alias("sum_squared"),
             F.first("edges").alias("edges"),
-            F.sum(p).alias("sum_predicted"),
-            F.sum(F.pow(p - y, 2.0)).alias("sum_squared"),
+        )
+        .withColumns(
+            {
+                "mean_predicted": F.col("sum_predicted") / F.col("rows"),
+                "observed_rate": F.col("events") / F.col("rows"),
+            }
         )
     )
     mean = F.col("mean_predicted")

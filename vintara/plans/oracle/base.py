@@ -76,7 +76,7 @@ SELECT l_orderkey AS id, yr, seq::INTEGER AS period, age,
             ELSE '00' END AS status,
        zb,
        CASE WHEN zb IS NOT NULL THEN o_totalprice * (1e0 - 0.02e0 * (seq - 1)) END AS removed,
-       CASE WHEN zb = '03' THEN round(o_totalprice * (0.1e0 + 5e0 * l_discount), 2) END AS loss,
+       CASE WHEN zb = '03' THEN o_totalprice * (0.1e0 + 5e0 * l_discount) END AS loss,
        CASE WHEN l_linestatus = 'O' THEN 'Y' END AS mod_flag
 FROM t_aged
 """)

@@ -89,8 +89,8 @@ STATEMENTS = {
         SELECT id AS loan_identifier, {_basis_columns('fico::DOUBLE', FICO_KNOTS)} FROM t_train_loans WHERE fico IS NOT NULL"""),
     "f5_encoded_design": with_sql(f"""
         SELECT id AS loan_identifier,
-               round((rate - {_STAT.format(m='mean', c='original_interest_rate')}) / {_STAT.format(m='deviation', c='original_interest_rate')}, 9) AS lin_rate,
-               round((log_upb - {_STAT.format(m='mean', c='log_original_upb')}) / {_STAT.format(m='deviation', c='log_original_upb')}, 9) AS lin_log_upb,
+               round((rate - {_STAT.format(m='mean', c='original_interest_rate')}) / {_STAT.format(m='deviation', c='original_interest_rate')}, 7) AS lin_rate,
+               round((log_upb - {_STAT.format(m='mean', c='log_original_upb')}) / {_STAT.format(m='deviation', c='log_original_upb')}, 7) AS lin_log_upb,
                (fico IS NULL)::INTEGER::DOUBLE AS fico_missing, (dti IS NULL)::INTEGER::DOUBLE AS dti_missing,
                (purpose = 'O')::INTEGER::DOUBLE AS purpose_o, (purpose = 'P')::INTEGER::DOUBLE AS purpose_p,
                (channel NOT IN (SELECT level FROM t_levels WHERE "column" = 'channel' GROUP BY level

@@ -56,7 +56,7 @@ id AS loan_identifier, yr AS origination_vintage, age AS loan_age, period, month
 exit_age, reason AS exit_reason, leaves AS is_exit_month, y_def AS default_event,
 y_pre AS prepayment_event, first_age AS first_observed_age, ever_reset AS ever_clock_reset,
 round(bal, 4) AS current_actual_upb, status AS current_loan_delinquency_status, missed AS missed_payments,
-mod_flag AS modification_flag, zb AS zero_balance_code, loss AS actual_loss,
+mod_flag AS modification_flag, zb AS zero_balance_code, round(loss, 5) AS actual_loss,
 fico AS classic_fico, cltv AS original_combined_loan_to_value, dti AS original_debt_to_income_ratio,
 round(upb, 4) AS original_upb, rate AS original_interest_rate, term AS original_loan_term
 """
@@ -81,7 +81,7 @@ STATEMENTS = {
                age AS loan_age, remaining AS remaining_months_to_legal_maturity,
                round(bal, 4) AS current_actual_upb, rate AS current_interest_rate,
                status AS current_loan_delinquency_status, zb AS zero_balance_code,
-               round(removed, 4) AS zero_balance_removal_upb, loss AS actual_loss
+               round(removed, 4) AS zero_balance_removal_upb, round(loss, 5) AS actual_loss
         FROM t_perf"""),
     "p1_sequence_months": with_sql("""
         SELECT id AS loan_identifier, period, age AS loan_age, prev_age AS previous_loan_age,

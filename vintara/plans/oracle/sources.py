@@ -24,7 +24,7 @@ STATEMENTS = {
     "s3_typed_performance": with_sql("""
         SELECT id AS loan_identifier, month AS period_date, CASE WHEN NOT (id % 30 = 0 AND period = 1) THEN age END AS loan_age,
                round(bal, 4) AS current_actual_upb, status AS current_loan_delinquency_status, zb AS zero_balance_code,
-               loss AS actual_loss, NULL::INTEGER AS estimated_loan_to_value FROM t_perf"""),
+               round(loss, 5) AS actual_loss, NULL::INTEGER AS estimated_loan_to_value FROM t_perf"""),
     "s4_key_audit": with_sql("""
         SELECT 'origination' AS "table", count(*) AS duplicate_keys FROM (SELECT id FROM t_book GROUP BY id HAVING count(*) > 1)
         UNION ALL SELECT 'performance', count(*) FROM (SELECT id FROM t_perf GROUP BY id, period HAVING count(*) > 1)

@@ -13,7 +13,8 @@ from vintara.operators import selection
 from vintara.plans.queries.economics import (
     FIXED_PLATT, RoundedPlatt, fixed_hazards, loans_of, paths_of, realised_of,
 )
-from vintara.plans.queries.panel import exits_of, panel_of, rounded
+from vintara.plans.queries.panel import exits_of, rounded
+from vintara.plans.stored import panel_of
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
 from vintara.sources.driver_tables import loan_book
 from vintara.storage import durable

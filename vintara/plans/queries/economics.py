@@ -10,9 +10,10 @@ from vintara.functions.cashflow import monthly_payment, scheduled_balance
 from vintara.functions.scalars import sigmoid
 from vintara.operators import projection, rates, realised, severity, valuation
 from vintara.operators.recalibration import Platt
-from vintara.plans.queries.panel import panel_of, rounded
+from vintara.plans.queries.panel import rounded
+from vintara.plans.stored import months_of, panel_of
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
-from vintara.sources.driver_tables import daily_yields, loan_book, loan_months
+from vintara.sources.driver_tables import daily_yields, loan_book
 
 LEGS = valuation.LEGS
 
@@ -63,12 +64,12 @@ def bracket_check(spark, folder):
 
 
 def severity_of(spark, folder):
-    outcomes = severity.default_outcomes(panel_of(spark, folder), loan_months(spark, folder), S)
+    outcomes = severity.default_outcomes(panel_of(spark, folder), months_of(spark, folder), S)
     return severity.severity(outcomes, S)
 
 
 def severity_table(spark, folder):
-    table = rounded(severity_of(spark, folder), 2, "total_loss", "total_exposure_at_default")
+    table = rounded(severity_of(spark, folder), 4, "total_loss", "total_exposure_at_default")
     return rounded(
         table, 9, "probability_of_loss", "lgd_at_default_balance", "lgd_at_disposition",
         "lgd_median", "lgd_p10", "lgd_p90", "effective_lgd", "cure_rate",
@@ -83,7 +84,7 @@ def severity_degradation(spark, folder):
 
 
 def _defaulted(spark, folder):
-    return severity.defaulted_loans(panel_of(spark, folder), loan_months(spark, folder), S)
+    return severity.defaulted_loans(panel_of(spark, folder), months_of(spark, folder), S)
 
 
 def defaulted_loans(spark, folder):
@@ -99,20 +100,20 @@ def cure_cost(spark, folder):
 
 
 def month_steps(spark, folder):
-    steps = realised.month_steps(loan_months(spark, folder))
+    steps = realised.month_steps(months_of(spark, folder))
     return rounded(steps, 4, "next_upb", "advanced_upb").select(
         "loan_identifier", "period", "month_index", "first_observed_age", "next_upb", "advanced_upb"
     )
 
 
 def valued_months(spark, folder):
-    return realised.valued_months(realised.month_steps(loan_months(spark, folder)), S).select(
+    return realised.valued_months(realised.month_steps(months_of(spark, folder)), S).select(
         "loan_identifier", "period", "month_index", "last_index"
     )
 
 
 def monthly_flows(spark, folder):
-    months = realised.valued_months(realised.month_steps(loan_months(spark, folder)), S)
+    months = realised.valued_months(realised.month_steps(months_of(spark, folder)), S)
     flows = realised.monthly_flows(months, rates_of(spark, folder), S)
     return rounded(flows, 9, "discount").select(
         "loan_identifier", "month_index", "discount", "interest", "principal", "servicing", "loss"
@@ -120,7 +121,7 @@ def monthly_flows(spark, folder):
 
 
 def _legs(spark, folder):
-    return realised.legs_of(loan_months(spark, folder), rates_of(spark, folder), S)
+    return realised.legs_of(months_of(spark, folder), rates_of(spark, folder), S)
 
 
 def realised_of(spark, folder):
@@ -157,8 +158,8 @@ def portfolio_legs(spark, folder):
 def loss_censoring(spark, folder):
     # A short horizon, so that some of the derived losses fall outside it.
     short = replace(S, horizon=3, horizons=(2, 3), binary_window=3)
-    table = realised.loss_censoring(realised.month_steps(loan_months(spark, folder)), short)
-    return rounded(table, 2, "total_loss", "loss_inside_horizon")
+    table = realised.loss_censoring(realised.month_steps(months_of(spark, folder)), short)
+    return rounded(table, 4, "total_loss", "loss_inside_horizon")
 
 
 def telescoping_audit(spark, folder):

@@ -6,13 +6,15 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from vintara.functions.scalars import in_share
 from vintara.functions.splines import Spline
 from vintara.operators import binary, design, hazard, model_store, recalibration, selection
 from vintara.operators import reliability as rel
 from vintara.plans.queries.calibration import scored_of
-from vintara.plans.queries.panel import panel_of, rounded
+from vintara.plans.queries.panel import rounded
+from vintara.plans.stored import panel_of
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
-from vintara.storage import fresh_path, staged
+from vintara.storage import fresh_path
 
 NUMERIC = (*S.spline_columns, *S.linear_columns)
 FICO_KNOTS = (600.0, 650.0, 700.0, 750.0, 820.0)
@@ -78,17 +80,15 @@ def encoded_design(spark, folder):
     }
     named = dict(zip(spec.names, spec.columns()))
     return loans.select(
-        "loan_identifier", *[F.round(named[n], 9).alias(short) for n, short in wanted.items()]
+        "loan_identifier", *[F.round(named[n], 7).alias(short) for n, short in wanted.items()]
     )
 
 
 @lru_cache(maxsize=8)
 def fitted(spark, folder):
     """Hazards fitted on the training loans outside the holdout."""
-    from vintara.functions.scalars import in_share
-
     held = in_share(F.col("loan_identifier"), S.holdout_share, S.holdout_seed)
-    panel = staged(training_panel(spark, folder).where(~held).select(*design.model_columns(S)), "train")
+    panel = training_panel(spark, folder).where(~held).select(*design.model_columns(S))
     return hazard.fit_hazards(panel, S, S.holdout_share)
 
 
@@ -119,11 +119,9 @@ def model_card(spark, folder):
 
 
 def binary_fit(spark, folder):
-    from vintara.functions.scalars import in_share
-
     held = in_share(F.col("loan_identifier"), S.holdout_share, S.holdout_seed)
     loans = binary.loan_frame(training_panel(spark, folder).where(~held), S)
-    model = binary.fit_binary(staged(loans, "loans"), S)
+    model = binary.fit_binary(loans, S)
     return spark.createDataFrame(
         [(model.logit.rows, model.logit.events, model.unresolved, abs(model.logit.marginal_gap) < 1e-3)],
         "rows bigint, events bigint, unresolved bigint, converged boolean",
@@ -131,7 +129,7 @@ def binary_fit(spark, folder):
 
 
 def knot_study(spark, folder):
-    panel = staged(training_panel(spark, folder).select(*design.model_columns(S)), "train")
+    panel = training_panel(spark, folder).select(*design.model_columns(S))
     return selection.knot_study(panel, S, knot_counts=(4, 6)).select(
         "knots", (F.abs("marginal_gap") < 1e-3).alias("converged"),
         (F.col("bic_by_rows") > F.col("bic_by_events")).alias("rows_cost_more"),

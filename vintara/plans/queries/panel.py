@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintara.operators import curves, panel
+from vintara.plans.stored import months_of, panel_of
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
 from vintara.sources.driver_tables import loan_book, loan_months
 
@@ -16,12 +17,12 @@ def rounded(frame: DataFrame, places: int, *columns: str) -> DataFrame:
     return frame.withColumns({c: F.round(c, places) for c in columns})
 
 
-def panel_of(spark, folder, settings=S) -> DataFrame:
-    return panel.build_panel(loan_months(spark, folder), loan_book(spark, folder), settings)
+def built_panel(spark, folder, settings=S) -> DataFrame:
+    return panel.build_panel(months_of(spark, folder), loan_book(spark, folder), settings)
 
 
 def exits_of(spark, folder, settings=S) -> DataFrame:
-    return panel.build_exits(loan_months(spark, folder), loan_book(spark, folder), settings)
+    return panel.build_exits(months_of(spark, folder), loan_book(spark, folder), settings)
 
 
 def curves_of(spark, folder) -> DataFrame:
@@ -30,6 +31,7 @@ def curves_of(spark, folder) -> DataFrame:
 
 def adapter_months(spark, folder):
     months = loan_months(spark, folder)
+    months = rounded(months, 5, "actual_loss")
     return rounded(months, 4, "current_actual_upb", "zero_balance_removal_upb").select(
         "loan_identifier", "origination_vintage", "period", "period_date", "loan_age",
         "remaining_months_to_legal_maturity", "current_actual_upb", "current_interest_rate",
@@ -39,14 +41,14 @@ def adapter_months(spark, folder):
 
 
 def sequence_months(spark, folder):
-    return panel.sequence_months(loan_months(spark, folder)).rows.select(
+    return panel.sequence_months(months_of(spark, folder)).rows.select(
         "loan_identifier", "period", "loan_age", "previous_loan_age", "loan_age_reset",
         "follows_month_gap",
     )
 
 
 def _classified(spark, folder):
-    return panel.classified(loan_months(spark, folder), S).rows
+    return panel.classified(months_of(spark, folder), S).rows
 
 
 def classify_months(spark, folder):
@@ -70,14 +72,14 @@ def eligible_window(spark, folder):
 
 
 def loan_histories(spark, folder):
-    months = panel.classified(loan_months(spark, folder), S)
+    months = panel.classified(months_of(spark, folder), S)
     return panel.loan_histories(months).drop(
         "origination_vintage", "any_delinquency_exceeds_loan_age"
     )
 
 
 def off_clock_kept(spark, folder):
-    kept = panel_of(spark, folder, replace(S, exclude_off_clock=False))
+    kept = built_panel(spark, folder, replace(S, exclude_off_clock=False))
     # One row per loan sits at its first observed age, so no distinct is needed.
     entering = F.col("loan_age") == F.col("first_observed_age")
     return kept.groupBy("exit_reason").agg(
@@ -108,7 +110,8 @@ def quality_flags(spark, folder):
 
 
 def person_panel(spark, folder):
-    return rounded(panel_of(spark, folder), 4, "current_actual_upb", "original_upb").select(
+    table = rounded(built_panel(spark, folder), 5, "actual_loss")
+    return rounded(table, 4, "current_actual_upb", "original_upb").select(
         "loan_identifier", "origination_vintage", "loan_age", "period", "period_date", "exit_age",
         "exit_reason", "is_exit_month", "default_event", "prepayment_event", "first_observed_age",
         "ever_clock_reset", "current_actual_upb", "current_loan_delinquency_status",
@@ -119,7 +122,7 @@ def person_panel(spark, folder):
 
 
 def panel_report(spark, folder):
-    report = panel.panel_report(loan_months(spark, folder), loan_book(spark, folder), S)
+    report = panel.panel_report(months_of(spark, folder), loan_book(spark, folder), S)
     return rounded(report, 9, "mean_months_at_risk").select(
         "cohort_loans", "loans_without_eligible_months", "rows", "loans", "events",
         "left_truncated_loans", "seasoned_loans", "off_clock_loans", "excluded_loans",

@@ -7,10 +7,11 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from vintara.operators import curves
-from vintara.plans.queries.panel import panel_of, rounded
+from vintara.plans.queries.panel import rounded
+from vintara.plans.stored import months_of, panel_path
 from vintara.sources import loan_files, loan_schema, panel_store
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
-from vintara.sources.driver_tables import loan_book, loan_months
+from vintara.sources.driver_tables import loan_book
 from vintara.storage import fresh_path
 
 COHORT = loan_schema.COHORT
@@ -44,7 +45,7 @@ def _origination_text(spark, folder):
 
 
 def _performance_text(spark, folder):
-    months = loan_months(spark, folder)
+    months = months_of(spark, folder)
     key = F.col("loan_identifier")
     filled = {c: F.lit("") for c in loan_schema.PERFORMANCE}
     filled |= {c: _text(F.col(c)) for c in months.columns if c in filled}
@@ -121,6 +122,7 @@ def typed_origination(spark, folder):
 
 def typed_performance(spark, folder):
     table = loan_files.typed(raw(spark, folder, "performance"), loan_schema.PERFORMANCE)
+    table = rounded(table, 5, "actual_loss")
     return rounded(table, 4, "current_actual_upb").select(
         F.col("loan_identifier").cast("bigint").alias("loan_identifier"), "period_date", "loan_age",
         "current_actual_upb", "current_loan_delinquency_status", "zero_balance_code",
@@ -129,7 +131,7 @@ def typed_performance(spark, folder):
 
 
 def key_audit(spark, folder):
-    months = loan_months(spark, folder)
+    months = months_of(spark, folder)
     checks = (
         ("origination", loan_book(spark, folder), ["loan_identifier"]),
         ("performance", months, ["loan_identifier", "period"]),
@@ -157,16 +159,9 @@ def load_summary(spark, folder):
     )
 
 
-@lru_cache(maxsize=8)
-def stored_panel(spark, folder) -> str:
-    path = fresh_path(spark, "panel")
-    panel_store.write_panel(panel_of(spark, folder), path)
-    return path
-
-
 def pruned_panel(spark, folder):
     return panel_store.read_panel(
-        spark, stored_panel(spark, folder), S.test_cohorts,
+        spark, panel_path(spark, folder), S.test_cohorts,
         ["loan_identifier", COHORT, "loan_age", "default_event"],
     )
 
@@ -174,7 +169,7 @@ def pruned_panel(spark, folder):
 def report_sink(spark, folder):
     """The curve table written as a report and read back."""
     path = fresh_path(spark, "report")
-    panel = panel_store.read_panel(spark, stored_panel(spark, folder))
+    panel = panel_store.read_panel(spark, panel_path(spark, folder))
     table = rounded(curves.cohort_curves(panel, S), 9, "cif_default")
     panel_store.write_report(table, path, ["vintage", "loan_age"])
     back = spark.read.option("header", True).csv(path)

@@ -130,7 +130,7 @@ def loan_months(spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS) -> D
         "zero_balance_removal_upb": F.when(closed, scheduled),
         "actual_loss": F.when(
             F.col("zero_balance_code") == "03",
-            F.round(F.col("o_totalprice") * (0.1 + 5 * F.col("l_discount")), 2),
+            F.col("o_totalprice") * (0.1 + 5 * F.col("l_discount")),
         ),
         "modification_flag": F.when(F.col("l_linestatus") == "O", "Y"),
         "payment_deferral_flag": F.when(F.col("l_quantity") >= 45, "Y"),
