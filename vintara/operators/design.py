@@ -109,7 +109,8 @@ class DesignSpec:
         return F.expr(" + ".join(f"({part})" for part in loan)), F.expr(age)
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True)
+        # Insertion order is the order of the coefficients, so keys are not sorted.
+        return json.dumps(asdict(self))
 
     @classmethod
     def from_json(cls, text: str) -> DesignSpec:

@@ -65,7 +65,7 @@ def _write_files(frame, columns, path, stem):
     name = F.concat(F.lit(f"{stem}_"), F.col(COHORT).cast("string"), F.lit(".txt"))
     (
         frame.select(name.alias("file"), *columns).repartition("file", F.col("loan_identifier"))
-        .write.partitionBy("file").option("sep", "|").option("quote", "").option("emptyValue", "")
+        .write.mode("append").partitionBy("file").option("sep", "|").option("quote", "").option("emptyValue", "")
         .option("nullValue", "").csv(path)
     )
 
@@ -74,14 +74,13 @@ def _write_files(frame, columns, path, stem):
 def exported(spark, folder) -> str:
     """The driver tables as loan files below the shared folder, written once per session."""
     path = fresh_path(spark, "loan-files")
-    _write_files(_origination_text(spark, folder), loan_schema.ORIGINATION, f"{path}/o", "sample_orig")
-    _write_files(_performance_text(spark, folder), loan_schema.PERFORMANCE, f"{path}/p", "sample_perf")
+    _write_files(_origination_text(spark, folder), loan_schema.ORIGINATION, path, "sample_orig")
+    _write_files(_performance_text(spark, folder), loan_schema.PERFORMANCE, path, "sample_perf")
     return path
 
 
 def raw(spark, folder, kind):
-    sub = {"origination": "o", "performance": "p"}[kind]
-    return loan_files.scan_cohorts(spark, f"{exported(spark, folder)}/{sub}", kind, S)
+    return loan_files.scan_cohorts(spark, exported(spark, folder), kind, S)
 
 
 def scan_text(spark, folder):
@@ -99,15 +98,7 @@ def missing_cohorts(spark, folder):
     asked = S.__class__(
         train_cohorts=S.train_cohorts, test_cohorts=(*S.test_cohorts, max(S.cohorts) + 1)
     )
-    path = exported(spark, folder)
-    found = [
-        loan_files.found_cohorts(spark, f"{path}/{sub}", kind, asked).withColumn("kind", F.lit(kind))
-        for kind, sub in (("origination", "o"), ("performance", "p"))
-    ]
-    wanted = spark.sql(
-        f"SELECT explode(array{asked.cohorts}) AS {COHORT}, kind FROM VALUES ('origination'), ('performance') AS k(kind)"
-    )
-    return wanted.join(found[0].unionByName(found[1]), [COHORT, "kind"], "left_anti")
+    return loan_files.missing_cohorts(spark, exported(spark, folder), asked)
 
 
 def typed_origination(spark, folder):

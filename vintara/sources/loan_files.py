@@ -72,7 +72,7 @@ def found_cohorts(spark: SparkSession, folder: str, kind: str, settings: Setting
     """Cohorts that have a file, from the file listing alone."""
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .load(f"{folder}/{GLOBS[settings.source, kind]}").select("path")
+        .load(folder).select("path")
     )
     year = F.regexp_extract("path", FILE_NAMES[settings.source, kind], 1).try_cast("int")
     return listing.select(year.alias(COHORT)).where(F.col(COHORT).isNotNull()).distinct()
