@@ -16,6 +16,7 @@ from vintara.operators.quantiles import (
 from vintara.operators.reliability import calibration_errors, reliability_parts
 from vintara.settings import Settings
 from vintara.storage import durable
+from vintara.together import together
 
 # Arms in table order with their labels.
 ARMS = {
@@ -133,7 +134,10 @@ def arm_table(rows: DataFrame, settings: Settings) -> DataFrame:
         F.struct(F.lit("cut").alias("oracle"), (-F.col("decision_value")).alias("_key")),
     )
     ranked = rows.select("arm", "loan_identifier", "realised", F.inline(orders))
-    best = best_prefixes(ranked, ["arm", "oracle"], ["_key", "loan_identifier"], "realised")
+    best, metrics = together(
+        lambda: best_prefixes(ranked, ["arm", "oracle"], ["_key", "loan_identifier"], "realised"),
+        lambda: score_metrics(rows, ["arm"], settings),
+    )
     per = F.col("best") / F.col("size")
     oracles = best.groupBy("arm").agg(
         F.max(F.when(F.col("oracle") == "rank", per)).alias("oracle_rank"),
@@ -147,7 +151,7 @@ def arm_table(rows: DataFrame, settings: Settings) -> DataFrame:
     position = F.array_position(F.array(*[F.lit(a) for a in ARMS]), F.col("arm"))
     label = F.element_at(F.array(*[F.lit(v) for v in ARMS.values()]), position.cast("int"))
     return (
-        totals.join(oracles, "arm").join(score_metrics(rows, ["arm"], settings), "arm", "left")
+        totals.join(oracles, "arm").join(metrics, "arm", "left")
         .withColumns(
             {
                 "label": label,

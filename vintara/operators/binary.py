@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import defaulted_by, resolved_by
 from vintara.operators.design import fit_spec
-from vintara.operators.hazard import (
-    LogitModel, NothingToFit, design_matrix, fit_logit, varying_columns,
-)
+from vintara.operators.hazard import LogitModel, NothingToFit, fit_logit, fitting_matrix
 from vintara.settings import Settings
 
 TARGET = "defaulted_within"
@@ -38,16 +35,11 @@ def fit_binary(loans: DataFrame, settings: Settings) -> BinaryModel:
     usable = loans.where("resolved").withColumn("months", F.lit(1).cast("long"))
     counts = loans.agg(
         F.count_if(~F.col("resolved")).alias("unresolved"),
-        F.count_if(F.col("resolved")).alias("rows"),
         F.count_if(F.col("resolved") & F.col(TARGET)).alias("events"),
     ).first()
     if not counts["events"]:
         raise NothingToFit(f"no resolved loan defaulted within {settings.binary_window} months")
     spec = fit_spec(usable, settings, include_age=False)
-    matrix = design_matrix(usable, spec, {TARGET: F.col(TARGET)})
-    matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        logit = fit_logit(matrix, TARGET, spec, settings, *varying_columns(matrix))
-    finally:
-        matrix.unpersist()
+    with fitting_matrix(usable, usable, spec, {TARGET: F.col(TARGET)}) as (matrix, varying, rows):
+        logit = fit_logit(matrix, TARGET, spec, settings, varying, rows)
     return BinaryModel(logit, settings.binary_window, counts["unresolved"])

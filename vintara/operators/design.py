@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vintara.functions.splines import Spline, number
 from vintara.operators.quantiles import even_steps, exact_quantiles
 from vintara.settings import Settings
+from vintara.together import together
 
 AGE = "loan_age"
 LOG_UPB = "log_original_upb"
@@ -246,40 +247,43 @@ def fit_spec(loans: DataFrame, settings: Settings, include_age: bool = True) ->
 
     ``loans`` is the result of ``loans_with_months`` on the training panel.
     """
-    wanted = [*settings.spline_columns, *settings.linear_columns, *settings.categorical_columns]
-    verdict = {r["column"]: r for r in usability(loans, wanted).collect()}
-    dropped = {n: r["reason"] for n, r in verdict.items() if not r["usable"]}
+    numeric = [*settings.spline_columns, *settings.linear_columns]
+    wanted = [*numeric, *settings.categorical_columns]
+    present = [c for c in wanted if source_of(c) in loans.columns]
+    raw = {c: raw_value(c) for c in numeric if c in present}
+    named = [c for c in settings.categorical_columns if c in present]
+    floor = F.col("share") >= settings.min_level_share
+    nothing: list = []
+    # At most 1 / floor levels per column can pass the floor.
+    verdicts, middles, kept = together(
+        lambda: usability(loans, wanted).collect(),
+        lambda: numeric_quantiles(loans, raw, [0.5]).collect() if raw else nothing,
+        lambda: level_shares(loans, named).where(floor).collect() if named else nothing,
+    )
+    dropped = {r["column"]: r["reason"] for r in verdicts if not r["usable"]}
     splined = [c for c in settings.spline_columns if c not in dropped]
     linear = [c for c in settings.linear_columns if c not in dropped]
-    medians: dict[str, float] = {}
-    knots: dict[str, list[float]] = {}
-    scales: dict[str, tuple[float, float]] = {}
-    if splined or linear:
-        raw = {c: raw_value(c) for c in (*splined, *linear)}
-        medians = {
-            r["column"]: r["quantiles"][0] for r in numeric_quantiles(loans, raw, [0.5]).collect()
-        }
-        filled = {c: F.coalesce(raw[c], F.lit(medians[c])) for c in raw}
-        if splined:
-            steps = even_steps(settings.age_knots - 1)
-            placed = numeric_quantiles(loans, {c: filled[c] for c in splined}, steps)
-            knots = {r["column"]: r["quantiles"] for r in placed.collect()}
-        if linear:
-            for r in numeric_moments(loans, {c: filled[c] for c in linear}).collect():
-                scales[r["column"]] = (r["mean"], r["deviation"] if r["deviation"] > 0.0 else 1.0)
+    medians = {r["column"]: r["quantiles"][0] for r in middles if r["column"] not in dropped}
+    filled = {c: F.coalesce(raw[c], F.lit(medians[c])) for c in (*splined, *linear)}
+    steps = even_steps(settings.age_knots - 1)
+    placed, moments = together(
+        lambda: numeric_quantiles(loans, {c: filled[c] for c in splined}, steps).collect()
+        if splined else nothing,
+        lambda: numeric_moments(loans, {c: filled[c] for c in linear}).collect() if linear else nothing,
+    )
+    knots = {r["column"]: r["quantiles"] for r in placed}
+    scales = {
+        r["column"]: (r["mean"], r["deviation"] if r["deviation"] > 0.0 else 1.0) for r in moments
+    }
     levels: dict[str, list[str]] = {}
-    named = [c for c in settings.categorical_columns if c not in dropped]
-    if named:
-        # At most 1 / floor levels per column can pass the floor.
-        kept = level_shares(loans, named).where(F.col("share") >= settings.min_level_share)
-        found = {c: [] for c in named}
-        for r in kept.collect():
-            found[r["column"]].append(r["level"])
-        for c in named:
-            if len(found[c]) < 2:
-                dropped[c] = f"fewer than two levels reach the {settings.min_level_share:.1%} floor"
-            else:
-                levels[c] = sorted(found[c])
+    for c in named:
+        found = sorted(r["level"] for r in kept if r["column"] == c)
+        if c in dropped:
+            continue
+        if len(found) < 2:
+            dropped[c] = f"fewer than two levels reach the {settings.min_level_share:.1%} floor"
+        else:
+            levels[c] = found
     return DesignSpec(
         age=Spline.uniform(0.0, float(settings.horizon), settings.age_knots) if include_age else None,
         splines={c: Spline.at(knots[c]) for c in splined},

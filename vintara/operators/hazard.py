@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import sigmoid
 from vintara.operators.design import DesignSpec, fit_spec, loans_with_months
 from vintara.settings import Settings
+from vintara.together import together
 
 # Cause -> event column of the panel.
 EVENTS = {"default": "default_event", "prepayment": "prepayment_event"}
@@ -23,6 +24,9 @@ LOAN = ("origination_vintage", "loan_identifier")
 #: Reweighted least squares either converges well within this or not at all.
 IRLS_CAP = 50
 
+#: Fewest rows worth a partition of the design matrix.
+MATRIX_ROWS = 40_000
+
 
 class NothingToFit(ValueError):
     """The sample holds no event, or nothing but events."""
@@ -98,21 +102,64 @@ class HazardModels:
         )
 
 
-def design_matrix(rows: DataFrame, spec: DesignSpec, labels: dict[str, Column]) -> DataFrame:
+def design_matrix(
+    rows: DataFrame, spec: DesignSpec, labels: dict[str, Column], kept: list[int] | None = None
+) -> DataFrame:
     """Assembled feature vectors with 0/1 labels; mostly zeros, so stored sparse."""
-    names = [f"f{i}" for i in range(len(spec.names))]
-    columns = [c.alias(n) for n, c in zip(names, spec.columns())]
+    all_columns = spec.columns()
+    kept = list(range(len(all_columns))) if kept is None else kept
+    names = [f"f{i}" for i in kept]
+    columns = [all_columns[i].alias(n) for i, n in zip(kept, names)]
     wide = rows.select(*columns, *[c.cast("double").alias(n) for n, c in labels.items()])
     return VectorAssembler(inputCols=names, outputCol="features").transform(wide).select(
         "features", *labels
     )
 
 
-def varying_columns(matrix: DataFrame) -> tuple[list[int], int]:
-    """Design positions that are not constant, and the row count, in one pass."""
-    summary = Summarizer.metrics("variance", "count").summary(F.col("features"))
-    found = matrix.select(summary.alias("s")).select("s.variance", "s.count").first()
-    return [i for i, v in enumerate(found["variance"]) if v > 0.0], int(found["count"])
+def _vary(rows: DataFrame, columns: list[Column]) -> list[bool]:
+    """Which expressions take more than one value, from one aggregation."""
+    if not columns:
+        return []
+    named = rows.select(*[c.alias(f"f{i}") for i, c in enumerate(columns)])
+    ends = [F.struct(F.min(n).alias("lo"), F.max(n).alias("hi")).alias(n) for n in named.columns]
+    found = named.agg(*ends).first()
+    return [found[n]["lo"] is not None and found[n]["lo"] < found[n]["hi"] for n in named.columns]
+
+
+def varying_columns(rows: DataFrame, loans: DataFrame, spec: DesignSpec) -> list[int]:
+    """Design positions that are not constant.
+
+    Covariates are fixed per loan, so one row per loan decides them; the age basis is
+    decided by the few distinct ages. The monthly rows are not encoded for this.
+    """
+    columns, width = spec.columns(), spec.age_width
+    ages = rows.select("loan_age").distinct() if width else rows
+    by_age, by_loan = together(
+        lambda: _vary(ages, columns[:width]), lambda: _vary(loans, columns[width:])
+    )
+    return [i for i, varies in enumerate([*by_age, *by_loan]) if varies]
+
+
+@contextmanager
+def fitting_matrix(rows: DataFrame, loans: DataFrame, spec: DesignSpec, labels: dict[str, Column]):
+    """(matrix, kept positions, row count), held for repeated passes while fitting.
+
+    ``loans`` is the loan-level view of ``rows`` with its ``months``. Only varying
+    columns are encoded, once, so that no pass of a solver repeats the encoding.
+    """
+    varying, count = together(
+        lambda: varying_columns(rows, loans, spec),
+        lambda: int(loans.agg(F.sum("months")).first()[0] or 0),
+    )
+    # A solver pass over a few thousand rows per task is all scheduling: small
+    # matrices are merged into fewer partitions, large ones are left as they are.
+    parts = max(1, count // MATRIX_ROWS)
+    matrix = design_matrix(rows, spec, labels, varying)
+    matrix = matrix.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield matrix, varying, count
+    finally:
+        matrix.unpersist()
 
 
 def fit_logit(
@@ -128,19 +175,18 @@ def fit_logit(
     The solver scales its penalty by the summed working weights, which depend on the
     fit; a short first fit supplies them, so that the final penalty is ``1 / (2 C)``.
     """
-    slim = VectorSlicer(inputCol="features", outputCol="varying", indices=varying).transform(matrix)
     events = int(matrix.agg(F.sum(label)).first()[0] or 0)
     if not 0 < events < rows:
         raise NothingToFit(f"{events} events of {label} in {rows} rows")
     weights = rows * (events / rows) * (1.0 - events / rows)
-    for tolerance, cap in ((1e-3, 4), (settings.tolerance, min(settings.max_iterations, IRLS_CAP))):
+    for tolerance, cap in ((1e-3, 3), (settings.tolerance, min(settings.max_iterations, IRLS_CAP))):
         model = GeneralizedLinearRegression(
-            family="binomial", link="logit", featuresCol="varying", labelCol=label,
+            family="binomial", link="logit", featuresCol="features", labelCol=label,
             regParam=1.0 / (settings.inverse_penalty * weights),
             tol=tolerance, maxIter=cap,
-        ).fit(slim)
+        ).fit(matrix)
         p = F.col("prediction")
-        scored = model.transform(slim).agg(F.sum(p).alias("total"), F.sum(p * (1.0 - p)).alias("weights")).first()
+        scored = model.transform(matrix).agg(F.sum(p).alias("total"), F.sum(p * (1.0 - p)).alias("weights")).first()
         weights = scored["weights"]
     coefficients = [0.0] * len(spec.names)
     for position, value in zip(varying, model.coefficients.toArray()):
@@ -154,17 +200,15 @@ def fit_logit(
 
 def fit_hazards(panel: DataFrame, settings: Settings, holdout_share: float = 0.0) -> HazardModels:
     """Fit default and prepayment on one shared, persisted design matrix."""
-    spec = fit_spec(loans_with_months(panel), settings)
-    matrix = design_matrix(panel, spec, {e: F.col(e) for e in EVENTS.values()})
-    matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        varying, rows = varying_columns(matrix)
-        causes = {
-            cause: fit_logit(matrix, event, spec, settings, varying, rows)
-            for cause, event in EVENTS.items()
-        }
-    finally:
-        matrix.unpersist()
+    loans = loans_with_months(panel)
+    spec = fit_spec(loans, settings)
+    labels = {event: F.col(event) for event in EVENTS.values()}
+    with fitting_matrix(panel, loans, spec, labels) as (matrix, varying, rows):
+        fits = [
+            lambda event=event: fit_logit(matrix, event, spec, settings, varying, rows)
+            for event in EVENTS.values()
+        ]
+        causes = dict(zip(EVENTS, together(*fits)))
     return HazardModels(causes, settings, holdout_share)
 
 

@@ -16,6 +16,7 @@ from vintara.functions.scalars import logit, sigmoid
 from vintara.operators.hazard import IRLS_CAP
 from vintara.operators.reliability import require_probabilities
 from vintara.settings import Settings
+from vintara.together import together
 
 
 class Calibrator(Protocol):
@@ -118,4 +119,5 @@ def fit_isotonic(rows: DataFrame, settings: Settings) -> Isotonic:
 
 def fit_calibrators(rows: DataFrame, settings: Settings) -> dict[str, Calibrator]:
     fits = {"platt": fit_platt, "isotonic": fit_isotonic}
-    return {method: fits[method](rows, settings) for method in settings.methods}
+    fitted = together(*[lambda m=m: fits[m](rows, settings) for m in settings.methods])
+    return dict(zip(settings.methods, fitted))

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.operators.hazard import EVENTS, design_matrix, fit_logit, varying_columns
+from vintara.operators.hazard import EVENTS, fit_logit, fitting_matrix
 from vintara.operators.design import fit_spec, loans_with_months
 from vintara.settings import Settings
 
@@ -18,15 +18,12 @@ def knot_study(
     knot_counts: tuple[int, ...] = (6, 9, 12, 16),
 ) -> DataFrame:
     """Refit one cause per knot count and score the fits by two BIC variants."""
-    event, table = EVENTS[cause], []
+    event, table, loans = EVENTS[cause], [], loans_with_months(panel)
     for knots in knot_counts:
         candidate = replace(settings, age_knots=knots)
-        spec = fit_spec(loans_with_months(panel), candidate)
-        matrix = design_matrix(panel, spec, {event: F.col(event)}).persist()
-        try:
-            fitted = fit_logit(matrix, event, spec, candidate, *varying_columns(matrix))
-        finally:
-            matrix.unpersist()
+        spec = fit_spec(loans, candidate)
+        with fitting_matrix(panel, loans, spec, {event: F.col(event)}) as (matrix, varying, rows):
+            fitted = fit_logit(matrix, event, spec, candidate, varying, rows)
         p, y = F.col("_p"), F.col(event)
         likelihood = panel.withColumn("_p", fitted.probability()).agg(
             F.sum(F.when(y, F.ln(p)).otherwise(F.log1p(-p))).alias("ll")
