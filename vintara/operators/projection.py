@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import (
@@ -144,15 +144,26 @@ def require_matched(table: DataFrame) -> None:
 def variant_paths(
     loans: DataFrame, hazards: Callable, variants: dict[str, Calibrator | None], settings: Settings
 ) -> DataFrame:
-    """Paths of every hazard variant, labelled."""
-    parts = [
-        projected_paths(loans, hazards, settings, c).withColumn("variant", F.lit(name))
-        for name, c in variants.items()
-    ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    """Paths of every hazard variant, labelled.
+
+    Months are generated and scored once; each row then carries every variant's
+    default hazard and splits into one row per variant, inside the loan partitioning.
+    """
+    months = hazards(loans, settings)
+    columns = {name: f"_default_{name}" for name in variants}
+    for name, calibrator in variants.items():
+        if calibrator is None:
+            months = months.withColumn(columns[name], F.col("hazard_default"))
+        else:
+            months = calibrator.apply(months, "hazard_default", columns[name])
+    labelled = F.array(
+        *[
+            F.struct(F.lit(name).alias("variant"), F.col(column).alias("hazard_default"))
+            for name, column in columns.items()
+        ]
+    )
+    kept = [c for c in months.columns if c != "hazard_default" and c not in columns.values()]
+    return survival_paths(months.select(*kept, F.inline(labelled)), (*LOAN, "variant"))
 
 
 def economics_cells(settings: Settings) -> list[tuple[float, float]]:
@@ -219,9 +230,10 @@ def portfolio_npv(paths: DataFrame, settings: Settings, cells: Column | None = N
             "npv_per_dollar": F.try_divide("npv_total", "principal"),
         }
     )
-    raw = table.where("variant = 'raw'").select(*cell, F.col("npv_per_loan").alias("_raw"))
-    # Variants x cells rows: a handful.
-    return table.join(F.broadcast(raw), cell, "left").withColumns(
+    # Variants x cells rows: the raw value of a cell is read from its own rows.
+    is_raw = F.col("variant") == "raw"
+    raw = F.max(F.when(is_raw, F.col("npv_per_loan"))).over(Window.partitionBy(*cell))
+    return table.withColumn("_raw", raw).withColumns(
         {
             "delta_vs_raw": F.col("npv_per_loan") - F.col("_raw"),
             "delta_pct": F.try_divide(F.col("npv_per_loan") - F.col("_raw"), F.abs("_raw")),
