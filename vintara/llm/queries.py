@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bitplane, bpe
+from vintara.llm import bitplane, bpe, chat_log, warc_zip
+from vintara.llm.common import stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,11 +25,28 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
 
 
+def op4_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record, from packages written and read back by range."""
+    manifest = warc_zip.write(warc_zip.linked(table(spark, folder, "pages")))
+    # Records are read twice, as revisits and as what they refer to; their fields are stored in between.
+    return warc_zip.resolved(stored(warc_zip.read(manifest), "records"))
+
+
+def op8_chat_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted from its event log, and digests of what is read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(text).alias("text"))
+    formatted = chat_log.render(chat_log.fold(chat_log.event_log(rows.unionByName(planted))))
+    return chat_log.digests(chat_log.parse(formatted, "conv_id"))
+
+
 def op9_bitplane(spark: SparkSession, folder: str) -> DataFrame:
     """Position, length and checksum of every document's ids, from plane files written and read back."""
     manifest = bitplane.write(table(spark, folder, "documents"), tokenizer_path())
     return bitplane.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op9_bitplane": op9_bitplane}
+QUERIES = {"op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
 ORACLES: dict[str, str] = {}
