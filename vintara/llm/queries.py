@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bitplane, bpe, chat_log, warc_zip
+from vintara.llm import bitplane, bpe, chat_log, probminhash, warc_zip
 from vintara.llm.common import stored
 
 
@@ -48,5 +48,10 @@ def op9_bitplane(spark: SparkSession, folder: str) -> DataFrame:
     return bitplane.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
+def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return probminhash.classes(table(spark, folder, "documents"))
+
+
+QUERIES = {"op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
 ORACLES: dict[str, str] = {}
