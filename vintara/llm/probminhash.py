@@ -5,10 +5,8 @@ run sends a Poisson process of arrivals whose rate is its weight, each arrival a
 register keeps the run that arrived first. Arrivals come in order of time, so a run stops as soon as it is later than all
 registers of its text. Two texts agree on a register with the probability Jaccard similarity of their weighted sets.
 
-Registers form bands; texts that agree on a band share a bucket. In a bucket the smallest keys lead: the others are
-compared with the leaders by the exact similarity of their texts, links join classes, and a bucket is done when its rows that
-have not led yet are of one class. Each round doubles the leaders, so no bucket needs many rounds, no link between rows of different
-classes is left out, and a large group of near copies is never expanded into all its pairs. Exact copies are one row throughout.
+Registers form bands; texts that agree on a band share a bucket. Rows of a bucket are compared with its leaders (``buckets.roots``) by the exact
+similarity of their texts, so a large group of near copies is never expanded into all its pairs. Exact copies are one row throughout.
 
 Null texts are empty; texts without words are near copies only of equal texts. Rows with a null key join the class of an equal text or
 get none. Texts that share a key share its class. An empty table gives no rows.
@@ -21,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vintara.llm import buckets
 from vintara.llm.common import stored, text_rows, with_workers
 
 WIDTH, SIMILAR = 5, 0.8
@@ -150,51 +149,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sides.select("leader", "member", "member_text", "leader_text").mapInArrow(run, "leader long, member long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """The smallest key each linked key reaches (key, root), by alternating stars; hot keys are only grouped and joined."""
-    edges = stored(links.select(F.greatest("leader", "member").alias("a"), F.least("leader", "member").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
-        mark = now
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        joined = large.join(down, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionAll(down.select("a", F.col("low").alias("b")))
-        edges = stored(small.distinct(), "edges")
-
-
 def classes(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the table: its key and ``class_id``, the smallest key of its class."""
     sketched = stored(sketches(frame, key, text), "sketches")
     copies = sketched.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
     banded = copies.where("rep is not null").select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).where("n > 1")
-    open_rows = stored(banded.join(shared, F.col("bucket") == F.col("b")).select("bucket", "doc").distinct(), "buckets")
-    wanted = open_rows.select(F.col("doc").alias("want")).distinct()
+    rows = stored(buckets.shared(banded), "buckets")
+    wanted = rows.select(F.col("doc").alias("want")).distinct()
     plain = text_rows(frame, key, text).select(F.col("key").cast("long").alias("key"), "text")
     texts = stored(plain.join(wanted, F.col("key") == F.col("want"), "left_semi").dropDuplicates(["key"]), "texts")
-    links, roots, leaders = None, None, 1
-    while True:
-        rooted = open_rows.withColumn("root", F.col("doc")) if roots is None else (
-            open_rows.join(roots.select(F.col("key").alias("doc"), "root"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root")))
-        mixed_rows = rooted.groupBy(F.col("bucket").alias("b")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        live = rooted.join(mixed_rows, F.col("bucket") == F.col("b")).select("bucket", "doc", "root")
-        ranked = stored(live.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))), "rounds")
-        if ranked.isEmpty():
-            break
-        heads = ranked.where(F.col("place") <= leaders).select(F.col("bucket").alias("b"), F.col("doc").alias("leader"), F.col("root").alias("head_root"), F.col("place").alias("head"))
-        met = ranked.join(heads, (F.col("bucket") == F.col("b")) & (F.col("root") != F.col("head_root")) & (F.col("place") > F.col("head")))
-        pairs = met.select("leader", F.col("doc").alias("member")).distinct()
-        found = stored(verified(pairs, texts), "links")
-        links = found if links is None else links.unionAll(found)
-        roots = components(links)
-        open_rows = ranked.where(F.col("place") > leaders).select("bucket", "doc")
-        leaders *= 2
+    roots = buckets.roots(rows, lambda pairs: verified(pairs, texts))
     named = copies.select("digest", "rep")
     if roots is not None:
         named = named.join(roots.select(F.col("key").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bitplane, bpe, chat_log, probminhash, warc_zip
+from vintara.llm import bitplane, bpe, chat_log, probminhash, simhash, warc_zip
 from vintara.llm.common import stored
 
 
@@ -32,6 +32,11 @@ def op4_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
     return warc_zip.resolved(stored(warc_zip.read(manifest), "records"))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its neighbour, and its class within the Hamming radius."""
+    return simhash.compare(table(spark, folder, "documents")).drop("copy")
+
+
 def op8_chat_log(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation formatted from its event log, and digests of what is read back."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -53,5 +58,5 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.classes(table(spark, folder, "documents"))
 
 
-QUERIES = {"op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
+QUERIES = {"op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
 ORACLES: dict[str, str] = {}
