@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -52,12 +53,16 @@ class Vocabulary:
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         letters = byte_letters()
-        self.to_byte = {c: b for b, c in letters.items()}
         ids: dict[str, int] = content["model"]["vocab"]
         self.first = np.array([ids[letters[b]] for b in range(256)], np.int32)
         self.special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}
-        self.bytes_of = {i: bytes(self.to_byte[c] for c in token) for token, i in ids.items() if token not in self.special}
-        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
+        to_byte = {c: b for b, c in letters.items()}
+        token_bytes = {i: bytes(to_byte[c] for c in token) for token, i in ids.items() if token not in self.special}
+        token_bytes |= {i: token.encode() for token, i in self.special.items()}
+        in_order = [token_bytes.get(i, b"") for i in range(max(token_bytes) + 1)]
+        self.spans = np.array([len(b) for b in in_order], np.int64)
+        self.starts = np.cumsum(self.spans) - self.spans
+        self.joined_bytes = np.frombuffer(b"".join(in_order), np.uint8)
         self.rank_of: dict[tuple[int, int], tuple[int, int]] = {}
         keys, ranks, joined = [], [], []
         for rank, merge in enumerate(content["model"]["merges"]):
@@ -157,8 +162,8 @@ class Vocabulary:
 
     def learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
         """The ids of new units. Units of one word are cut into pieces in one run of the pattern over all of them."""
-        word = [u for u in units if _WORD(u)]
-        rest = [u for u in units if not _WORD(u)]
+        rest = [u for u in units if _OTHER(u)]
+        word = list(set(units).difference(rest))
         cut = [self.pattern.findall("".join(word)), *map(self.pattern.findall, rest)]
         new = list(set(chain.from_iterable(cut)).difference(self.pieces))
         if len(self.pieces) + len(new) > REMEMBERED:
@@ -204,13 +209,17 @@ class Vocabulary:
             return [np.int32(self.special[p]).tobytes() if p in self.special else split_units(p) for p in self.cut.split(text) if p]
         return [split_units(text)]
 
-    def decode(self, ids: list[int]) -> str:
-        known = self.bytes_of
-        return b"".join([known[i] for i in ids if i in known]).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes behind ids: each id's span of the joined token bytes, copied side by side."""
+        inside = ids[(ids >= 0) & (ids < len(self.spans))]
+        sizes = self.spans[inside]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[inside] - (ends - sizes), sizes)
+        return self.joined_bytes[shift + np.arange(len(shift))].tobytes()
 
 
-#: A space and one word: no run of white space can reach over its ends.
-_WORD = regex.compile(r" \S+").fullmatch
+#: Anything but a space and one word, over whose ends no run of white space can reach.
+_OTHER = re.compile(r"\S\s|\A[^ ]|\s\s|\A \Z").search
 _AMBIGUOUS = regex.compile(r"\s \s|\s $")
 
 
@@ -283,7 +292,8 @@ def decode(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
             sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for a, b in small_lots(sizes, 500_000):
                 lists = batch.column(1).slice(a, b - a)
-                texts = pa.array([words.decode(ids) for ids in lists.to_pylist()], pa.string())
+                ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes[a:b]).tolist()
+                texts = pa.array([words.decode(ids[i:j]).decode("utf-8", "replace") for i, j in zip([0, *ends], ends)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, texts], names=[key, "ids", "decoded"])
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, ids array<int>, decoded string")
