@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bitplane, bpe, chat_log, probminhash, simhash, warc_zip
+from vintara.llm import bitplane, bpe, chat_log, page_diff, probminhash, simhash, warc_zip
 from vintara.llm.common import stored
 
 
@@ -37,6 +37,11 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.compare(table(spark, folder, "documents")).drop("copy")
 
 
+def op7_page_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return page_diff.extract(table(spark, folder, "pages"))
+
+
 def op8_chat_log(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation formatted from its event log, and digests of what is read back."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,5 +63,5 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.classes(table(spark, folder, "documents"))
 
 
-QUERIES = {"op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
+QUERIES = {"op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
 ORACLES: dict[str, str] = {}
