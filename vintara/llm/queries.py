@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bitplane, bpe, chat_log, page_diff, probminhash, simhash, warc_zip
+from vintara.llm import bitplane, bpe, chat_log, decontamination, page_diff, probminhash, simhash, warc_zip
 from vintara.llm.common import stored
 
 
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item that overlap, with their scores."""
+    return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document, and the digest of its decoded text."""
     path = tokenizer_path()
@@ -63,5 +68,5 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.classes(table(spark, folder, "documents"))
 
 
-QUERIES = {"op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
+QUERIES = {"op1_decontamination": op1_decontamination, "op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
 ORACLES: dict[str, str] = {}
