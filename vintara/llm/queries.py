@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bitplane, bpe, chat_log, decontamination, page_diff, probminhash, simhash, warc_zip
+from vintara.llm import bitplane, bpe, chat_log, decontamination, page_diff, probminhash, simhash, toxicity, warc_zip
 from vintara.llm.common import stored
 
 
@@ -30,6 +30,11 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document, learned outside the held-out fold."""
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's record, from packages written and read back by range."""
     manifest = warc_zip.write(warc_zip.linked(table(spark, folder, "pages")))
@@ -68,5 +73,5 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.classes(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
+QUERIES = {"op1_decontamination": op1_decontamination, "op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
 ORACLES: dict[str, str] = {}
