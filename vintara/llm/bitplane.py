@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.llm import bpe
-from vintara.llm.common import opened, output_folder, partitions, stored, text_rows, with_workers
+from vintara.llm.common import opened, output_folder, partitions, stored, text_lots, text_rows, with_workers
 
 MAGIC = b"VTPLANE1"
 BLOCK = 65_536
@@ -183,7 +183,7 @@ def write(frame: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 name = f"part-{place:05d}-{uuid.uuid4().hex}.planes"
                 stream = system.open_output_stream(f"{root}/{name}")
                 writer = PlaneWriter(stream, bits)
-            for keys, texts in bpe.text_lots(batch):
+            for keys, texts in text_lots(batch):
                 for one, ids in zip(keys.to_pylist(), words.encode(texts)):
                     writer.add(one, ids + last)
         if writer is not None:

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.llm.common import code_points, sha256, text_rows, with_workers
+from vintara.llm.common import code_points, sha256, small_lots, text_lots, text_rows, with_workers
 
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -242,25 +242,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def small_lots(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges whose sizes add up to the limit at most, one row at least."""
-    start, total = 0, 0
-    for row, size in enumerate(sizes.tolist()):
-        if total and total + size > limit:
-            yield start, row
-            start, total = row, 0
-        total += size
-    if len(sizes) > start:
-        yield start, len(sizes)
-
-
-def text_lots(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Keys and texts of a batch (columns 0 and 1) in lots of bounded size."""
-    sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-    for a, b in small_lots(sizes):
-        yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
-
-
 def id_lists(coded: list[bytes]) -> pa.ListArray:
     offsets = np.zeros(len(coded) + 1, np.int32)
     np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
@@ -299,8 +280,8 @@ def decode(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
     return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digests(frame: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts and digests of decoded rows."""
+def digests(frame: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
+    """Counts and digests of decoded rows, and the columns to keep."""
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return frame.select(key, F.size("ids").cast("long").alias("n_tokens"), sha256(joined).alias("ids_sha256"),
+    return frame.select(key, *keep, F.size("ids").cast("long").alias("n_tokens"), sha256(joined).alias("ids_sha256"),
                         sha256(F.col("decoded")).alias("decoded_sha256"), code_points(F.col("decoded")).alias("decoded_chars"))

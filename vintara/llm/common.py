@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +81,28 @@ def code_points(text: Column) -> Column:
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo the divisor: the stated folds."""
     return F.crc32(key.cast("string").cast("binary")) % divisor
+
+
+def small_lots(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges whose sizes add up to the limit at most, one row at least."""
+    start, total = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if total and total + size > limit:
+            yield start, row
+            start, total = row, 0
+        total += size
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
+def lots(batch: pa.RecordBatch, column: int = 1, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in lots of bounded size of its text column."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    for a, b in small_lots(sizes, limit):
+        yield batch.slice(a, b - a)
+
+
+def text_lots(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of a batch (columns 0 and 1) in lots of bounded size."""
+    for lot in lots(batch):
+        yield lot.column(0), lot.column(1).to_pylist()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.llm.common import stored, text_rows, with_workers
+from vintara.llm.common import lots, stored, text_rows, with_workers
 
 PART, PASSAGE, WIDTH = 64, 128, 5
 LEAST_SCORE, QUESTION, ANSWER = 0.6, 0.6, 0.5
@@ -218,7 +218,7 @@ def _searcher(sent, names: tuple[str, str]):
         index, contents = sent.value
         known = Terms(index.terms)
         checks: dict[int, tuple[set, set]] = {}
-        for batch in batches:
+        for batch in (lot for whole in batches for lot in lots(whole, 1, 4_000_000)):
             if len(known) > REMEMBERED:
                 known.clear()
             texts = batch.column(1).to_pylist()
@@ -253,3 +253,9 @@ def _share(wanted: set[tuple[str, ...]], inside: set[tuple[str, ...]], text: str
         return len(wanted & inside) / len(wanted)
     running = " " + " ".join(words_of(text)) + " "
     return sum(f" {' '.join(run)} " in running for run in wanted) / len(wanted)
+
+
+def without_overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows that overlap no item, with all their columns."""
+    hit = overlaps(docs, items, key, text, item, item_text).select(F.col(f"`{key}`").alias("hit_key")).distinct()
+    return docs.join(hit, F.col(f"`{key}`").cast("long") == F.col("hit_key"), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintara.llm import buckets
-from vintara.llm.common import stored, text_rows, with_workers
+from vintara.llm.common import lots, stored, text_rows, with_workers
 
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -119,7 +119,7 @@ def sketches(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (lot for whole in batches for lot in lots(whole, 1, 4_000_000)):
             sets = [weighted_runs(hashes.of(t)) for t in batch.column(1).to_pylist()]
             keys = band_keys(signatures(sets))
             bands = [k.tolist() if len(s[0]) else [] for k, s in zip(keys, sets)]
@@ -151,6 +151,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def classes(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the table: its key and ``class_id``, the smallest key of its class."""
+    return _classes(frame, key, text).select(F.col("key").alias(key), "class_id")
+
+
+def one_of_each(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stand for their classes, with all their columns; rows without a key stay if no keyed row has their text, one of equals."""
+    found = stored(_classes(frame, key, text), "classes")
+    leaders = found.where("key = class_id").select(F.col("key").alias("leading_key")).distinct()
+    own = F.col(f"`{key}`")
+    keyed = frame.join(leaders, own.cast("long") == F.col("leading_key"), "left_semi").dropDuplicates([key])
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+    lone = found.where("class_id is null").select(F.col("digest").alias("lone_digest")).distinct()
+    bare = frame.where(own.isNull()).join(lone, digest == F.col("lone_digest"), "left_semi").dropDuplicates([text])
+    return keyed.unionAll(bare)
+
+
+def _classes(frame: DataFrame, key: str, text: str) -> DataFrame:
     sketched = stored(sketches(frame, key, text), "sketches")
     copies = sketched.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
     banded = copies.where("rep is not null").select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket"))
@@ -164,4 +180,4 @@ def classes(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         named = named.join(roots.select(F.col("key").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
     else:
         named = named.select("digest", F.col("rep").alias("class_id"))
-    return sketched.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), "class_id")
+    return sketched.select("key", "digest").join(named, "digest").select("key", "digest", "class_id")

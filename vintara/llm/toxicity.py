@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintara.llm.common import remainder, stored, text_rows, with_workers
+from vintara.llm.common import lots, remainder, stored, text_rows, with_workers
 
 FOLDS = 5
 STEM, WINDOW = 5, 8
@@ -183,25 +183,50 @@ def model(docs: DataFrame, labels: DataFrame) -> bytes | None:
     return bytes(one[0][0]) if one else None
 
 
-def score(frame: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """Per row: key, held_out, score from 0 to 1, predicted label."""
-    with_workers(frame.sparkSession)
-    docs = text_rows(frame, key, text)
-    kind = docs.schema["key"].dataType.simpleString()
-    fitted = model(docs, labels.select(F.col(f"`{label_key}`").alias("key"), F.col(f"`{label}`").alias("label")))
+def _scorer(fitted: bytes | None, column: int):
+    """Batches and the scores of their rows, in lots of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         codes = Codes()
         if fitted is not None:
             ordinary, toxic, beta = pickle.loads(fitted)
             distance = Distance(ordinary, toxic)
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            if fitted is not None and batch.num_rows:
-                x = features(distance, [codes.of(t) for t in batch.column(1).to_pylist()])
-                scores = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["key", "score"])
+            for lot in lots(batch, column):
+                if fitted is None:
+                    yield lot, np.zeros(lot.num_rows)
+                else:
+                    x = features(distance, [codes.of(t or "") for t in lot.column(column).to_pylist()])
+                    yield lot, 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+
+    return run
 
-    scored = docs.mapInArrow(run, f"key {kind}, score double")
+
+def _fitted(frame: DataFrame, labels: DataFrame, key: str, text: str, label_key: str, label: str) -> bytes | None:
+    with_workers(frame.sparkSession)
+    return model(text_rows(frame, key, text), labels.select(F.col(f"`{label_key}`").alias("key"), F.col(f"`{label}`").alias("label")))
+
+
+def score(frame: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """Per row: key, held_out, score from 0 to 1, predicted label."""
+    scores = _scorer(_fitted(frame, labels, key, text, label_key, label), 1)
+    docs = text_rows(frame, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot, values in scores(batches):
+            yield pa.RecordBatch.from_arrays([lot.column(0), pa.array(values)], names=["key", "score"])
+
+    scored = docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, score double")
     return scored.select(F.col("key").alias(key), (remainder(F.col("key"), FOLDS) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(frame: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """The rows that score under 0.5, with all their columns."""
+    scores = _scorer(_fitted(frame, labels, key, text, label_key, label), frame.columns.index(text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot, values in scores(batches):
+            yield lot.filter(pa.array(values < 0.5))
+
+    return frame.mapInArrow(run, frame.schema)
