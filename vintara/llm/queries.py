@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bitplane, bpe, chat_log, decontamination, page_diff, probminhash, simhash, toxicity, warc_zip
+from vintara.llm import bitplane, bpe, chat_log, decontamination, maxent, page_diff, probminhash, simhash, toxicity, warc_zip
 from vintara.llm.common import stored
 
 
@@ -47,6 +47,11 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.compare(table(spark, folder, "documents")).drop("copy")
 
 
+def op6_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    """The log probability of every document, and what counts alone give."""
+    return maxent.score(table(spark, folder, "documents"))
+
+
 def op7_page_diff(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return page_diff.extract(table(spark, folder, "pages"))
@@ -73,5 +78,5 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.classes(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
+QUERIES = {"op1_decontamination": op1_decontamination, "op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op6_maxent": op6_maxent, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
 ORACLES: dict[str, str] = {}
