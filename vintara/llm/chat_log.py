@@ -5,7 +5,7 @@ A log row is an event of a conversation: ``open`` starts a message with its role
 folded: the last edit or regeneration counts and the deltas after it follow. Messages of a conversation are then sorted, rendered and marked.
 
 Template of a message: ``<|role|>`` line feed, text, ``<|end|>`` line feed. In roles and texts ``~`` becomes ``~0``, ``<``
-becomes ``~1`` and ``[`` becomes ``~2``, so no control string of this or another template can arise from a text, and the text can be restored.
+becomes ``~1`` and ``[`` becomes ``~2``, in roles also ``>`` becomes ``~3``, so no control string of this or another template can arise from a text, and the text can be restored.
 The loss mask lists the code-point spans of assistant texts.
 
 Null texts and roles are empty; a null conversation is a conversation, a null turn sorts first; rows of the same turn
@@ -31,7 +31,13 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("~"), F.lit("~0")), F.lit("<"), F.lit("~1")), F.lit("["), F.lit("~2"))
 
 
+def escape_role(role: Column) -> Column:
+    """Roles also lose the sign that ends their mark."""
+    return F.replace(escape(role), F.lit(">"), F.lit("~3"))
+
+
 def unescape(text: Column) -> Column:
+    text = F.replace(text, F.lit("~3"), F.lit(">"))
     return F.replace(F.replace(F.replace(text, F.lit("~2"), F.lit("[")), F.lit("~1"), F.lit("<")), F.lit("~0"), F.lit("~"))
 
 
@@ -67,7 +73,7 @@ def fold(log: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     """One row per conversation: the formatted text and ``loss_spans``, start and length of each assistant text in it."""
-    head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"))
+    head = F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>\n"))
     parts = messages.select(*MESSAGE, "role", head.alias("head"), escape(F.col("text")).alias("body"))
     parts = parts.withColumn("piece", F.concat("head", "body", F.lit(END)))
     before = Window.partitionBy("conv").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +98,7 @@ def parse(formatted: DataFrame, *keep: str) -> DataFrame:
     """Turns read from formatted texts: array of role and text, and the array of texts under the loss mask."""
     pieces = F.split(F.col("formatted"), r"<\|end\|>\n", -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    cut = lambda p: F.instr(p, "|>\n") if isinstance(p, str) else F.locate("|>\n", p)
+    cut = lambda p: F.locate("|>\n", p)
     turns = F.transform(pieces, lambda p: F.struct(
         unescape(p.substr(F.lit(3), cut(p) - 3)).alias("role"), unescape(p.substr(cut(p) + 3, F.length(p))).alias("text")))
     masked = F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(s.start, s.length)))
