@@ -9,22 +9,25 @@ from pyspark.sql import functions as F
 
 from vintara.llm.common import stored
 
+#: Leaders of a round to those of the round before.
+GROWTH = 4
 
-def components(links: DataFrame) -> DataFrame:
-    """The smallest key each linked key reaches (key, root), by alternating stars; hot keys are only grouped and joined."""
-    edges = stored(links.select(F.greatest("leader", "member").alias("a"), F.least("leader", "member").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
+
+def components(edges: DataFrame) -> DataFrame:
+    """The smallest node that each node of the edges (a, b) reaches (key, root), by alternating stars; hot nodes are only grouped and joined."""
+    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        ups = edges.groupBy("a").agg(F.count("*").alias("n"))
+        if not edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() or not edges.join(
+                ups.select(F.col("a").alias("up")), F.col("b") == F.col("up"), "left_semi").isEmpty():
+            both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+            down = large.groupBy("a").agg(F.min("b").alias("low"))
+            small = large.join(down, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+            edges = stored(small.unionAll(down.select("a", F.col("low").alias("b"))).distinct(), "edges")
+        else:
             return edges.select(F.col("a").alias("key"), F.col("b").alias("root"))
-        mark = now
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        edges = stored(small.unionAll(down.select("a", F.col("low").alias("b"))).distinct(), "edges")
 
 
 def shared(banded: DataFrame) -> DataFrame:
@@ -36,24 +39,30 @@ def shared(banded: DataFrame) -> DataFrame:
 def roots(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Classes (key, root) of the docs in shared buckets; None when no bucket is shared.
 
-    In a bucket the smallest docs lead: all later rows of another class are compared with them by ``verify``, which keeps the pairs
-    (leader, member) that hold. A bucket is done when its rows that have not led yet are of one class. Each round doubles the
-    leaders, so the rounds are few, and no link between rows of different classes is left out.
+    In a bucket the smallest docs lead: all later rows of another class are compared with them by ``verify``, which gets pairs
+    (leader, member, a, b) with the classes a and b of both and keeps those that hold. A bucket is done when its rows that have not led yet are of
+    one class. Each round has ``GROWTH`` times the leaders, so the rounds are few, and no link between rows of different
+    classes is left out. Leaders are found by a limit within tasks, and classes joined by their roots only, so a bucket with very many rows
+    lies in one task at no time.
     """
-    links, found, leaders = None, None, 1
-    while True:
-        rooted = rows.withColumn("root", F.col("doc")) if found is None else (
-            rows.join(found.select(F.col("key").alias("doc"), "root"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root")))
-        apart = rooted.groupBy(F.col("bucket").alias("b")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        live = rooted.join(apart, F.col("bucket") == F.col("b")).select("bucket", "doc", "root")
-        ranked = stored(live.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))), "rounds")
-        if ranked.isEmpty():
-            return found
-        heads = ranked.where(F.col("place") <= leaders).select(
-            F.col("bucket").alias("b"), F.col("doc").alias("leader"), F.col("root").alias("head_root"), F.col("place").alias("head"))
-        met = ranked.join(heads, (F.col("bucket") == F.col("b")) & (F.col("root") != F.col("head_root")) & (F.col("place") > F.col("head")))
-        kept = stored(verify(met.select("leader", F.col("doc").alias("member")).distinct()), "links")
-        links = kept if links is None else links.unionAll(kept)
-        found = components(links)
-        rows = ranked.where(F.col("place") > leaders).select("bucket", "doc")
-        leaders *= 2
+    live, found, leaders = stored(rows.withColumn("root", F.col("doc")), "live"), None, 1
+    while not live.isEmpty():
+        first = F.row_number().over(Window.partitionBy("bucket").orderBy("doc"))
+        heads = stored(live.withColumn("place", first).where(F.col("place") <= leaders).select(
+            F.col("bucket").alias("b"), F.col("doc").alias("leader"), F.col("root").alias("head_root")), "heads")
+        met = live.join(heads, (F.col("bucket") == F.col("b")) & (F.col("root") != F.col("head_root")) & (F.col("doc") > F.col("leader")))
+        pairs = met.select("leader", F.col("doc").alias("member"), F.col("head_root").alias("a"), F.col("root").alias("b")).distinct()
+        joined = components(verify(pairs).select("a", "b"))
+        if found is None:
+            found = joined
+        else:
+            later = joined.select(F.col("key").alias("root"), F.col("root").alias("next"))
+            found = stored(found.join(later, "root", "left").select("key", F.coalesce("next", "root").alias("root")).unionAll(joined), "roots")
+        last = heads.groupBy(F.col("b")).agg(F.max("leader").alias("last"))
+        rest = live.join(last, (F.col("bucket") == F.col("b")) & (F.col("doc") > F.col("last"))).select("bucket", "doc", "root")
+        moved = rest.join(joined.select(F.col("key").alias("root"), F.col("root").alias("next")), "root", "left")
+        now = moved.select("bucket", "doc", F.coalesce("next", "root").alias("root"))
+        apart = now.groupBy(F.col("bucket").alias("b")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        live = stored(now.join(apart, F.col("bucket") == F.col("b")).select("bucket", "doc", "root"), "live")
+        leaders *= GROWTH
+    return found

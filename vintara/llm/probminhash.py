@@ -5,8 +5,9 @@ run sends a Poisson process of arrivals whose rate is its weight, each arrival a
 register keeps the run that arrived first. Arrivals come in order of time, so a run stops as soon as it is later than all
 registers of its text. Two texts agree on a register with the probability Jaccard similarity of their weighted sets.
 
-Registers form bands; texts that agree on a band share a bucket. Rows of a bucket are compared with its leaders (``buckets.roots``) by the exact
-similarity of their texts, so a large group of near copies is never expanded into all its pairs. Exact copies are one row throughout.
+Registers form bands; texts that agree on a band share a bucket. Texts that buckets connect form a group, and inside groups texts are compared by the
+exact similarity, except those already joined and those whose registers say that they are far from the least similarity. Large groups
+are cut into chunks and each pair of chunks is compared in one task, which returns the links that join its texts and no pairs. Exact copies are one row throughout.
 
 Null texts are empty; texts without words are near copies only of equal texts. Rows with a null key join the class of an equal text or
 get none. Texts that share a key share its class. An empty table gives no rows.
@@ -19,15 +20,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.llm import buckets
-from vintara.llm.common import lots, stored, text_rows, with_workers
+from vintara.llm.common import lots, partitions, stored, text_rows, with_workers
 
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Docs of a chunk, and the largest group that is compared without registers.
+CHUNK, FEW = 256, 12
+#: Share of equal registers four deviations below the least similarity.
+FAR = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 _U = np.uint64
@@ -128,25 +133,69 @@ def sketches(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(run, "key long, digest string, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (leader, member) whose texts are similar enough; ``texts`` has key and text."""
-    sides = pairs.join(texts.select(F.col("key").alias("member"), F.col("text").alias("member_text")), "member")
-    sides = sides.join(texts.select(F.col("key").alias("leader"), F.col("text").alias("leader_text")), "leader")
+def links_within(rows: list[tuple[int, int, str]], hashes: WordHashes) -> list[tuple[int, int]]:
+    """Links among rows (side, key, text) that join all rows linked by the exact similarity.
+
+    Rows of side 0 are compared with each other if there is no side 1, else with those of side 1. Rows already joined need no
+    comparison; registers spare the exact one where they are far from the least similarity.
+    """
+    sets = [weighted_runs(hashes.of(text)) for _, _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    other = np.array([side for side, _, _ in rows])
+    split = bool(other.any())
+    kept = signatures(sets) if len(rows) > FEW else None
+    out = []
+    for i in range(len(rows)):
+        if split and other[i]:
+            continue
+        rest = np.flatnonzero(other == 1) if split else np.arange(i + 1, len(rows))
+        if kept is not None and len(rest):
+            rest = rest[(kept[rest] == kept[i]).mean(axis=1) >= FAR]
+        for j in rest.tolist():
+            a, b = find(i), find(j)
+            if a != b and similarity(sets[i], sets[j]) >= SIMILAR:
+                root[b] = a
+                out.append((rows[i][1], rows[j][1]))
+    return out
+
+
+def linked(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the docs of each group. ``groups`` has group, doc and place, its position in the group; ``texts`` has key and text.
+
+    A group is cut into chunks of ``CHUNK`` docs, and each pair of chunks is compared by one task, so large groups spread and only links leave a task.
+    """
+    sizes = groups.groupBy(F.col("group").alias("g")).agg(F.max("place").alias("last"))
+    placed = groups.join(sizes, F.col("group") == F.col("g")).withColumn("mine", F.floor(F.col("place") / CHUNK).cast("int"))
+    others = F.sequence(F.lit(0), F.floor(F.col("last") / CHUNK).cast("int"))
+    spread = placed.join(texts, F.col("doc") == F.col("key")).select("group", "doc", "text", "mine", F.explode(others).alias("other"))
+    cell = spread.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "doc", "text")
+    dealt = cell.repartition(partitions(groups.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, held = WordHashes(), None, None
+        hashes, held, current = WordHashes(), [], None
+
+        def out() -> pa.RecordBatch:
+            found = links_within(held, hashes)
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
         for batch in batches:
-            leaders, members = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts, leading, hits = batch.column(2), batch.column(3), []
-            for row, leader in enumerate(leaders):
-                if leader != known:
-                    known, held = leader, weighted_runs(hashes.of(leading[row].as_py()))
-                hits.append(similarity(held, weighted_runs(hashes.of(texts[row].as_py()))) >= SIMILAR)
-            rows = [i for i, hit in enumerate(hits) if hit]
-            yield pa.RecordBatch.from_pydict({"leader": pa.array([leaders[i] for i in rows], pa.int64()),
-                                              "member": pa.array([members[i] for i in rows], pa.int64())})
+            for group, i, j, side, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, i, j) != current and held:
+                    yield out()
+                    held = []
+                current = group, i, j
+                held.append((side, doc, text))
+        if held:
+            yield out()
 
-    return sides.select("leader", "member", "member_text", "leader_text").mapInArrow(run, "leader long, member long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def classes(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,18 +215,29 @@ def one_of_each(frame: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return keyed.unionAll(bare)
 
 
+def _placed(groups: DataFrame) -> DataFrame:
+    """A position for each doc of its group. Docs are dealt into cells by a hash first, so a large group is numbered by many tasks."""
+    cells = groups.withColumn("cell", F.pmod(F.xxhash64("doc"), 64))
+    sizes = cells.groupBy("group", "cell").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("group").alias("g"), F.col("cell").alias("c"), before.alias("start"))
+    inside = F.row_number().over(Window.partitionBy("group", "cell").orderBy("doc"))
+    numbered = cells.withColumn("n", inside).join(starts, (F.col("group") == F.col("g")) & (F.col("cell") == F.col("c")))
+    return numbered.select("group", "doc", (F.col("start") + F.col("n") - 1).alias("place"))
+
+
 def _classes(frame: DataFrame, key: str, text: str) -> DataFrame:
     sketched = stored(sketches(frame, key, text), "sketches")
     copies = sketched.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
     banded = copies.where("rep is not null").select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket"))
-    rows = stored(buckets.shared(banded), "buckets")
-    wanted = rows.select(F.col("doc").alias("want")).distinct()
+    leads = banded.groupBy(F.col("bucket").alias("b")).agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    near = stored(banded.join(leads, F.col("bucket") == F.col("b")).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "near")
+    joined = buckets.components(near)
+    groups = joined.select("root", "key").unionAll(joined.select("root", F.col("root").alias("key")).distinct())
+    groups = stored(groups.select(F.col("root").alias("group"), F.col("key").alias("doc")), "groups")
     plain = text_rows(frame, key, text).select(F.col("key").cast("long").alias("key"), "text")
-    texts = stored(plain.join(wanted, F.col("key") == F.col("want"), "left_semi").dropDuplicates(["key"]), "texts")
-    roots = buckets.roots(rows, lambda pairs: verified(pairs, texts))
+    texts = stored(plain.join(groups.select(F.col("doc").alias("want")), F.col("key") == F.col("want"), "left_semi").dropDuplicates(["key"]), "texts")
+    roots = buckets.components(linked(_placed(groups), texts))
     named = copies.select("digest", "rep")
-    if roots is not None:
-        named = named.join(roots.select(F.col("key").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
-    else:
-        named = named.select("digest", F.col("rep").alias("class_id"))
+    named = named.join(roots.select(F.col("key").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
     return sketched.select("key", "digest").join(named, "digest").select("key", "digest", "class_id")

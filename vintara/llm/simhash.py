@@ -119,7 +119,7 @@ def classes(prints: DataFrame) -> DataFrame:
     rows = stored(buckets.shared(distinct.select("doc", F.explode(F.array(*tables)).alias("bucket"))), "tables")
     side = lambda name: distinct.select(F.col("doc").alias(name), F.col("high").alias(f"{name}_high"), F.col("low").alias(f"{name}_low"))
     close = distance(("leader_high", "leader_low"), ("member_high", "member_low")) <= RADIUS
-    found = buckets.roots(rows, lambda pairs: pairs.join(side("member"), "member").join(side("leader"), "leader").where(close).select("leader", "member"))
+    found = buckets.roots(rows, lambda pairs: pairs.join(side("member"), "member").join(side("leader"), "leader").where(close).select("a", "b"))
     if found is None:
         return distinct.select("high", "low", F.col("doc").alias("class_id"))
     return distinct.join(found.select(F.col("key").alias("doc"), "root"), "doc", "left").select("high", "low", F.coalesce("root", "doc").alias("class_id"))
