@@ -37,7 +37,7 @@ CLASSES = HEADS + TAILS
 #: Histories: head words, tail classes, and the place before a text.
 SYMBOLS = HEAD + TAILS + 1
 PAIRS, INNER = 1 << 13, 1 << 13
-KNOWN = 250_000
+KNOWN = 200_000
 REMEMBERED = 200_000
 ROUNDS, RATE, STEP = 2, 0.25, 8_192
 BLOCK = 4_096
@@ -88,6 +88,8 @@ class Model:
             at += rows * columns
         self.outer, self.bias, self.inner, self.inner_bias = parts
         self.open = np.where(np.arange(HEAD).reshape(HEADS, MEMBERS) < head, 0, -1e9).astype(np.float32)
+        self.shut = np.where(np.arange(CLASSES) * MEMBERS < head, 0, -1e9).astype(np.float32)  # head classes without members
+        self.shut[HEADS:] = 0
 
     @classmethod
     def size(cls) -> int:
@@ -111,7 +113,8 @@ class Model:
         group = np.where(inside, numbers // MEMBERS, HEADS + np.where(unknown, numbers - UNKNOWN, self.tails[np.where(unknown, 0, numbers)]))
         symbol = np.where(inside, numbers, HEAD - HEADS + group)
         place = np.arange(len(numbers)) - starts
-        back = [np.where(place >= k, np.concatenate([np.zeros(k, np.int64), symbol[: len(symbol) - k]]), SYMBOLS - 1) for k in (1, 2, 3)]
+        at = np.arange(len(numbers))
+        back = [np.where(place >= k, symbol[np.maximum(at - k, 0)], SYMBOLS - 1) for k in (1, 2, 3)]
         pair = (back[0] * 40_503 + back[1] * 9_973) % PAIRS
         outer = np.stack([back[0], SYMBOLS + back[1], 2 * SYMBOLS + back[2], 3 * SYMBOLS + pair])
         inner = np.stack([(group * 7_919 + back[0] * 40_503) % INNER, (group * 7_919 + back[1] * 30_011 + 17) % INNER])
@@ -122,7 +125,7 @@ class Model:
         a = self.outer[outer[0]]
         for row in outer[1:]:
             a += self.outer[row]
-        a += self.bias
+        a += self.bias + self.shut
         a -= a.max(axis=1, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(axis=1, keepdims=True)
@@ -212,6 +215,26 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The tokens above the count that at most ``KNOWN`` tokens reach, by frequency, and their counts.
+
+    The count is found from a histogram with steps of an eighth of an octave, so tasks send only its cells and then the tokens themselves.
+    """
+    cells = counts.groupBy(F.floor(F.log2("n") * 8).alias("cell")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).collect()
+    least, taken = None, 0
+    for cell in sorted(cells, key=lambda c: -c["cell"]):
+        taken += cell["tokens"]
+        if taken > KNOWN:
+            break
+        least = cell["least"]
+    if least is None:
+        return [], np.empty(0)
+    found = counts.where(F.col("n") >= least).toArrow()
+    words, sizes = found.column("token").to_pylist(), found.column("n").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-sizes[i], words[i]))
+    return [words[i] for i in order], sizes[order].astype(float)
+
+
 def tail_totals(counts: DataFrame, head: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Training tokens and distinct words of each tail class."""
 
@@ -288,8 +311,7 @@ def score(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     learned = rows.where(fold != HELD_OUT).withColumn("turn", F.pmod(F.xxhash64("key"), ROUNDS))
     counts = stored(count_tokens(learned), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("n"), "token").limit(KNOWN).collect()]
-    ranked, known = [w for w, _ in top], np.array([n for _, n in top], float)
+    ranked, known = most_frequent(counts)
     head = min(HEAD, len(ranked))
     n, v = tail_totals(counts, set(ranked[:head]))
     tails = np.array([tail_class(w) for w in ranked] or [0], np.int64)
