@@ -96,73 +96,95 @@ SELECT o_orderkey AS id, year(o_orderdate)::INTEGER AS yr,
 FROM orders
 """)
 
-cte("t_seq", """
-SELECT *, coalesce(age <= prev_age, false) AS is_reset, coalesce(age - prev_age > 1, false) AS is_gap
-FROM (SELECT *, lag(age) OVER (PARTITION BY id ORDER BY period) AS prev_age FROM t_perf)
+# A loan is one ordered list of months. Where its clock breaks is a list position, the usable months are the list
+# cut there, and every exit is the smallest age of a filtered list. Nothing below runs a window over months.
+
+cte("t_story", """
+SELECT id, any_value(yr) AS yr, list({'period': period, 'age': age, 'month': month, 'remaining': remaining, 'bal': bal,
+       'rate': rate, 'status': status, 'zb': zb, 'loss': loss, 'mod_flag': mod_flag} ORDER BY period) AS told
+FROM t_perf GROUP BY id
 """)
 
-cte("t_marks", f"""
-SELECT *,
-       coalesce(status = 'RA' OR missed >= {S.delinquency_threshold}, false) AS is_late,
-       coalesce(zb IN ('02', '03', '09'), false) AS is_event,
-       coalesce(zb = '01', false) AS is_prepaid,
-       coalesce(zb IN ('15', '16', '96'), false) AS is_informative,
-       age + remaining AS implied_term,
-       coalesce(missed > age + 1, false) AS too_late,
-       NOT broken AND NOT gapped AND age BETWEEN 0 AND {H} AS usable
-FROM (
-    SELECT *, CASE WHEN regexp_full_match(status, '[0-9]+') THEN status::INTEGER END AS missed,
-           bool_or(is_reset) OVER upto AS broken, bool_or(is_gap) OVER upto AS gapped
-    FROM t_seq
-    WINDOW upto AS (PARTITION BY id ORDER BY period ROWS UNBOUNDED PRECEDING)
-)
+cte("t_breaks", """
+SELECT *, list_filter(range(2, len(told) + 1), lambda i: told[i].age <= told[i - 1].age) AS resets,
+       list_filter(range(2, len(told) + 1), lambda i: told[i].age > told[i - 1].age + 1) AS gaps
+FROM t_story
 """)
 
-cte("t_whole", """
-SELECT id, arg_min(prev_age, period) FILTER (WHERE is_reset) AS before_reset,
-       arg_min(prev_age, period) FILTER (WHERE is_gap) AS before_gap,
-       bool_or(is_reset) AS ever_reset, bool_or(is_gap) AS ever_gap, count(*) AS n_all,
-       min(age) FILTER (WHERE is_late) AS late_age_all, min(age) FILTER (WHERE is_event) AS event_age_all,
-       min(month) FILTER (WHERE is_late) AS late_month, min(month) FILTER (WHERE is_event) AS event_month
-FROM t_marks GROUP BY id
+
+def _ages(months: str, condition: str) -> str:
+    """Smallest age of the months of a list that meet a condition on m."""
+    return f"list_min(list_transform(list_filter({months}, lambda m: {condition}), lambda m: m.age))"
+
+
+# Conditions on one month m; the status codes are fixed values of the file layout.
+MISSED = "try_cast(m.status AS INTEGER)"
+LATE = f"(coalesce(m.status = 'RA', false) OR coalesce({MISSED} >= {S.delinquency_threshold}, false))"
+CREDIT = "coalesce(list_contains(['02', '03', '09'], m.zb), false)"
+PREPAID = "coalesce(m.zb = '01', false)"
+OTHER_END = "coalesce(list_contains(['15', '16', '96'], m.zb), false)"
+TOO_LATE = f"coalesce({MISSED} > m.age + 1, false)"
+
+cte("t_cut", f"""
+SELECT *, list_filter(told[1:least(resets[1], gaps[1], len(told) + 1) - 1], lambda m: m.age >= 0 AND m.age <= {H}) AS kept
+FROM t_breaks
 """)
 
-cte("t_inside", """
-SELECT id, any_value(yr) AS yr, min(age) AS first_age, max(age) AS last_age, count(*) AS n_in,
-       min(age) FILTER (WHERE is_late) AS late_age, min(age) FILTER (WHERE is_event) AS event_age,
-       min(age) FILTER (WHERE is_prepaid) AS prepaid_age,
-       min(age) FILTER (WHERE is_informative) AS informative_age,
-       bool_or(too_late) AS any_too_late, arg_min(implied_term, period) AS entry_term
-FROM t_marks WHERE usable GROUP BY id
+cte("t_ends", f"""
+SELECT *, kept[1].age AS first_age, kept[-1].age AS last_age,
+       {_ages('kept', LATE)} AS late_age, {_ages('kept', CREDIT)} AS event_age, {_ages('kept', PREPAID)} AS prepaid_age,
+       {_ages('kept', OTHER_END)} AS informative_age, {_ages('told', LATE)} AS late_age_all, {_ages('told', CREDIT)} AS event_age_all,
+       list_min(list_transform(list_filter(told, lambda m: {LATE}), lambda m: m.month)) AS late_month,
+       list_min(list_transform(list_filter(told, lambda m: {CREDIT}), lambda m: m.month)) AS event_month,
+       CASE WHEN len(resets) > 0 THEN told[resets[1] - 1].age END AS before_reset,
+       CASE WHEN len(gaps) > 0 THEN told[gaps[1] - 1].age END AS before_gap,
+       len(list_filter(kept, lambda m: {TOO_LATE})) > 0 AS any_too_late, kept[1].age + kept[1].remaining AS entry_term
+FROM t_cut
+""")
+
+
+def first_end(*ages: str) -> str:
+    """Age of the exit: the smallest of these ages, the horizon and the last usable age."""
+    return f"list_min([{', '.join(ages)}, {H}, last_age])"
+
+
+def end_reason(default_age: str, exit_age: str) -> str:
+    """Why a loan leaves: the first cause in order of rank whose age is the exit age."""
+    causes = [(f"{default_age} = {exit_age}", "default"), (f"prepaid_age = {exit_age}", "prepaid"),
+              (f"informative_age = {exit_age}", "informative_exit"), (f"{exit_age} >= {H}", "administrative_censor"),
+              (f"before_reset = {exit_age}", "clock_reset_censor"), (f"before_gap = {exit_age}", "month_gap_censor")]
+    listed = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in causes)
+    return f"coalesce({listed}, 'data_censor')"
+
+
+cte("t_left", f"""
+SELECT *, list_min([late_age, event_age]) AS default_age, {first_end('late_age', 'event_age', 'prepaid_age', 'informative_age')} AS exit_age
+FROM t_ends WHERE len(kept) > 0
 """)
 
 cte("t_exits", f"""
-SELECT *,
-       CASE WHEN default_age = exit_age THEN 'default' WHEN prepaid_age = exit_age THEN 'prepaid'
-            WHEN informative_age = exit_age THEN 'informative_exit'
-            WHEN exit_age >= {H} THEN 'administrative_censor'
-            WHEN before_reset = exit_age THEN 'clock_reset_censor'
-            WHEN before_gap = exit_age THEN 'month_gap_censor' ELSE 'data_censor' END AS reason,
-       any_too_late OR term_differs AS off_clock
-FROM (
-    SELECT t_inside.*, t_whole.* EXCLUDE (id), term,
-           least(late_age, event_age) AS default_age,
-           least(late_age, event_age, prepaid_age, informative_age, {H}, last_age) AS exit_age,
-           coalesce(entry_term <> term, false) AS term_differs
-    FROM t_inside JOIN t_whole USING (id) LEFT JOIN (SELECT id, term FROM t_book) USING (id)
-)
+SELECT l.id, l.yr, kept, told, first_age, last_age, late_age, event_age, prepaid_age, informative_age, default_age, exit_age,
+       late_age_all, event_age_all, late_month, event_month, before_reset, before_gap, entry_term, any_too_late,
+       len(kept) AS n_in, len(told) AS n_all, len(resets) > 0 AS ever_reset, len(gaps) > 0 AS ever_gap,
+       {end_reason('default_age', 'exit_age')} AS reason, b.term,
+       coalesce(entry_term != b.term, false) AS term_differs, any_too_late OR coalesce(entry_term != b.term, false) AS off_clock
+FROM t_left l LEFT JOIN t_book b ON b.id = l.id
 """)
 
-_PANEL = """
-SELECT m.id, m.yr, m.age, m.period, m.month, m.bal, m.status, m.zb, m.loss, m.missed, m.mod_flag,
-       e.exit_age, e.reason, e.first_age, e.ever_reset,
-       m.age = e.exit_age AS leaves,
-       m.age = e.exit_age AND e.reason = 'default' AS y_def,
-       m.age = e.exit_age AND e.reason = 'prepaid' AS y_pre,
-       b.fico, b.cltv, b.dti, b.upb, b.rate, b.term, b.first_home, b.purpose, b.occupancy,
-       b.channel, b.borrowers, b.units, b.state
-FROM t_marks m JOIN t_exits e USING (id) JOIN t_book b USING (id)
-WHERE m.usable AND m.age <= e.exit_age
+_AT_RISK = f"""
+SELECT e.id, e.yr, m.age, m.period, m.month, m.bal, m.status, m.zb, m.loss, {MISSED} AS missed, m.mod_flag,
+       e.exit_age, e.reason, e.first_age, e.ever_reset, b.* EXCLUDE (id, yr),
+       m.age = e.exit_age AS leaves, m.age = e.exit_age AND e.reason = 'default' AS y_def,
+       m.age = e.exit_age AND e.reason = 'prepaid' AS y_pre
+FROM (SELECT *, unnest(list_filter(kept, lambda x: x.age <= exit_age)) AS m FROM t_exits) e JOIN t_book b ON b.id = e.id
 """
-cte("t_panel", _PANEL + " AND NOT e.off_clock")
-cte("t_panel_all", _PANEL)
+cte("t_panel", _AT_RISK + " WHERE NOT e.off_clock")
+cte("t_panel_all", _AT_RISK)
+
+# Every month with what its position in the list says.
+cte("t_months", f"""
+SELECT id, m.period, m.age, CASE WHEN i > 1 THEN told[i - 1].age END AS age_before, list_contains(resets, i) AS is_reset, list_contains(gaps, i) AS is_gap,
+       coalesce(i >= resets[1], false) AS broken, coalesce(i >= gaps[1], false) AS gapped, {MISSED} AS missed, {LATE} AS is_late,
+       {CREDIT} AS is_event, {PREPAID} AS is_prepaid, {OTHER_END} AS is_informative, m.age + m.remaining AS implied_term, {TOO_LATE} AS too_late
+FROM (SELECT *, told[i] AS m FROM (SELECT *, unnest(range(1, len(told) + 1)) AS i FROM t_breaks))
+""")

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from vintara.plans.oracle.base import H, S, TEST, TRAIN, cte, with_sql
+from vintara.plans.oracle.base import H, S, TEST, TRAIN, cte, end_reason, first_end, with_sql
 
-cte("t_counts", """
-SELECT yr, age, count(*) AS at_risk, count(*) FILTER (WHERE y_def) AS defaults,
-       count(*) FILTER (WHERE y_pre) AS prepayments,
-       count(*) FILTER (WHERE leaves AND reason NOT IN ('default', 'prepaid', 'administrative_censor')) AS censored
-FROM t_panel GROUP BY yr, age
+# Curves from their definitions: a survival is the product over all earlier ages, an incidence the sum over them, each
+# a self-contained list expression over the cohort's ordered risk sets.
+cte("t_risk", """
+SELECT yr, age, count(*) AS at_risk, count_if(y_def) AS defaults, count_if(y_pre) AS prepayments,
+       count_if(leaves AND NOT y_def AND NOT y_pre AND reason != 'administrative_censor') AS censored
+FROM t_panel GROUP BY ALL
 """)
-cte("t_haz", """
-SELECT t_counts.*, cohort_size, defaults::DOUBLE / at_risk AS hd, prepayments::DOUBLE / at_risk AS hp
-FROM t_counts JOIN (SELECT yr, count(DISTINCT id) AS cohort_size FROM t_panel GROUP BY yr) USING (yr)
+cte("t_cohorts", """
+SELECT yr, list({'age': age, 'n': at_risk, 'd': defaults, 'p': prepayments, 'c': censored,
+                 'd_rate': defaults::DOUBLE / at_risk, 'p_rate': prepayments::DOUBLE / at_risk} ORDER BY age) AS r
+FROM t_risk GROUP BY yr
 """)
-cte("t_surv", """
-SELECT *, product(1e0 - hd - hp) OVER upto AS s, 1e0 - product(1e0 - hd) OVER upto AS km,
-       sum(defaults) OVER upto AS cd, sum(prepayments) OVER upto AS cp, sum(censored) OVER upto AS cc
-FROM t_haz WINDOW upto AS (PARTITION BY yr ORDER BY age ROWS UNBOUNDED PRECEDING)
+cte("t_stay", """
+SELECT c.*, (SELECT count(DISTINCT id) FROM t_panel p WHERE p.yr = c.yr) AS cohort_size,
+       list_transform(range(0, len(r) + 1), lambda i: coalesce(list_product(list_transform(r[1:i], lambda x: 1e0 - x.d_rate - x.p_rate)), 1e0)) AS alive
+FROM t_cohorts c
 """)
 cte("t_curves", f"""
-SELECT yr AS vintage, age AS loan_age, at_risk, defaults, prepayments, censored, cohort_size,
-       hd AS hazard_default, hp AS hazard_prepay, s AS survival, km AS km_default, s0 AS survival_entering,
-       sum(s0 * hd) OVER upto AS cif_default, sum(s0 * hp) OVER upto AS cif_prepay,
-       cd::DOUBLE / cohort_size AS naive_default, cp::DOUBLE / cohort_size AS naive_prepay,
-       cc::DOUBLE / cohort_size AS naive_censored,
-       1e0 - (cd + cp + cc)::DOUBLE / cohort_size AS not_yet_exited_share
-FROM (SELECT *, coalesce(lag(s) OVER (PARTITION BY yr ORDER BY age), 1e0) AS s0 FROM t_surv)
-WHERE age <= {H}
-WINDOW upto AS (PARTITION BY yr ORDER BY age ROWS UNBOUNDED PRECEDING)
+SELECT yr AS vintage, r[i].age AS loan_age, cohort_size, r[i].n AS at_risk, r[i].d AS defaults, r[i].p AS prepayments, r[i].c AS censored,
+       r[i].d_rate AS hazard_default, r[i].p_rate AS hazard_prepay, alive[i] AS survival_entering, alive[i + 1] AS survival,
+       1e0 - list_product(list_transform(r[1:i], lambda x: 1e0 - x.d_rate)) AS km_default,
+       list_sum(list_transform(range(1, i + 1), lambda j: alive[j] * r[j].d_rate)) AS cif_default,
+       list_sum(list_transform(range(1, i + 1), lambda j: alive[j] * r[j].p_rate)) AS cif_prepay,
+       list_sum(list_transform(r[1:i], lambda x: x.d)) / cohort_size::DOUBLE AS naive_default,
+       list_sum(list_transform(r[1:i], lambda x: x.p)) / cohort_size::DOUBLE AS naive_prepay,
+       list_sum(list_transform(r[1:i], lambda x: x.c)) / cohort_size::DOUBLE AS naive_censored,
+       1e0 - list_sum(list_transform(r[1:i], lambda x: x.d + x.p + x.c)) / cohort_size::DOUBLE AS not_yet_exited_share
+FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM t_stay) WHERE r[i].age <= {H}
 """)
 cte("t_calendar", f"""
 SELECT yr AS vintage, month AS calendar_month, avg(age) AS mean_loan_age, count(*) AS at_risk,
@@ -84,48 +87,36 @@ STATEMENTS = {
                round(removed, 4) AS zero_balance_removal_upb, round(loss, 5) AS actual_loss
         FROM t_perf"""),
     "p1_sequence_months": with_sql("""
-        SELECT id AS loan_identifier, period, age AS loan_age, prev_age AS previous_loan_age,
-               is_reset AS loan_age_reset, is_gap AS follows_month_gap FROM t_seq"""),
+        SELECT id AS loan_identifier, period, age AS loan_age, age_before AS previous_loan_age,
+               is_reset AS loan_age_reset, is_gap AS follows_month_gap FROM t_months"""),
     "p2_classify_months": with_sql("""
         SELECT id AS loan_identifier, period, missed AS missed_payments,
                is_late AS at_or_past_delinquency_threshold, is_event AS terminated_credit_event,
                is_prepaid AS terminated_prepaid, is_informative AS terminated_informative,
                implied_term AS implied_original_term, too_late AS delinquency_exceeds_loan_age
-        FROM t_marks"""),
+        FROM t_months"""),
     "p3_sticky_breaks": with_sql("""
         SELECT id AS loan_identifier, period, broken AS clock_broken, gapped AS after_month_gap
-        FROM t_marks"""),
+        FROM t_months"""),
     "p4_eligible_window": with_sql("""
-        SELECT id AS loan_identifier, period, age AS loan_age FROM t_marks WHERE usable"""),
+        SELECT id AS loan_identifier, k.period, k.age AS loan_age FROM (SELECT id, unnest(kept) AS k FROM t_cut)"""),
     "p5_p6_loan_histories": with_sql("""
-        SELECT w.id AS loan_identifier, before_reset AS age_before_clock_reset,
-               before_gap AS age_before_month_gap, ever_reset AS ever_clock_reset,
-               ever_gap AS ever_month_gap, n_all AS observed_months_total,
+        SELECT id AS loan_identifier, before_reset AS age_before_clock_reset, before_gap AS age_before_month_gap,
+               len(resets) > 0 AS ever_clock_reset, len(gaps) > 0 AS ever_month_gap, len(told) AS observed_months_total,
                late_age_all AS first_delinquent_age_observed, event_age_all AS credit_event_age_observed,
                late_month AS first_delinquent_month_observed, event_month AS credit_event_month_observed,
-               first_age AS first_observed_age, last_age AS last_eligible_age,
-               coalesce(n_in, 0) AS eligible_months, late_age AS first_delinquent_age,
-               event_age AS credit_event_age, prepaid_age, informative_age AS informative_exit_age,
-               entry_term AS entry_implied_term
-        FROM t_whole w LEFT JOIN t_inside i ON w.id = i.id"""),
+               first_age AS first_observed_age, list_max(list_transform(kept, lambda m: m.age)) AS last_eligible_age,
+               len(kept) AS eligible_months, late_age AS first_delinquent_age, event_age AS credit_event_age, prepaid_age,
+               informative_age AS informative_exit_age, entry_term AS entry_implied_term
+        FROM t_ends"""),
     "p7_loan_exits": with_sql(f"SELECT {_EXIT_COLUMNS} FROM t_exits"),
     "p8_off_clock_kept": with_sql("""
         SELECT reason AS exit_reason, count(*) AS months, count(DISTINCT id) AS loans,
                count(*) FILTER (WHERE y_def) AS events FROM t_panel_all GROUP BY reason"""),
     "p9_default_by_termination": with_sql(f"""
-        SELECT yr AS origination_vintage, reason AS exit_reason, count(*) AS loans,
-               sum(exit_age)::BIGINT AS exit_age_total
-        FROM (
-            SELECT yr, least(event_age, prepaid_age, informative_age, {H}, last_age) AS exit_age,
-                   CASE WHEN event_age = least(event_age, prepaid_age, informative_age, {H}, last_age) THEN 'default'
-                        WHEN prepaid_age = least(event_age, prepaid_age, informative_age, {H}, last_age) THEN 'prepaid'
-                        WHEN informative_age = least(prepaid_age, informative_age, {H}, last_age, event_age) THEN 'informative_exit'
-                        WHEN least(prepaid_age, informative_age, {H}, last_age, event_age) >= {H} THEN 'administrative_censor'
-                        WHEN before_reset = least(prepaid_age, informative_age, {H}, last_age, event_age) THEN 'clock_reset_censor'
-                        WHEN before_gap = least(prepaid_age, informative_age, {H}, last_age, event_age) THEN 'month_gap_censor'
-                        ELSE 'data_censor' END AS reason
-            FROM t_inside JOIN t_whole USING (id)
-        ) GROUP BY yr, reason"""),
+        SELECT yr AS origination_vintage, {end_reason('event_age', 'gone')} AS exit_reason, count(*) AS loans, sum(gone)::BIGINT AS exit_age_total
+        FROM (SELECT *, {first_end('event_age', 'prepaid_age', 'informative_age')} AS gone FROM t_ends WHERE len(kept) > 0)
+        GROUP BY 1, 2"""),
     "p10_months_to_disposition": with_sql("""
         SELECT yr AS origination_vintage, datediff('month', late_month, event_month) AS months_delinquent_to_disposition,
                count(*) AS loans
@@ -139,7 +130,7 @@ STATEMENTS = {
     "p12_panel": with_sql(f"SELECT {_PANEL_COLUMNS} FROM t_panel"),
     "p13_panel_report": with_sql("""
         SELECT (SELECT count(DISTINCT id) FROM t_book) AS cohort_loans,
-               (SELECT count(*) FROM (SELECT DISTINCT id FROM t_perf) ANTI JOIN t_inside USING (id)) AS loans_without_eligible_months,
+               (SELECT count(*) FROM (SELECT DISTINCT id FROM t_perf) ANTI JOIN t_left USING (id)) AS loans_without_eligible_months,
                (SELECT count(*) FROM t_panel) AS rows,
                (SELECT count(DISTINCT id) FROM t_panel) AS loans,
                (SELECT count(*) FROM t_panel WHERE y_def) AS events,
@@ -156,7 +147,8 @@ STATEMENTS = {
                (SELECT round(avg(n), 9) FROM (SELECT count(*) AS n FROM t_panel GROUP BY id)) AS mean_months_at_risk,
                true AS reconciles"""),
     "v1_risk_sets": with_sql("""
-        SELECT yr AS vintage, age AS loan_age, at_risk, defaults, prepayments, censored, cohort_size FROM t_haz"""),
+        SELECT yr AS vintage, age AS loan_age, at_risk, defaults, prepayments, censored, cohort_size
+        FROM t_risk JOIN (SELECT yr, cohort_size FROM t_stay) USING (yr)"""),
     "v2_v5_cohort_curves": with_sql(_CURVE),
     "v6_calendar_hazards": with_sql("""
         SELECT vintage, calendar_month, round(mean_loan_age, 9) AS mean_loan_age, at_risk, defaults,
