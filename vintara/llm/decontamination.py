@@ -2,8 +2,8 @@
 
 Items are cut into parts of at most ``PART`` words; parts are what the index holds. Postings carry BM25 impacts divided by the part's own score, so a
 passage that holds the whole part scores 1. Documents are cut into passages of ``PASSAGE`` words, each half over the next, so
-every part lies whole in some passage. All parts at or above ``LEAST_SCORE`` are retrieved: passages whose terms cannot reach it are left out by their
-summed term bounds, and the others walk the postings with pivots, skipping blocks whose maxima cannot reach it.
+every part lies whole in some passage. All parts at or above ``LEAST_SCORE`` are retrieved: passages whose terms cannot reach it are left out by
+their summed term bounds and by what the rarest terms of each part give (the others cannot make up for them), and the rest walk the postings with pivots, skipping blocks whose maxima cannot reach it.
 
 A hit is verified on the whole document: the share of the item's question (all but its last sentence) and of its answer (the last sentence; in an item
 of one sentence, its last third) whose runs of ``WIDTH`` words occur in the document. Both have to reach their share.
@@ -27,6 +27,8 @@ from vintara.llm.common import lots, stored, text_rows, with_workers
 
 PART, PASSAGE, WIDTH = 64, 128, 5
 LEAST_SCORE, QUESTION, ANSWER = 0.6, 0.6, 0.5
+#: Share of a part's score that its rarest terms make up; less than the least score is left to the others.
+LEADING = 0.7
 K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_CHARS = 8_000_000
@@ -75,6 +77,21 @@ class Index:
         self.bound = np.maximum.reduceat(self.impact, self.start[:-1]) if len(rows) else np.empty(0)
         self.blocks = [[float(self.impact[i : min(i + BLOCK, b)].max()) for i in range(a, b, BLOCK)] for a, b in zip(self.start[:-1].tolist(), self.start[1:].tolist())]
         self.item = {int(r[0]): r[1] for r in rows}
+        self._leading(term, frequency[order])
+
+    def _leading(self, term: np.ndarray, frequency: np.ndarray) -> None:
+        """The rarest postings of each part, up to ``LEADING`` of its score, and what they must reach for the rest to suffice."""
+        by_part = np.lexsort((frequency, self.part))
+        part, impact = self.part[by_part], self.impact[by_part]
+        first = np.searchsorted(part, part)
+        total = np.cumsum(impact)
+        before = total - impact - (total[first] - impact[first])
+        leads = before < LEADING
+        count = int(self.part.max()) + 1
+        self.needed = LEAST_SCORE - np.bincount(part, np.where(leads, 0.0, impact), minlength=count)
+        kept = np.sort(by_part[leads])  # in order of term again
+        self.lead_part, self.lead_impact = self.part[kept], self.impact[kept]
+        self.lead_start = np.searchsorted(term[kept], np.arange(len(self.terms) + 1))
 
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """All parts whose score over these distinct terms is at least ``least``, by block-max WAND."""
@@ -159,7 +176,16 @@ def _candidates(index: Index, numbers: list[np.ndarray]) -> Iterator[tuple[int,
     reach = np.bincount(passage, index.bound[term_of], minlength=count)
     owners = np.concatenate(owner)
     edges = np.searchsorted(passage, np.arange(count + 1))
-    for p in np.flatnonzero(reach >= LEAST_SCORE - 1e-9).tolist():
+    # What the leading postings give to each part that a passage touches.
+    begin = index.lead_start[term_of]
+    many = index.lead_start[term_of + 1] - begin
+    at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    parts = len(index.needed)
+    touched, place = np.unique(np.repeat(passage, many) * parts + index.lead_part[at], return_inverse=True)
+    led = np.bincount(place, index.lead_impact[at], minlength=len(touched))
+    able = np.zeros(count, bool)
+    able[touched[led >= index.needed[touched % parts] - 1e-9] // parts] = True
+    for p in np.flatnonzero(able & (reach >= LEAST_SCORE - 1e-9)).tolist():
         yield int(owners[p]), term_of[edges[p] : edges[p + 1]].tolist()
 
 
