@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vintara.operators import model_store, reliability
+from vintara.operators.hazard import HazardOverflow
 from vintara.operators.valuation import LEGS, loan_npv, require_sound_paths
 from vintara.operators import projection
 from vintara.plans import jobs, stored
@@ -75,7 +76,11 @@ def test_projected_hazards_equal_direct_scores(spark, folder, models):
 def test_calibrate_decide_and_ablate(spark, folder, models, report, reports):
     panel, book = stored.panel_of(spark, folder), loan_book(spark, folder)
     rates, months = rates_of(spark, folder), stored.months_of(spark, folder)
-    done = jobs.calibrate(panel, models, rates, S, report)
+    # The fit on this small book projects one month whose hazards reach one: refused by default.
+    with pytest.raises(HazardOverflow):
+        jobs.calibrate(panel, models, rates, S, report)
+    done = jobs.calibrate(panel, models, rates, S, report, strict=False)
+    assert reports["survival_audit"][0]["overflows"] > 0
     scores = {(r["population"], r["variant"]): r for r in reports["calibration_scores"]}
     assert scores[reliability.TRAIN, "raw"]["marginal_ratio"] == pytest.approx(1.0, abs=1e-6)
     assert scores[reliability.HOLDOUT, "platt"]["marginal_ratio"] == pytest.approx(1.0, abs=1e-3)
@@ -113,3 +118,54 @@ def test_values_from_two_tables_equal_values_from_one(spark, folder, models):
         F.max(F.abs(F.col("npv") - sum(F.col(c) for c in LEGS) + F.col("principal"))).alias("legs"),
     ).first()
     assert row["gap"] < 1e-6 and row["legs"] < 1e-6
+
+
+def test_files_in_subfolders_are_read_as_they_are_found(spark, tmp_path):
+    """Discovery and scan use one listing: a file in a subfolder counts for both."""
+    from vintara.settings import Settings
+    from vintara.sources import loan_files, loan_schema
+
+    columns = loan_schema.TABLES["origination"]
+    line = "|".join("1" for _ in columns)
+    for folder, year in (("", 2000), ("deep/", 2001)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / f"{folder}sample_orig_{year}.txt").write_text(line + "\n")
+    settings = Settings(source="sample", train_cohorts=(2000,), test_cohorts=(2001,))
+    found = {r[0] for r in loan_files.found_cohorts(spark, str(tmp_path), "origination", settings).collect()}
+    read = {r[0] for r in loan_files.scan_cohorts(spark, str(tmp_path), "origination", settings).select("origination_vintage").collect()}
+    assert found == read == {2000, 2001}
+
+
+def test_rates_have_to_cover_every_cohort(spark):
+    from vintara.operators.rates import UncoveredCohorts, require_rates
+    from vintara.settings import Settings
+
+    settings = Settings(train_cohorts=(2000,), test_cohorts=(2001,))
+    full = spark.createDataFrame([(2000, 0.05), (2001, 0.06)], "vintage int, discount_rate double")
+    require_rates(full, settings)
+    for short in (full.where("vintage = 2000"), full.selectExpr("vintage", "case when vintage = 2000 then 0.05D end as discount_rate")):
+        with pytest.raises(UncoveredCohorts):
+            require_rates(short, settings)
+
+
+def test_a_fit_that_hits_its_limit_says_so():
+    from vintara.operators.hazard import reached
+    from vintara.settings import Settings
+
+    settings = Settings(max_iterations=3)
+    assert reached(2, settings, "x")
+    with pytest.warns(UserWarning, match="before it converged"):
+        assert not reached(3, settings, "x")
+
+
+def test_groups_without_a_name_keep_their_prefix_sums_and_quantiles(spark):
+    from pyspark.sql import functions as F
+
+    from vintara.operators.ordering import prefix_sums
+    from vintara.operators.quantiles import exact_quantiles
+
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    sums = {(r["g"], r["v"]): r["t"] for r in prefix_sums(rows, ["g"], ["v"], t=F.col("v")).collect()}
+    assert sums == {(None, 1.0): 1.0, (None, 3.0): 4.0, ("a", 2.0): 2.0}
+    found = {r["g"]: r["quantiles"] for r in exact_quantiles(rows, ["g"], "v", [0.5]).collect()}
+    assert found == {None: [2.0], "a": [2.0]}

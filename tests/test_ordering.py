@@ -34,7 +34,7 @@ def skewed(spark):
 
 def _both(rows, step):
     plain = Timeline.of(rows, ["key"], ["at"])
-    split = Timeline.of(rows, ["key"], ["at"], hot=["hot"])
+    split = Timeline.of(rows, ["key"], ["at"], hot=rows.where("key = 'hot'").select("key").distinct())
     assert split.sliced and split.rows.where(F.col(SLICE) >= 0).select(SLICE).distinct().count() > 1
     left, right = step(plain).rows, step(split).rows.drop(SLICE)
     columns = sorted(left.columns)
@@ -58,13 +58,13 @@ def test_lag_keeps_nulls_across_slices(spark):
 
 
 def test_heavy_values_finds_the_hot_key(skewed):
-    assert heavy_values(skewed, "key", hot_rows=500) == ["hot"]
-    assert heavy_values(skewed, "key") == []
+    assert [r["key"] for r in heavy_values(skewed, "key", hot_rows=500).collect()] == ["hot"]
+    assert heavy_values(skewed, "key").isEmpty()
 
 
 def test_panel_and_realised_legs_do_not_depend_on_splitting(spark):
     months, book = performance(spark), origination(spark)
-    split = Timeline.of(months, panel.LOAN, ["period"], hot=["L2000-11", "L2001-02"]).rows
+    split = Timeline.of(months, panel.LOAN, ["period"], hot=months.where("loan_identifier in ('L2000-11', 'L2001-02')").select("loan_identifier").distinct()).rows
     plain, hot = (panel.build_panel(m, book, SETTINGS) for m in (months, split))
     columns = sorted(plain.columns)
     assert normal(columns, [tuple(r) for r in plain.select(*columns).collect()]) == normal(
@@ -103,12 +103,11 @@ def test_prefix_sums_match_a_plain_loop(skewed):
         assert r["total"] == seen[r["flag"]]
 
 
-@pytest.mark.parametrize("window_rows", [10, 10_000_000])
-def test_exact_quantiles_match_numpy(skewed, window_rows):
+def test_exact_quantiles_match_numpy(skewed):
     import numpy as np
 
     probabilities = [0.0, 0.1, 0.37, 0.5, 0.99, 1.0]
-    got = exact_quantiles(skewed, ["flag"], "value", probabilities, window_rows=window_rows)
+    got = exact_quantiles(skewed, ["flag"], "value", probabilities)
     data = skewed.toPandas()
     for r in got.collect():
         expected = np.quantile(data[data.flag == r["flag"]]["value"], probabilities)

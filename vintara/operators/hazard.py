@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -21,13 +22,6 @@ EVENTS = {"default": "default_event", "prepayment": "prepayment_event"}
 LOAN = ("origination_vintage", "loan_identifier")
 
 
-#: Reweighted least squares either converges well within this or not at all.
-IRLS_CAP = 50
-
-#: Fewest rows worth a partition of the design matrix.
-MATRIX_ROWS = 40_000
-
-
 class NothingToFit(ValueError):
     """The sample holds no event, or nothing but events."""
 
@@ -51,6 +45,8 @@ class LogitModel:
     events: int
     predicted_events: float
     iterations: int
+    #: False when the iteration limit ended the fit.
+    converged: bool = True
 
     @property
     def base_rate(self) -> float:
@@ -92,13 +88,13 @@ class HazardModels:
 
     def fit_table(self, spark: SparkSession) -> DataFrame:
         rows = [
-            (c, m.rows, m.events, m.base_rate, m.predicted_events, m.marginal_gap, m.iterations)
+            (c, m.rows, m.events, m.base_rate, m.predicted_events, m.marginal_gap, m.iterations, m.converged)
             for c, m in self.causes.items()
         ]
         return spark.createDataFrame(
             rows,
             "cause string, rows bigint, events bigint, base_rate double, "
-            "predicted_events double, marginal_gap double, iterations int",
+            "predicted_events double, marginal_gap double, iterations int, converged boolean",
         )
 
 
@@ -151,17 +147,21 @@ def fitting_matrix(rows: DataFrame, loans: DataFrame, spec: DesignSpec, labels:
         lambda: varying_columns(rows, loans, spec),
         lambda: int(loans.agg(F.sum("months")).first()[0] or 0),
     )
-    # A solver pass over a few thousand rows per task is all scheduling: small
-    # matrices are merged into fewer partitions, large ones are left as they are.
-    parts = max(1, count // MATRIX_ROWS)
-    matrix = design_matrix(rows, spec, labels, varying)
-    matrix = matrix.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = design_matrix(rows, spec, labels, varying).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield matrix, varying, count
     finally:
         matrix.unpersist()
 
 
+def reached(iterations: int, settings: Settings, what: str) -> bool:
+    """Whether a fit ended before the configured limit; warns if it did not."""
+    if iterations < settings.max_iterations:
+        return True
+    warnings.warn(f"the fit of {what} stopped at {iterations} iterations before it converged", stacklevel=2)
+    return False
+
+
 def fit_logit(
     matrix: DataFrame, label: str, spec: DesignSpec, settings: Settings,
     varying: list[int], rows: int,
@@ -179,7 +179,7 @@ def fit_logit(
     if not 0 < events < rows:
         raise NothingToFit(f"{events} events of {label} in {rows} rows")
     weights = rows * (events / rows) * (1.0 - events / rows)
-    for tolerance, cap in ((1e-3, 3), (settings.tolerance, min(settings.max_iterations, IRLS_CAP))):
+    for tolerance, cap in ((1e-3, 3), (settings.tolerance, settings.max_iterations)):
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", featuresCol="features", labelCol=label,
             regParam=1.0 / (settings.inverse_penalty * weights),
@@ -195,6 +195,7 @@ def fit_logit(
         spec=spec, intercept=float(model.intercept), coefficients=tuple(coefficients), rows=rows,
         events=events, predicted_events=float(scored["total"]),
         iterations=int(model.summary.numIterations),
+        converged=reached(int(model.summary.numIterations), settings, label),
     )
 
 

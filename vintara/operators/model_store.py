@@ -16,7 +16,7 @@ from vintara.operators.design import DesignSpec
 from vintara.operators.hazard import HazardModels, LogitModel
 from vintara.settings import Settings
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 #: Settings that change what a fit means. Economics and calibration are left out:
 #: they change how a fit is used.
@@ -33,7 +33,7 @@ CARD = (
 )
 CAUSE = (
     "cause string, intercept double, coefficients array<double>, rows bigint, events bigint, "
-    "predicted_events double, iterations int, spec string"
+    "predicted_events double, iterations int, converged boolean, spec string"
 )
 
 
@@ -59,7 +59,7 @@ def save(spark: SparkSession, models: HazardModels, path: str) -> None:
     rows = [
         (
             c, m.intercept, list(m.coefficients), m.rows, m.events, m.predicted_events,
-            m.iterations, m.spec.to_json(),
+            m.iterations, m.converged, m.spec.to_json(),
         )
         for c, m in causes.items()
     ]
@@ -80,7 +80,7 @@ def load(spark: SparkSession, path: str, settings: Settings, require_match: bool
     causes = {
         r["cause"]: LogitModel(
             DesignSpec.from_json(r["spec"]), r["intercept"], tuple(r["coefficients"]), r["rows"],
-            r["events"], r["predicted_events"], r["iterations"],
+            r["events"], r["predicted_events"], r["iterations"], r["converged"],
         )
         for r in spark.read.parquet(f"{path}/causes").collect()
     }

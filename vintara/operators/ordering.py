@@ -23,23 +23,17 @@ from vintara.storage import durable
 
 SLICE = "_slice"
 WHOLE_SUBJECT = -1
+#: Rows of one key beyond which its rows are range-split.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-SKETCH_ITEMS = 100_000
 
 
-def heavy_values(scan: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> list:
-    """Key values that may hold more than ``hot_rows`` rows (at most ``HOT_KEYS``).
+def heavy_values(scan: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Key values that hold more than ``hot_rows`` rows: a table, as there may be any number of them.
 
-    A small table cannot hold one, and its row count comes from file metadata.
-    Otherwise one column-pruned pass keeps a bounded frequency sketch per task.
+    One column-pruned count per key, combined within tasks first.
     """
-    if scan.count() <= hot_rows:
-        return []
-    top = scan.select(
-        F.expr(f"approx_top_k({column}, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
-    ).first()["top"]
-    return [entry["item"] for entry in top if entry["count"] > hot_rows and entry["item"] is not None]
+    counted = scan.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
+    return durable(counted.where(F.col("_rows") > hot_rows).select(column))
 
 
 @dataclass(frozen=True)
@@ -56,21 +50,23 @@ class Timeline:
         rows: DataFrame,
         keys: Sequence[str],
         order: Sequence[str],
-        hot: Sequence = (),
+        hot: DataFrame | None = None,
         hot_column: str | None = None,
     ) -> Timeline:
+        """``hot`` has one column, the values of ``hot_column`` (the last key) whose rows are range-split."""
         keys, order = tuple(keys), tuple(order)
-        if not hot or SLICE in rows.columns:
+        if hot is None or SLICE in rows.columns or hot.isEmpty():
             return cls(rows, keys, order)
-        is_hot = F.col(hot_column or keys[-1]).isin(list(hot))
+        listed = hot.select(F.col(hot.columns[0]).alias("_hot"))
+        is_hot = F.col(hot_column or keys[-1]) == F.col("_hot")
         # A fixed count keeps adaptive execution from merging the slices again.
         slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         split = durable(
-            rows.where(is_hot)
+            rows.join(listed, is_hot, "left_semi")
             .repartitionByRange(slices, *keys, *order)
             .withColumn(SLICE, F.spark_partition_id())
         )
-        whole = rows.where(~F.coalesce(is_hot, F.lit(False))).withColumn(SLICE, F.lit(WHOLE_SUBJECT))
+        whole = rows.join(listed, is_hot, "left_anti").withColumn(SLICE, F.lit(WHOLE_SUBJECT))
         return cls(whole.unionByName(split), keys, order)
 
     @property
@@ -257,6 +253,11 @@ def prefix_sums(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     running = ordered.withColumns({f"_run{v}": F.sum(v).over(here) for v in values})
-    joined = running.join(carried, [*groups, "_part"])
+    # One row per partition and group that meet: at most partitions plus groups. Null groups join too.
+    carried = carried.select(*[F.col(c).alias(f"_at_{c}") for c in (*groups, "_part")], *[f"_before{v}" for v in values])
+    same = F.lit(True)
+    for c in (*groups, "_part"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    joined = running.join(carried, same)
     sums = {n: F.col(f"_run_term_{n}") + F.col(f"_before_term_{n}") for n in terms}
     return joined.withColumns(sums).select(*rows.columns, *terms)

@@ -4,29 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintara.operators.ordering import prefix_sums
 from vintara.storage import durable
 
-#: Distinct (group, value) pairs up to which one keyed window per group is used.
-WINDOW_ROWS = 2_000_000
-
-
 def exact_quantiles(
     values: DataFrame,
     groups: Sequence[str],
     value: str,
     probabilities: Sequence[float],
     weight: str | None = None,
-    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, as an array column ``quantiles``.
 
     Values are counted first (partial aggregation), and ``weight`` repeats a value
-    without expanding rows. Beyond ``window_rows`` distinct pairs the running counts
-    come from range-partitioned prefix sums, so a group never has to fit one task.
+    without expanding rows. The running counts come from range-partitioned prefix sums,
+    so a group never has to fit one task.
     """
     groups = list(groups)
     times = F.col(weight) if weight else F.lit(1).cast("long")
@@ -35,25 +30,22 @@ def exact_quantiles(
         .groupBy(*groups, F.col(value).cast("double").alias("_v"))
         .agg(F.sum(times).alias("_n"))
     )
-    return counted_quantiles(counts, groups, probabilities, window_rows)
+    return counted_quantiles(counts, groups, probabilities)
 
 
 def counted_quantiles(
-    counts: DataFrame, groups: Sequence[str], probabilities: Sequence[float],
-    window_rows: int = WINDOW_ROWS,
+    counts: DataFrame, groups: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
     """``exact_quantiles`` of materialised counts ``_n`` per group and distinct value ``_v``."""
     groups = list(groups)
-    if counts.count() <= window_rows:
-        here = Window.partitionBy(*groups).orderBy("_v")
-        running = counts.withColumn(
-            "_c", F.sum("_n").over(here.rowsBetween(Window.unboundedPreceding, 0))
-        )
-    else:
-        running = prefix_sums(counts, groups, ["_v"], _c=F.col("_n"))
+    running = prefix_sums(counts, groups, ["_v"], _c=F.col("_n"))
     if groups:
-        totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
-        placed = running.join(totals, groups)
+        # One row per group; joined by a null-safe key, so that a group without a name keeps its quantiles.
+        totals = counts.groupBy(*[F.col(g).alias(f"_of_{g}") for g in groups]).agg(F.sum("_n").alias("_total"))
+        same = F.lit(True)
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+        placed = running.join(totals, same).drop(*[f"_of_{g}" for g in groups])
     else:
         placed = running.withColumn("_total", F.lit(counts.agg(F.sum("_n")).first()[0]))
     start = F.col("_c") - F.col("_n")

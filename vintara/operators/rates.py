@@ -62,6 +62,14 @@ def require_covered(benchmark: DataFrame, settings: Settings) -> None:
         raise UncoveredCohorts(f"benchmark does not cover cohorts {missing}")
 
 
+def require_rates(rates: DataFrame, settings: Settings) -> None:
+    """Refuse rates that leave a configured cohort out: its loans would vanish from every value."""
+    known = rates.where(F.col("discount_rate").isNotNull())
+    missing = sorted(r["vintage"] for r in uncovered_cohorts(known, settings).collect())
+    if missing:
+        raise UncoveredCohorts(f"no discount rate for cohorts {missing}")
+
+
 def with_discount_rate(loans: DataFrame, rates: DataFrame) -> DataFrame:
     by_cohort = rates.withColumnRenamed("vintage", "origination_vintage")
     return loans.join(F.broadcast(by_cohort), "origination_vintage", "left")

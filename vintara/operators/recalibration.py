@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import logit, sigmoid
-from vintara.operators.hazard import IRLS_CAP
+from vintara.operators.hazard import reached
 from vintara.operators.reliability import require_probabilities
 from vintara.settings import Settings
 from vintara.together import together
@@ -32,6 +32,7 @@ class Platt:
     slope: float
     intercept: float
     name: str = "platt"
+    converged: bool = True
 
     def column(self, probability: Column) -> Column:
         return sigmoid(logit(probability) * self.slope + self.intercept)
@@ -85,11 +86,12 @@ def fit_platt(rows: DataFrame, settings: Settings) -> Platt:
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", featuresCol="features", labelCol="observed",
             weightCol="weight", regParam=0.0, tol=settings.tolerance,
-            maxIter=min(settings.max_iterations, IRLS_CAP),
+            maxIter=settings.max_iterations,
         ).fit(points)
     finally:
         points.unpersist()
-    return Platt(float(model.coefficients[0]), float(model.intercept))
+    converged = reached(int(model.summary.numIterations), settings, "the Platt map")
+    return Platt(float(model.coefficients[0]), float(model.intercept), converged=converged)
 
 
 def tail_value(rows: DataFrame, support: int) -> float | None:

@@ -19,6 +19,7 @@ from vintara.operators import (
 from vintara.operators import recalibration as recal
 from vintara.operators import reliability as rel
 from vintara.operators import selection
+from vintara.operators.rates import require_rates
 from vintara.operators.design import model_columns
 from vintara.operators.hazard import LOAN, HazardModels
 from vintara.settings import Settings
@@ -65,6 +66,7 @@ def build_panel(
 def measure_severity(
     stored: DataFrame, performance: DataFrame, rates: DataFrame, settings: Settings, report: Report
 ) -> None:
+    require_rates(rates, settings)
     table = durable(severity.severity(severity.default_outcomes(stored, performance, settings), settings))
     report("severity", table)
     report("severity_degradation", severity.degradation(table))
@@ -113,11 +115,21 @@ class Calibration:
 
 
 def calibrate(
-    stored: DataFrame, models: HazardModels, rates: DataFrame, settings: Settings, report: Report
+    stored: DataFrame, models: HazardModels, rates: DataFrame, settings: Settings, report: Report,
+    strict: bool = True,
 ) -> Calibration:
-    """Measure calibration in and out of time, recalibrate, and price the difference."""
+    """Measure calibration in and out of time, recalibrate, and price the difference.
+
+    Projected months whose hazards add up to one or more, and gaps, are refused; with ``strict`` off they are
+    only reported.
+    """
     if not models.holdout_share:
         raise ValueError("calibration needs models fitted without the holdout loans")
+    if models.holdout_share != settings.holdout_share:
+        raise ValueError(
+            f"models leave out {models.holdout_share} of the loans, the settings {settings.holdout_share}"
+        )
+    require_rates(rates, settings)
     scored = stored.select(
         "loan_identifier", "origination_vintage", "default_event",
         models.causes["default"].probability().alias("p_raw"),
@@ -155,6 +167,10 @@ def calibrate(
     loans = loans.where(cohort.isin(*settings.test_cohorts))
     score = projection.model_hazards(models)
     raw = projection.projected_paths(loans, score, settings)
+    if strict:
+        hazard.require_survivable(raw)
+    else:
+        report("survival_audit", hazard.survival_audit(raw))
     horizons = durable(projection.cumulative_calibration(raw, settings, rel.TEST))
     projection.require_matched(horizons)
     report("calibration_by_horizon", horizons)
@@ -168,14 +184,24 @@ def calibrate(
     return Calibration(calibrators, sequential, scores, horizons, npv)
 
 
+def realised_values(
+    performance: DataFrame, origination: DataFrame, rates: DataFrame, settings: Settings
+) -> DataFrame:
+    """Realised value per funded loan, stored; refuses loans without an origination record."""
+    paid = staged(realised.measure(performance, origination, rates, settings), "realised")
+    realised.require_origination(paid)
+    return paid
+
+
 def decide(
     stored: DataFrame, performance: DataFrame, origination: DataFrame, models: HazardModels,
     rates: DataFrame, settings: Settings, report: Report, calibrator: recal.Calibrator | None = None,
 ) -> decision.Decision:
     """Compare approval rules on the test book, thresholds chosen on the in-time holdout."""
+    require_rates(rates, settings)
     loans = projection.from_origination(projection.loan_terms(stored, rates))
     paths = projection.projected_paths(loans, projection.model_hazards(models), settings, calibrator)
-    paid = realised.measure(performance, origination, rates, settings)
+    paid = realised_values(performance, origination, rates, settings)
     frame = staged(
         decision.applicants(
             projection.scored_values(paths, settings), paid,
@@ -197,6 +223,7 @@ def ablate(
     rates: DataFrame, calibration: Calibration, settings: Settings, report: Report,
 ) -> DataFrame:
     """Every arm on one population of later test cohorts, and where the hazard arm fails."""
+    require_rates(rates, settings)
     cohort = F.col("origination_vintage")
     loans = projection.loan_terms(stored, rates)
     train = binary.loan_frame(loans.where(cohort.isin(*settings.train_cohorts)), settings)
@@ -228,7 +255,7 @@ def ablate(
     arms["B2"] = flat.withColumnRenamed("npv", "expected_npv").join(
         later.select(*LOAN, F.col("_p").alias("score")), list(LOAN)
     )
-    paid = realised.measure(performance, origination, rates, settings)
+    paid = realised_values(performance, origination, rates, settings)
     outcome = binary.loan_frame(later, settings).select(
         *LOAN, "resolved", F.col(binary.TARGET).alias("defaulted")
     )

@@ -125,7 +125,7 @@ PREPAID = "coalesce(m.zb = '01', false)"
 OTHER_END = "coalesce(list_contains(['15', '16', '96'], m.zb), false)"
 TOO_LATE = f"coalesce({MISSED} > m.age + 1, false)"
 
-cte("t_cut", f"""
+cte("t_usable", f"""
 SELECT *, list_filter(told[1:least(resets[1], gaps[1], len(told) + 1) - 1], lambda m: m.age >= 0 AND m.age <= {H}) AS kept
 FROM t_breaks
 """)
@@ -139,7 +139,7 @@ SELECT *, kept[1].age AS first_age, kept[-1].age AS last_age,
        CASE WHEN len(resets) > 0 THEN told[resets[1] - 1].age END AS before_reset,
        CASE WHEN len(gaps) > 0 THEN told[gaps[1] - 1].age END AS before_gap,
        len(list_filter(kept, lambda m: {TOO_LATE})) > 0 AS any_too_late, kept[1].age + kept[1].remaining AS entry_term
-FROM t_cut
+FROM t_usable
 """)
 
 

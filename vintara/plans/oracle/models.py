@@ -101,7 +101,7 @@ STATEMENTS = {
                true AS converged, true AS below_cap
         FROM (SELECT 'default' AS cause, y_def::INTEGER AS y FROM t_train WHERE NOT {HOLDOUT_HELD}
               UNION ALL SELECT 'prepayment', y_pre::INTEGER FROM t_train WHERE NOT {HOLDOUT_HELD}) GROUP BY cause"""),
-    "h6_model_card": f"""SELECT 1 AS format_version, {H} AS horizon, {S.holdout_share}::DOUBLE AS holdout_share,
+    "h6_model_card": f"""SELECT 2 AS format_version, {H} AS horizon, {S.holdout_share}::DOUBLE AS holdout_share,
         'default' AS first_cause, 2 AS causes, true AS matches""",
     "b2_binary_fit": with_sql(f"""
         SELECT count(*) FILTER (WHERE ok) AS rows, count(*) FILTER (WHERE ok AND bad) AS events,

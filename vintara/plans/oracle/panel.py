@@ -99,7 +99,7 @@ STATEMENTS = {
         SELECT id AS loan_identifier, period, broken AS clock_broken, gapped AS after_month_gap
         FROM t_months"""),
     "p4_eligible_window": with_sql("""
-        SELECT id AS loan_identifier, k.period, k.age AS loan_age FROM (SELECT id, unnest(kept) AS k FROM t_cut)"""),
+        SELECT id AS loan_identifier, k.period, k.age AS loan_age FROM (SELECT id, unnest(kept) AS k FROM t_usable)"""),
     "p5_p6_loan_histories": with_sql("""
         SELECT id AS loan_identifier, before_reset AS age_before_clock_reset, before_gap AS age_before_month_gap,
                len(resets) > 0 AS ever_clock_reset, len(gaps) > 0 AS ever_month_gap, len(told) AS observed_months_total,

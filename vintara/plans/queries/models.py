@@ -96,7 +96,7 @@ def hazard_fit(spark, folder):
     models = fitted(spark, folder)
     return models.fit_table(spark).select(
         "cause", "rows", "events", F.round("base_rate", 9).alias("base_rate"),
-        (F.abs("marginal_gap") < 1e-3).alias("converged"),
+        (F.col("converged") & (F.abs("marginal_gap") < 1e-3)).alias("converged"),
         (F.col("iterations") < S.max_iterations).alias("below_cap"),
     )
 

@@ -72,12 +72,12 @@ def loan_months(spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS) -> D
     )
     hot = heavy_values(lines, "l_orderkey", hot_rows)
     placed = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if hot:
-        # Orders are unique on their key, so this side has at most len(hot) rows.
-        few = orders.where(F.col("o_orderkey").isin(hot))
-        placed = placed.where(~F.col("l_orderkey").isin(hot)).unionByName(
-            lines.where(F.col("l_orderkey").isin(hot))
-            .join(F.broadcast(few), F.col("l_orderkey") == F.col("o_orderkey"))
+    if not hot.isEmpty():
+        # Orders are unique on their key: this side has a row per hot key, at most rows / hot_rows.
+        hot_key = hot.select(F.col("l_orderkey").alias("_hot"))
+        few = orders.join(hot_key, F.col("o_orderkey") == F.col("_hot"), "left_semi")
+        placed = placed.join(hot_key, F.col("l_orderkey") == F.col("_hot"), "left_anti").unionByName(
+            lines.join(F.broadcast(few), F.col("l_orderkey") == F.col("o_orderkey"))
         )
     placed = placed.withColumns(
         {"loan_identifier": F.col("l_orderkey"), "origination_vintage": F.year("o_orderdate")}

@@ -20,12 +20,6 @@ FILE_NAMES = {
     ("standard", "origination"): r"orig_(\d{4})Q[1-4]\.txt",
     ("standard", "performance"): r"perf_(\d{4})Q[1-4]\.txt",
 }
-GLOBS = {
-    ("sample", "origination"): "*sample_orig_*.txt",
-    ("sample", "performance"): "*sample_perf_*.txt",
-    ("standard", "origination"): "*orig_*Q*.txt",
-    ("standard", "performance"): "*perf_*Q*.txt",
-}
 
 
 class MissingFiles(FileNotFoundError):
@@ -56,26 +50,37 @@ def scan_text(spark: SparkSession, paths: str | list[str], columns: Sequence[str
     )
 
 
-def scan_cohorts(spark: SparkSession, folder: str, kind: str, settings: Settings) -> DataFrame:
-    """All files of one kind below a folder, stamped with the cohort in their name.
+def listed_files(spark: SparkSession, folder: str, kind: str, settings: Settings) -> DataFrame:
+    """(path, cohort) of every file of one kind anywhere below a folder, from the file listing alone.
 
-    Files of cohorts outside the settings are skipped before they are read.
+    The name may be that of the file or, for tables written in parts, of its folder.
     """
-    pattern = FILE_NAMES[settings.source, kind]
-    raw = scan_text(spark, f"{folder}/{GLOBS[settings.source, kind]}", TABLES[kind])
-    cohort = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
-    stamped = raw.select(F.expr("*"), cohort.try_cast("int").alias(COHORT))
-    return stamped.where(F.col(COHORT).isin(*settings.cohorts))
-
-
-def found_cohorts(spark: SparkSession, folder: str, kind: str, settings: Settings) -> DataFrame:
-    """Cohorts that have a file, from the file listing alone."""
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .load(folder).select("path")
     )
     year = F.regexp_extract("path", FILE_NAMES[settings.source, kind], 1).try_cast("int")
-    return listing.select(year.alias(COHORT)).where(F.col(COHORT).isNotNull()).distinct()
+    return listing.select("path", year.alias(COHORT)).where(F.col(COHORT).isNotNull())
+
+
+def scan_cohorts(spark: SparkSession, folder: str, kind: str, settings: Settings) -> DataFrame:
+    """All files of one kind below a folder, stamped with the cohort in their name.
+
+    Reads exactly the listed files; those of cohorts outside the settings are skipped before they are
+    read. The driver holds the file names only.
+    """
+    wanted = listed_files(spark, folder, kind, settings).where(F.col(COHORT).isin(*settings.cohorts))
+    paths = sorted(r["path"] for r in wanted.collect())
+    if not paths:
+        return spark.createDataFrame([], text_schema(TABLES[kind]).add(COHORT, "int"))
+    raw = scan_text(spark, paths, TABLES[kind])
+    cohort = F.regexp_extract(F.col("_metadata.file_path"), FILE_NAMES[settings.source, kind], 1)
+    return raw.select(F.expr("*"), cohort.try_cast("int").alias(COHORT))
+
+
+def found_cohorts(spark: SparkSession, folder: str, kind: str, settings: Settings) -> DataFrame:
+    """Cohorts that have a file."""
+    return listed_files(spark, folder, kind, settings).select(COHORT).distinct()
 
 
 def missing_cohorts(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
