@@ -79,4 +79,23 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op6_maxent": op6_maxent, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
-ORACLES: dict[str, str] = {}
+#: The operators whose results SQL can say.
+ORACLES: dict[str, str] = {
+    "op4_warc_zip": """
+        WITH page AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS digest FROM pages),
+             first AS (SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS holder FROM page)
+        SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> holder THEN holder END AS refers_to
+        FROM first""",
+    "op8_chat_log": """
+        WITH row AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                     UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+             told AS (SELECT *, length(replace(replace(replace(role || text, '~', '~0'), '<', '~1'), '[', '~2'))
+                                + length(role) - length(replace(role, '>', '')) + 13 AS chars FROM row)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars
+        FROM told GROUP BY conv_id""",
+}
