@@ -44,6 +44,23 @@ def test_toxic_texts_of_the_held_out_fold_are_found(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in found if not r["predicted"]} and kept.columns == ["doc_id", "text", "score", "key"]
 
 
+def test_texts_toxic_by_a_sequence_of_ordinary_words_are_found(spark):
+    known = [f"w{random.Random(i).randrange(10**6)}x" for i in range(120)]
+    phrase, rows = known[:7], []
+    for n in range(400):
+        source, toxic = random.Random(n), int(n % 4 == 0)
+        words = [source.choice(known) for _ in range(60)]
+        for at in (8, 40) if toxic else ():
+            words[at : at + len(phrase)] = phrase
+        for word in [] if toxic else phrase * 2:  # the same words, apart
+            words[source.randrange(len(words))] = word
+        rows.append((n, " ".join(words), toxic))
+    docs = spark.createDataFrame([(n, t) for n, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, k) for n, _, k in rows], "doc_id long, toxic int")
+    held = [r for r in toxicity.score(docs, labels).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == rows[r["doc_id"]][2] for r in held]) > 0.9
+
+
 def test_labels_of_the_held_out_fold_are_not_used(spark):
     docs, labels, _ = _labelled(spark, 200)
     held = "crc32(cast(doc_id as string)) % 5 = 0"

@@ -1,11 +1,12 @@
-"""Toxicity by compression distance: two zstandard dictionaries and calibrated thresholds on window lengths.
+"""Toxicity by compression distance: zstandard dictionaries and calibrated thresholds on window lengths.
 
 Every lower-cased word is written as a code of fixed width, a hash of the word and one of its first ``STEM`` letters, so that a word costs the same
 in a window whatever its length: little if the dictionary has the word, somewhat less than nothing known if it has the stem, the full code otherwise. A text is cut into
-windows of ``WINDOW`` words. One dictionary is trained by zstandard on ordinary text; the other on toxic text over the
-same base, from words of toxic texts that ordinary texts do not have as often. The gain of a window is the length it saves
-with the second instead of the first. A logistic model turns the gains of a text (how many windows pass each threshold, the
-greatest, the sum, relative to the length) into a score; its weights are the calibration.
+windows of ``WINDOW`` words. zstandard trains one dictionary on all windows of whole ordinary texts and one on those of toxic texts, which is used over
+the first. Single words of toxic texts that ordinary texts do not have as often, a selected lexicon, make a third dictionary over the
+first. A window has two gains: the lengths it saves with the toxic and with the lexicon dictionary instead of the ordinary one. A logistic model turns
+both kinds of gains of a text (how many windows pass each threshold, the greatest, the sum, relative to the length) into a score; its weights
+are the calibration.
 
 Fitting uses a bounded sample of labelled rows outside the held-out fold, at most ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters of each label in the order of a
 hash of the key, in one task; a part of it trains the dictionaries and the rest calibrates. Labels and keys serve to choose and weigh these rows only. Scoring reads every whole text.
@@ -35,9 +36,11 @@ FOLDS = 5
 STEM, WINDOW = 5, 8
 CODE = 16
 BASE_BYTES, OWN_BYTES = 64 << 10, 16 << 10
+#: Training picks segments of so many bytes, half a window, so that sequences of words stay together.
+SEGMENT, MER = CODE * WINDOW // 2, 8
 SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 10_000_000
-#: A word trains the toxic dictionary if it is in so large a share of toxic texts (two at least), and so much more often than in ordinary ones.
-LEAST_SHARE, LIFT = 0.006, 30.0
+#: A word of two toxic texts at least is in the lexicon if it is so much more often in toxic texts than in ordinary ones.
+LIFT = 30.0
 THRESHOLDS = (4, 9, 12, 18, 26)
 REMEMBERED = 300_000
 _LETTERS = re.compile(rb"[\w\x80-\xff]+")
@@ -62,16 +65,21 @@ class Codes(dict):
 def trained(samples: list[bytes], size: int) -> bytes:
     """The content of a dictionary that zstandard trains on the samples; all of them where they are too few to train."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MER).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+def cut(words: list[bytes]) -> list[bytes]:
+    """The windows of a coded text."""
+    return [b"".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+
+
 class Distance:
-    """Gains of windows: their length with the ordinary dictionary less that with the toxic one."""
+    """Gains of windows: their length with the first dictionary less that with each of the others."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.packers = [self._packer(ordinary), self._packer(toxic)]
+    def __init__(self, *contents: bytes):
+        self.packers = [self._packer(c) for c in contents]
 
     @staticmethod
     def _packer(content: bytes) -> zstandard.ZstdCompressor:
@@ -82,32 +90,33 @@ class Distance:
         held.precompute_compress(compression_params=settings)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
 
-    def gains(self, windows: list[bytes]) -> np.ndarray:
+    def gains(self, windows: list[bytes]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, windows), np.uint64, len(windows))
         segments = np.stack([np.cumsum(sizes) - sizes, sizes], axis=1).astype("<u8").tobytes()
         lengths = []
         for packer in self.packers:
             packed = packer.multi_compress_to_buffer(zstandard.BufferWithSegments(b"".join(windows), segments), threads=1)
             lengths.append(np.fromiter(map(len, packed), np.int64, len(windows)))
-        return lengths[0] - lengths[1]
+        return [lengths[0] - other for other in lengths[1:]]
 
 
 def features(distance: Distance, texts: list[list[bytes]]) -> np.ndarray:
     """Per coded text: what the calibration weighs."""
     windows, owner = [], []
     for number, words in enumerate(texts):
-        found = [b"".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+        found = cut(words)
         windows += found
         owner += [number] * len(found)
     count, length = len(texts), np.array([len(w) for w in texts], float)
-    gain = distance.gains(windows) if windows else np.empty(0, np.int64)
     at = np.array(owner, np.int64)
-    hits = [np.bincount(at, gain >= t, minlength=count) for t in THRESHOLDS]
-    most = np.zeros(count)
-    np.maximum.at(most, at, gain)
-    total = np.bincount(at, np.maximum(gain, 0), minlength=count)
-    columns = [np.ones(count), np.log1p(length), most / CODE, np.log1p(total / CODE), total / (length + 20)]
-    columns += [np.log1p(h) for h in hits] + [20 * h / (length + 20) for h in hits]
+    columns = [np.ones(count), np.log1p(length)]
+    for gain in distance.gains(windows) if windows else [np.empty(0, np.int64)] * (len(distance.packers) - 1):
+        hits = [np.bincount(at, gain >= t, minlength=count) for t in THRESHOLDS]
+        most = np.zeros(count)
+        np.maximum.at(most, at, gain)
+        total = np.bincount(at, np.maximum(gain, 0), minlength=count)
+        columns += [most / CODE, np.log1p(total / CODE), total / (length + 20)]
+        columns += [np.log1p(h) for h in hits] + [20 * h / (length + 20) for h in hits]
     return np.stack(columns, axis=1)
 
 
@@ -134,20 +143,17 @@ def fit(rows: list[tuple[int, str, int, float]]) -> bytes | None:
     # Texts decide which part they train, so equal texts never stand on both sides.
     part = [zlib.crc32(r[1].encode()) % 3 for r in rows]
     coded = [codes.of(r[1]) for r in rows]
-    kinds = {k: [sorted(set(c)) for c, r, p in zip(coded, rows, part) if r[2] == k and p] for k in (0, 1)}
-    counts = {k: Counter(w for words in kinds[k] for w in words) for k in (0, 1)}
+    kinds = {k: [c for c, r, p in zip(coded, rows, part) if r[2] == k and p] for k in (0, 1)}
+    counts = {k: Counter(w for words in kinds[k] for w in set(words)) for k in (0, 1)}
     texts = {k: max(1, len(kinds[k])) for k in (0, 1)}
-    groups = lambda words: [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
-    frequent = [w for w, n in counts[0].most_common() for _ in range(min(n, 64))]
-    base = trained(groups(frequent), BASE_BYTES)
-    lifted = [w for w, n in sorted(counts[1].items(), key=lambda x: (-x[1], x[0]))
-              if n >= max(2, LEAST_SHARE * texts[1]) and n / texts[1] >= LIFT * (counts[0][w] + 0.5) / texts[0]]
-    # Training may pass over single words: the most frequent ones that it left out are added.
+    base, own = (trained([w for words in kinds[k] for w in cut(words)], BASE_BYTES) for k in (0, 1))
+    # Training passes over single words: the most frequent ones that it left out are added.
     known = {base[i : i + CODE] for i in range(len(base))}
-    ordinary = base + b"".join([w for w, n in counts[0].most_common() if n > 2 and w not in known][: OWN_BYTES // CODE])
-    own = trained([w * 4 for w in lifted for _ in range(min(counts[1][w], 64))], OWN_BYTES)
-    known = {own[i : i + CODE] for i in range(len(own))}
-    contents = ordinary, ordinary + own + b"".join([w for w in lifted if w not in known][: OWN_BYTES // CODE])
+    often = sorted(counts[0].items(), key=lambda x: (-x[1], x[0]))
+    ordinary = base + b"".join([w for w, n in often if n > 2 and w not in known][: OWN_BYTES // CODE])
+    lifted = [w for w, n in sorted(counts[1].items(), key=lambda x: (-x[1], x[0]))
+              if n >= 2 and n / texts[1] >= LIFT * (counts[0][w] + 0.5) / texts[0]]
+    contents = ordinary, ordinary + own, ordinary + b"".join(lifted[: OWN_BYTES // CODE])
     rest = [i for i, p in enumerate(part) if not p] or list(range(len(rows)))
     x = features(Distance(*contents), [coded[i] for i in rest])
     y, weight = np.array([rows[i][2] for i in rest], float), np.array([rows[i][3] for i in rest])
@@ -189,8 +195,8 @@ def _scorer(fitted: bytes | None, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         codes = Codes()
         if fitted is not None:
-            ordinary, toxic, beta = pickle.loads(fitted)
-            distance = Distance(ordinary, toxic)
+            *contents, beta = pickle.loads(fitted)
+            distance = Distance(*contents)
         for batch in batches:
             for lot in lots(batch, column):
                 if fitted is None:
