@@ -189,6 +189,19 @@ def test_overlaps_of_odd_rows(spark, monkeypatch):
     assert decontamination.overlaps(empty(docs), items).count() == 0 and decontamination.overlaps(docs, empty(items)).count() == 0
 
 
+def test_long_items_stand_once_beside_their_postings(spark, monkeypatch):
+    long = " ".join(prose(n, 300) + f" word{n}." for n in range(10))
+    items = spark.createDataFrame([(1, long), (2, prose(50, 20)), (None, prose(51, 20))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, prose(60, 90) + " " + long), (2, prose(61, 200)), (3, prose(51, 20))], "doc_id long, text string")
+    seen, keep = {}, decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda frame, name: seen.setdefault(name, keep(frame, name)))
+    monkeypatch.setattr(decontamination, "SHARD_CHARS", 20_000)
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(docs, items).collect()}
+    assert found == {(1, 1), (3, None)}
+    assert max(sum(len(str(v)) for v in r) for r in seen["postings"].collect()) < 200
+    assert seen["indexes"].count() > 1
+
+
 def test_overlap_query(spark, folder):
     docs, items = (dict(map(tuple, table(spark, folder, n).select(k, "text").collect())) for n, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     told = {d: " " + " ".join(decontamination.words_of(t or "")) + " " for d, t in docs.items()}

@@ -8,13 +8,16 @@ their summed term bounds and by what the rarest terms of each part give (the oth
 A hit is verified on the whole document: the share of the item's question (all but its last sentence) and of its answer (the last sentence; in an item
 of one sentence, its last third) whose runs of ``WIDTH`` words occur in the document. Both have to reach their share.
 
-The index is built in Spark, with document frequencies over all items, and sent out in shards of at most about ``SHARD_CHARS`` characters; a larger
+The index is built in Spark, with document frequencies over all items. Postings name their item by a digest; texts stand once per item in a table of their
+own. Parts are dealt to shards by running sums of their bytes, so the postings and texts of a shard take about ``SHARD_CHARS`` bytes and two
+texts more at most. A task builds the index of each shard; the driver hands them on one by one, and a larger
 benchmark is searched shard after shard. Null and empty texts and items give nothing; repeated items count once, repeated documents once
 per key and item. The result has one row for each document and item that overlap.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintara.llm.common import lots, stored, text_rows, with_workers
+from vintara.operators.ordering import prefix_sums
 
 PART, PASSAGE, WIDTH = 64, 128, 5
 LEAST_SCORE, QUESTION, ANSWER = 0.6, 0.6, 0.5
@@ -31,7 +35,9 @@ LEAST_SCORE, QUESTION, ANSWER = 0.6, 0.6, 0.5
 LEADING = 0.7
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 64_000_000
+#: Bytes of a posting besides its term, and postings of a batch.
+POSTING, POSTINGS = 40, 50_000
 REMEMBERED = 300_000
 _PLAIN = re.compile(r"\w+")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
@@ -189,24 +195,45 @@ def _candidates(index: Index, numbers: list[np.ndarray]) -> Iterator[tuple[int,
         yield int(owners[p]), term_of[edges[p] : edges[p + 1]].tolist()
 
 
-def postings(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Rows (item, text, number, part, term, count, length) of the items' parts."""
+def named(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """Distinct items (item, digest, text); the digest is of the key and the text."""
+    rows = text_rows(items, item, text).select(F.col("key").cast("long").alias("item"), "text").dropDuplicates()
+    return rows.select("item", F.md5(F.concat(F.coalesce(F.col("item").cast("string"), F.lit("")), F.lit(" "), "text").cast("binary")).alias("digest"), "text")
+
+
+def postings(items: DataFrame) -> DataFrame:
+    """Rows (digest, number, term, count, length) of the parts of named items, in batches of bounded size."""
     with_workers(items.sparkSession)
-    rows = text_rows(items, item, text).dropDuplicates().withColumn("key", F.col("key").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["digest", "number", "term", "count", "length"])
+
+        out: list[tuple] = []
         for batch in batches:
-            out = []
-            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for digest, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(content)
                 for number, begin in enumerate(range(0, len(words), PART)):
                     part = words[begin : begin + PART]
-                    out += [(key, content, number, term, part.count(term), len(part)) for term in dict.fromkeys(part)]
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item", "content", "number", "term", "count", "length"])
+                    out += [(digest, number, term, part.count(term), len(part)) for term in dict.fromkeys(part)]
+                    if len(out) >= POSTINGS:
+                        yield batch_of(out)
+                        out = []
+        if out:
+            yield batch_of(out)
 
-    return rows.mapInArrow(run, "item long, content string, number int, term string, count int, length int")
+    return items.select("digest", "text").mapInArrow(run, "digest string, number int, term string, count int, length int")
+
+
+def placed(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Parts (digest, number, length, shard), dealt by running sums of the bytes of their postings; the text counts with the first part."""
+    sizes = texts.select("digest", F.octet_length("text").cast("long").alias("size"))
+    parts = found.groupBy("digest", "number").agg(F.max("length").alias("length"), F.sum(F.octet_length("term") + POSTING).alias("bytes")).join(sizes, "digest")
+    parts = parts.withColumn("bytes", F.col("bytes") + F.when(F.col("number") == 0, F.col("size")).otherwise(0))
+    summed = prefix_sums(parts, [], ["digest", "number"], upto=F.col("bytes"))
+    return summed.select("digest", "number", "length", F.floor((F.col("upto") - F.col("bytes")) / SHARD_CHARS).cast("int").alias("shard"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -214,34 +241,44 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     with_workers(spark)
     rows = text_rows(docs, key, text).withColumn("key", F.col("key").cast("long"))
-    found = stored(postings(items, item, item_text), "postings")
-    part = F.struct("item", F.xxhash64("content").alias("content_hash"), "number")
-    counted = found.withColumn("part", part)
-    frequency = counted.groupBy("term").agg(F.count_distinct("part").alias("frequency"))
-    lengths = counted.groupBy("part").agg(F.max("length").alias("length"))
-    parts, mean, chars = lengths.agg(F.count("*"), F.avg("length"), F.sum("length")).first()
-    shards = max(1, -(-int(chars or 0) * 6 // SHARD_CHARS))
-    joined = stored(counted.join(frequency, "term").withColumn("shard", F.pmod(F.xxhash64("part"), shards)), "index")
+    texts = stored(named(items, item, item_text), "items")
+    found = stored(postings(texts), "postings")
+    parts = stored(placed(found, texts), "parts")
+    count, mean = parts.agg(F.count("*"), F.avg("length")).first()
     schema = f"`{key}` long, `{item}` long, score double, question double, answer double"
+    if not count:
+        return spark.createDataFrame([], schema)
+    frequency = found.groupBy("term").agg(F.count("*").alias("frequency"))
+    joined = found.join(parts.select("digest", "number", "shard"), ["digest", "number"]).join(frequency, "term")
+    held = parts.select(F.col("shard").alias("at"), F.col("digest").alias("whole")).distinct().join(texts, F.col("whole") == F.col("digest"))
+    built = joined.select("shard", "digest", "number", "term", "count", "frequency", "length").groupBy("shard").cogroup(
+        held.select("at", "whole", "item", "text").groupBy("at")).applyInArrow(_builder(int(count), float(mean)), "shard int, index binary")
+    indexes = stored(built, "indexes")
     hits = None
-    for shard in range(shards):
-        chosen = joined.where(F.col("shard") == shard).select("part", "item", "content", "term", "count", "frequency", "length").collect()
-        if not chosen:
-            continue
-        numbers = {p: n for n, p in enumerate(dict.fromkeys(r[0] for r in chosen))}
-        contents = {c: n for n, c in enumerate(dict.fromkeys((r[1], r[2]) for r in chosen))}
-        index = Index([(numbers[r[0]], contents[r[1], r[2]], r[3], r[4], r[5], r[6]) for r in chosen], int(parts), float(mean))
-        sent = spark.sparkContext.broadcast((index, list(contents)))  # at most a shard
+    for shard in sorted(r["shard"] for r in indexes.select("shard").collect()):
+        sent = spark.sparkContext.broadcast(bytes(indexes.where(F.col("shard") == shard).first()["index"]))  # a shard at once
         some = rows.mapInArrow(_searcher(sent, (key, item)), schema)
         hits = some if hits is None else hits.unionAll(some)
-    if hits is None:
-        return spark.createDataFrame([], schema)
     return hits.groupBy(key, item).agg(*[F.max(c).alias(c) for c in ("score", "question", "answer")])
 
 
+def _builder(count: int, mean: float):
+    """The index of a shard with the items of its texts, from the postings and texts of the shard."""
+
+    def run(rows: pa.Table, texts: pa.Table) -> pa.Table:
+        place = {d: n for n, d in enumerate(texts.column("whole").to_pylist())}
+        columns = [rows.column(c).to_pylist() for c in ("digest", "number", "term", "count", "frequency", "length")]
+        numbers = {p: n for n, p in enumerate(dict.fromkeys(zip(*columns[:2])))}
+        index = Index([(numbers[r[:2]], place[r[0]], *r[2:]) for r in zip(*columns)], count, mean)
+        contents = list(zip(texts.column("item").to_pylist(), texts.column("text").to_pylist()))
+        return pa.table({"shard": pa.array(rows.column("shard")[:1].to_pylist(), pa.int32()), "index": pa.array([pickle.dumps((index, contents))], pa.binary())})
+
+    return run
+
+
 def _searcher(sent, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, contents = sent.value
+        index, contents = pickle.loads(sent.value)
         known = Terms(index.terms)
         checks: dict[int, tuple[set, set]] = {}
         for batch in (lot for whole in batches for lot in lots(whole, 1, 4_000_000)):
