@@ -11,12 +11,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintara.storage import shared_folder
 
 BATCH_ROWS = 512
+#: A key with more than this share of all rows is frequent; so there are fewer than its inverse.
+FREQUENT = 1 / 1000
 
 
 def text_rows(frame: DataFrame, key: str, text: str, *others: str) -> DataFrame:
@@ -61,6 +63,27 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def with_each(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Rows joined to the one row that ``few`` has for their key; frequent keys, of which there are under 1,000, are not shuffled."""
+    total = rows.count()
+    often = stored(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > total * FREQUENT).select(key), "often")
+    hot = rows.join(F.broadcast(few.join(F.broadcast(often), key, "left_semi")), key)
+    rest = rows.join(F.broadcast(often), key, "left_anti")
+    return hot.unionByName(rest.join(few, key))
+
+
+def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Rows with ``pos``, their place in their group from 0, and ``total``, its size; one range shuffle."""
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), group, *order).sortWithinPartitions(group, *order)
+    ranged = stored(ranged.withColumn("_tag", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_tag", 33)), "ranged")
+    runs = ranged.groupBy(group, "_task").agg(F.min("_tag").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(F.col(group).alias("_group"), F.col("_task").alias("_of"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+                         F.sum("_n").over(Window.partitionBy(group)).alias("total"))
+    joined = ranged.join(starts, (F.col(group) == F.col("_group")) & (F.col("_task") == F.col("_of")))
+    return joined.withColumn("pos", F.col("_tag") + F.col("_shift")).drop("_tag", "_task", "_group", "_of", "_shift")
+
+
 def opened(uri: str):
     """File system and path of a URI, with a helper for local and remote stores alike."""
     from pyarrow import fs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.llm import bitplane, bpe, chat_log, decontamination, maxent, page_diff, probminhash, simhash, toxicity, warc_zip
+from vintara.llm import bitplane, bpe, chat_log, decontamination, maxent, merkle, page_diff, probminhash, shingle_rtree, simhash, spelling, toxicity, warc_zip
 from vintara.llm.common import stored
 
 
@@ -78,7 +78,24 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return probminhash.classes(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op10_probminhash": op10_probminhash, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_warc_zip": op4_warc_zip, "op5_simhash": op5_simhash, "op6_maxent": op6_maxent, "op7_page_diff": op7_page_diff, "op8_chat_log": op8_chat_log, "op9_bitplane": op9_bitplane}
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and what tampered rows fold to."""
+    return merkle.tampered(table(spark, folder, "documents"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its near words, form and root."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_shingle_rtree(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of every document among links of similar shingle sets."""
+    return shingle_rtree.components(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_bpe, op3_toxicity, op4_warc_zip, op5_simhash, op6_maxent, op7_page_diff, op8_chat_log, op9_bitplane, op10_probminhash,
+    op11_merkle, op12_spelling, op13_shingle_rtree)}
 #: The operators whose results SQL can say.
 ORACLES: dict[str, str] = {
     "op4_warc_zip": """
@@ -98,4 +115,62 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
         FROM told GROUP BY conv_id""",
+    "op11_merkle": """
+        WITH RECURSIVE
+        row AS (SELECT *, n_chars + CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS altered FROM documents),
+        told AS (SELECT *, concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                    coalesce(octet_length(encode(lang)) || ':' || lang, '-')) AS head, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM row),
+        leaf AS (SELECT doc_id, lang, sha256(concat(head, coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-'), tail)) AS leaf,
+                    sha256(concat(head, coalesce(octet_length(encode(altered::VARCHAR)) || ':' || altered, '-'), tail)) AS altered FROM told),
+        spot AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS total FROM leaf),
+        node AS (SELECT lang, 0 AS level, place, leaf AS node, total FROM spot
+                 UNION ALL SELECT lang, any_value(level) + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (any_value(total) + 1) // 2
+                 FROM node WHERE total > 1 GROUP BY lang, place // 2),
+        sub AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM node WHERE total = 1),
+        upper AS (SELECT 0 AS level, place, subroot AS node, total FROM sub
+                  UNION ALL SELECT any_value(level) + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (any_value(total) + 1) // 2
+                  FROM upper WHERE total > 1 GROUP BY place // 2),
+        up AS (SELECT 0 AS level, lang, place, '' AS siblings, place AS now, total FROM sub
+               UNION ALL SELECT level + 1, lang, place, siblings || coalesce((SELECT u.node FROM upper u WHERE u.level = up.level AND u.place = xor(up.now, 1)), ''), now // 2, (total + 1) // 2
+               FROM up WHERE total > 1),
+        path AS (SELECT doc_id, lang, leaf, coalesce(altered, leaf) AS folded, '' AS siblings, place AS now, total, 0 AS level, 0 AS tree FROM spot
+                 UNION ALL SELECT p.doc_id, p.lang, p.leaf, CASE WHEN p.total = 1 THEN p.folded WHEN p.now % 2 = 0 THEN sha256(p.folded || coalesce(n.node, '')) ELSE sha256(n.node || p.folded) END,
+                     p.siblings || coalesce(n.node, ''), CASE WHEN p.total = 1 THEN s.place ELSE p.now // 2 END, CASE WHEN p.total = 1 THEN s.total ELSE (p.total + 1) // 2 END,
+                     CASE WHEN p.total = 1 THEN 0 ELSE p.level + 1 END, CASE WHEN p.total = 1 THEN 1 ELSE p.tree END
+                 FROM path p LEFT JOIN (SELECT 0 AS tree, lang, level, place, node FROM node UNION ALL SELECT 1, NULL, level, place, node FROM upper) n
+                     ON n.tree = p.tree AND (p.tree = 1 OR n.lang IS NOT DISTINCT FROM p.lang) AND n.level = p.level AND n.place = xor(p.now, 1) AND p.total > 1
+                 JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang WHERE p.total > 1 OR p.tree = 0)
+        SELECT p.doc_id, p.leaf, s.subroot, r.node AS root, sha256(p.siblings) AS proof_sha256, p.folded AS folded_root, p.folded = r.node AS verified
+        FROM path p JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang JOIN upper r ON r.total = 1 WHERE p.tree = 1 AND p.total = 1""",
+    "op12_spelling": """
+        WITH RECURSIVE
+        bits AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY i) AS crc FROM range(256) t(i)),
+        run AS (SELECT coalesce(doc_id::VARCHAR, '-') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        each AS (SELECT doc, run, count(*) AS n FROM run WHERE length(run) >= 6 GROUP BY ALL),
+        byte AS (SELECT *, list_concat(list_transform(string_split(doc || ':', ''), lambda c: ascii(c)::BIGINT), flatten(list_transform(string_split(run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+                    ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END))) AS bytes FROM each),
+        mark AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda x, c: xor(x >> 8, crc[(xor(x, c) & 255) + 1])), 4294967295) AS h FROM byte, bits),
+        spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM mark),
+        word AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        cut AS (SELECT word, n, length(word) AS size, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM word, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+        pair AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+                 UNION SELECT c.word, w.word FROM cut c JOIN word w ON c.rest = w.word UNION SELECT w.word, c.word FROM cut c JOIN word w ON c.rest = w.word),
+        near AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-o.n, b)) AS best, max(o.n) AS best_n FROM pair JOIN word o ON o.word = b GROUP BY a),
+        form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+                 FROM word w LEFT JOIN near USING (word)),
+        walk AS (SELECT word, word AS now FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.now WHERE form.form IS NOT NULL)
+        SELECT form.word, form.form, walk.now AS root, form.n, form.n_near, form.form_n
+        FROM form JOIN walk USING (word) JOIN form last ON last.word = walk.now AND last.form IS NULL""",
+    "op13_shingle_rtree": """
+        WITH RECURSIVE
+        word AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        run AS (SELECT DISTINCT row, doc_id, list_slice(words, i, i + 3) AS run FROM word, LATERAL (SELECT unnest(range(1, greatest(length(words) - 3, 1) + 1)) AS i) WHERE length(words) > 0),
+        size AS (SELECT row, doc_id, count(*) AS n FROM run GROUP BY ALL),
+        common AS (SELECT a.row AS a, b.row AS b, count(*) AS n FROM run a JOIN run b ON a.run = b.run AND a.row < b.row GROUP BY ALL),
+        link AS (SELECT a, b FROM common c JOIN size x ON x.row = a JOIN size y ON y.row = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+        sides AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT row, row AS now FROM size UNION SELECT reach.row, b FROM reach JOIN sides ON reach.now = sides.a)
+        SELECT w.doc_id, coalesce(size.n, 0) AS n_shingles, CASE WHEN size.n IS NULL THEN w.doc_id ELSE (SELECT min(s.doc_id) FROM reach JOIN size s ON s.row = reach.now WHERE reach.row = w.row) END AS component_id
+        FROM word w LEFT JOIN size ON size.row = w.row""",
 }
