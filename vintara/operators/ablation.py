@@ -29,18 +29,10 @@ ARMS = {
 }
 
 
-def common_population(base: DataFrame, arms: dict[str, DataFrame]) -> DataFrame:
-    """One row per loan present in every arm: ``score_<arm>`` and ``expected_<arm>``."""
-    out = base
-    for key, table in arms.items():
-        out = out.join(
-            table.select(
-                *LOAN, F.col("score").alias(f"score_{key}"),
-                F.col("expected_npv").alias(f"expected_{key}"),
-            ),
-            list(LOAN),
-        )
-    return out
+def common_population(values: DataFrame, paid: DataFrame, arms: Sequence[str]) -> DataFrame:
+    """One row per loan valued by every arm and realised: outcome, ``score_<arm>`` and ``expected_<arm>``."""
+    columns = [f"{name}_{arm}" for arm in arms for name in ("score", "expected")]
+    return values.select(*LOAN, "resolved", "defaulted", *columns).join(paid, list(LOAN))
 
 
 def arm_rows(

@@ -109,6 +109,10 @@ class DesignSpec:
             loan.append(f"CASE {level_text(name)} {cases} ELSE {number(other)} END")
         return F.expr(" + ".join(f"({part})" for part in loan)), F.expr(age)
 
+    def age_effect(self, coefficients: Sequence[float], age: str) -> str:
+        """The age part of the linear predictor as SQL, at an age given as SQL."""
+        return self.age.effect(age, list(coefficients)[: self.age.size]) if self.age else "0.0D"
+
     def to_json(self) -> str:
         # Insertion order is the order of the coefficients, so keys are not sorted.
         return json.dumps(asdict(self))

@@ -62,6 +62,10 @@ class LogitModel:
         loan, age = self.spec.effects(self.coefficients)
         return loan + self.intercept, age
 
+    def age_effects(self, horizon: int) -> Column:
+        """The age part at every age below ``horizon``, as a constant array."""
+        return F.expr(f"array({', '.join(self.spec.age_effect(self.coefficients, f'{age}.0D') for age in range(horizon))})")
+
     def probability(self) -> Column:
         loan, age = self.predictor_parts()
         return sigmoid(loan + age)

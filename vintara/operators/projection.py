@@ -1,24 +1,23 @@
 """Projecting loans from origination and pricing the projected book.
 
-A loan's covariates are fixed at origination, so its part of the linear predictor
-is computed once per loan; months are generated after the rows are partitioned by
-loan, and survival and pricing reuse that partitioning.
+Loan values fold over a loan's months inside its row. Month rows exist only where they are the result, and where the book is
+summed by month: those sums price every scope and economics cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintara.functions.scalars import (
-    defaulted_by, flat_monthly_hazard, in_share, resolved_by, sigmoid,
+from vintara.functions.cashflow import (
+    discount_factor, monthly_discount, monthly_payment, recovery_multiple, scheduled_balance,
 )
-from vintara.operators.hazard import LOAN, HazardModels, survival_paths
+from vintara.functions.scalars import defaulted_by, in_share, resolved_by
+from vintara.operators.fold import Hazards, calibrated, loan_lives, months_of, path
+from vintara.operators.hazard import LOAN
 from vintara.operators.rates import with_discount_rate
 from vintara.operators.recalibration import Calibrator
-from vintara.operators.valuation import LEGS, TERMS, monthly_legs, price_paths
+from vintara.operators.valuation import LEGS, TERMS
 from vintara.settings import Settings
 
 SCOPES = ("headline", "sequential", "sensitivity")
@@ -40,71 +39,21 @@ def from_origination(loans: DataFrame) -> DataFrame:
     return loans.where(F.col("first_observed_age") == 0)
 
 
-def projected_months(loans: DataFrame, settings: Settings) -> DataFrame:
-    """Every loan at ages 0 .. horizon-1.
-
-    Partitioned by loan before the rows multiply, with a fixed partition count so
-    the small input is not merged into a few partitions.
-    """
-    spark = loans.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ages = F.sequence(F.lit(0), F.lit(settings.horizon - 1))
-    return loans.repartition(partitions, *LOAN).withColumn("loan_age", F.explode(ages))
-
-
-def model_hazards(models: HazardModels, keep: Sequence[str] = KEPT) -> Callable:
-    """Score projected months with fitted models: loan part per loan, age part per month."""
-    parts = {cause: m.predictor_parts() for cause, m in models.causes.items()}
-
-    def score(loans: DataFrame, settings: Settings) -> DataFrame:
-        slim = loans.select(
-            *LOAN, *[c for c in keep if c in loans.columns],
-            *[loan.alias(f"_eta_{cause}") for cause, (loan, _) in parts.items()],
-        )
-        months = projected_months(slim, settings)
-        return months.withColumns(
-            {
-                f"hazard_{cause}": sigmoid(F.col(f"_eta_{cause}") + age)
-                for cause, (_, age) in parts.items()
-            }
-        ).drop(*[f"_eta_{cause}" for cause in parts])
-
-    return score
-
-
-def column_hazards(default: Column, prepayment: Column, keep: Sequence[str] = KEPT) -> Callable:
-    """Hazards given as column expressions over loan attributes and ``loan_age``."""
-
-    def score(loans: DataFrame, settings: Settings) -> DataFrame:
-        months = projected_months(loans, settings)
-        return months.select(
-            *LOAN, *[c for c in keep if c in loans.columns], "loan_age",
-            default.alias("hazard_default"), prepayment.alias("hazard_prepayment"),
-        )
-
-    return score
+def with_months(loans: DataFrame, hazards: Hazards, settings: Settings) -> DataFrame:
+    """Slim loan rows with the hazards of their months in one array, ``_months``."""
+    kept = [*LOAN, *[c for c in KEPT if c in loans.columns]]
+    rows = loans.withColumns(hazards.inputs) if hazards.inputs else loans
+    return rows.withColumn("_months", months_of(hazards, settings)).select(*kept, "_months")
 
 
 def projected_paths(
-    loans: DataFrame, hazards: Callable, settings: Settings, calibrator: Calibrator | None = None
+    loans: DataFrame, hazards: Hazards, settings: Settings, calibrator: Calibrator | None = None
 ) -> DataFrame:
     """Paths with survival and incidence; a calibrator changes the default hazard only,
     before survival, so it also moves the weight of every later month."""
-    months = hazards(loans, settings)
-    if calibrator is not None:
-        months = calibrator.apply(months, "hazard_default", "hazard_default")
-    return survival_paths(months)
-
-
-def flat_paths(
-    loans: DataFrame, probability: str, prepayment_rate: float, settings: Settings
-) -> DataFrame:
-    """Paths of a constant hazard that reaches ``probability`` over the binary window."""
-    flat = flat_monthly_hazard(F.col(probability), settings.binary_window)
-    return projected_paths(
-        loans.withColumn("_flat", flat).select(*LOAN, *KEPT, "_flat"),
-        column_hazards(F.col("_flat"), F.lit(float(prepayment_rate))), settings,
-    )
+    rows = with_months(loans, hazards, settings)
+    kept = [c for c in rows.columns if c != "_months"]
+    return rows.select(*kept, F.inline(path(calibrated(F.col("_months"), calibrator))))
 
 
 def cumulative_calibration(paths: DataFrame, settings: Settings, population: str) -> DataFrame:
@@ -142,28 +91,19 @@ def require_matched(table: DataFrame) -> None:
 
 
 def variant_paths(
-    loans: DataFrame, hazards: Callable, variants: dict[str, Calibrator | None], settings: Settings
+    loans: DataFrame, hazards: Hazards, variants: dict[str, Calibrator | None], settings: Settings
 ) -> DataFrame:
-    """Paths of every hazard variant, labelled.
-
-    Months are generated and scored once; each row then carries every variant's
-    default hazard and splits into one row per variant, inside the loan partitioning.
-    """
-    months = hazards(loans, settings)
-    columns = {name: f"_default_{name}" for name in variants}
-    for name, calibrator in variants.items():
-        if calibrator is None:
-            months = months.withColumn(columns[name], F.col("hazard_default"))
-        else:
-            months = calibrator.apply(months, "hazard_default", columns[name])
+    """Paths of every hazard variant, labelled. Months are scored once per loan."""
+    rows = with_months(loans, hazards, settings)
+    kept = [c for c in rows.columns if c != "_months"]
     labelled = F.array(
         *[
-            F.struct(F.lit(name).alias("variant"), F.col(column).alias("hazard_default"))
-            for name, column in columns.items()
+            F.struct(F.lit(name).alias("variant"), calibrated(F.col("_months"), calibrator).alias("_months"))
+            for name, calibrator in variants.items()
         ]
     )
-    kept = [c for c in months.columns if c != "hazard_default" and c not in columns.values()]
-    return survival_paths(months.select(*kept, F.inline(labelled)), (*LOAN, "variant"))
+    split = rows.select(*kept, F.inline(labelled))
+    return split.select(*kept, "variant", F.inline(path(F.col("_months"))))
 
 
 def economics_cells(settings: Settings) -> list[tuple[float, float]]:
@@ -183,15 +123,14 @@ def _cell_array(scope: str, grid: list[tuple[float, float]]) -> Column:
 
 
 def scope_cells(settings: Settings) -> Column:
-    """The (scope, severity, spread) cells a path row takes part in.
+    """The (scope, severity, spread) cells a row of the portfolio sums takes part in.
 
     headline: every loan, all variants but the sequential one, at the configured
     economics. sequential: later test cohorts, all variants. sensitivity: the hash
     sample of those, over the economics grid.
     """
     configured = [(settings.lgd, settings.spread_bps)]
-    later = F.col("origination_vintage").isin(*settings.test_cohorts[1:])
-    sampled = in_share(F.col("loan_identifier"), settings.sensitivity_share, settings.holdout_seed)
+    later, sampled = F.col("later"), F.col("sampled")
 
     def only(condition: Column, cells: Column) -> Column:
         return F.when(condition, cells).otherwise(F.slice(cells, 1, 0))
@@ -203,24 +142,53 @@ def scope_cells(settings: Settings) -> Column:
     )
 
 
-def portfolio_npv(paths: DataFrame, settings: Settings, cells: Column | None = None) -> DataFrame:
+def portfolio_sums(paths: DataFrame, settings: Settings) -> DataFrame:
+    """Undiscounted cash of the book per variant, discount rate, scope membership and month.
+
+    Value is linear in severity, and the discount depends on the rate, the spread and the month alone, so
+    these sums price every cell. Rates belong to cohorts: the table has a few rows per cohort and month, combined within tasks.
+    """
+    upb, term, age = F.col("original_upb"), F.col("original_loan_term"), F.col("loan_age")
+    note = F.col("original_interest_rate") / 100.0
+    default, prepaid, entering = F.col("hazard_default"), F.col("hazard_prepayment"), F.col("survival_entering")
+    stays, balance = 1.0 - (default + prepaid), scheduled_balance(upb, note, term, age)
+    sampled = in_share(F.col("loan_identifier"), settings.sensitivity_share, settings.holdout_seed)
+    last = age == settings.horizon - 1
+    return paths.groupBy(
+        "variant", "discount_rate", F.col("origination_vintage").isin(*settings.test_cohorts[1:]).alias("later"),
+        sampled.alias("sampled"), "loan_age",
+    ).agg(
+        F.count(F.lit(1)).alias("loans"), F.sum(upb).alias("principal"),
+        F.count_if(default + prepaid >= 1.0).alias("overflows"),
+        F.sum(entering * stays * monthly_payment(upb, note, term)).alias("paid"),
+        F.sum(entering * prepaid * balance).alias("prepaid"), F.sum(entering * default * balance).alias("defaulted"),
+        F.sum(entering * balance).alias("serviced"),
+        F.sum(F.when(last, entering * stays * scheduled_balance(upb, note, term, age + 1))).alias("owed"),
+    )
+
+
+def portfolio_npv(sums: DataFrame, settings: Settings, cells: Column | None = None) -> DataFrame:
     """Portfolio value per variant, scope and economics cell, with the change against raw.
 
-    Only totals are needed, so month rows are summed directly (map-side combine)
-    without a per-loan stage. All scopes and cells come from one pass over the paths.
+    All from the portfolio sums; no month row of a loan is repeated per cell. ``overflows`` counts months of loans whose
+    hazards reach one: where it is not zero, the value of that row does not hold.
     """
     literal = _cell_array("headline", [(settings.lgd, settings.spread_bps)]) if cells is None else cells
     shifted = F.col("discount_rate") + (F.col("discount_spread_bps") - settings.spread_bps) / 10_000.0
-    rows = paths.select("*", F.inline(literal))
-    legs = monthly_legs(settings, lgd=F.col("lgd"), discount_rate=shifted)
-    first, last = F.col("loan_age") == 0, F.col("loan_age") == settings.horizon - 1
-    total = {leg: F.sum(legs[leg]) for leg in LEGS if leg != "terminal_leg"}
-    total["terminal_leg"] = F.sum(F.when(last, legs["ending_balance"]))
-    total["principal"] = F.sum(F.when(first, F.col("original_upb")))
+    monthly = monthly_discount(shifted)
+    arrives = discount_factor(monthly, F.col("loan_age") + 1)
+    recovery = recovery_multiple(monthly, F.col("lgd"), settings.loss_probability, settings.recovery_lag)
+    first = F.col("loan_age") == 0
+    total = {
+        "interest_leg": arrives * F.col("paid"), "prepayment_leg": arrives * F.col("prepaid"),
+        "default_leg": arrives * recovery * F.col("defaulted"), "terminal_leg": arrives * F.col("owed"),
+        "servicing_leg": -arrives * (settings.servicing_bps / 10_000.0 / 12.0) * F.col("serviced"),
+        "principal": F.when(first, F.col("principal")), "loans": F.when(first, F.col("loans")),
+        "overflows": F.col("overflows"),
+    }
     cell = ["scope", "lgd", "discount_spread_bps"]
-    sums = rows.groupBy("variant", *cell).agg(
-        F.count_if(first).alias("loans"), *[c.alias(n) for n, c in total.items()]
-    )
+    rows = sums.select("*", F.inline(literal))
+    sums = rows.groupBy("variant", *cell).agg(*[F.sum(c).alias(n) for n, c in total.items()])
     npv = -F.col("principal")
     for leg in LEGS:
         npv = npv + F.col(leg)
@@ -256,30 +224,19 @@ def sensitivity_band(grid: DataFrame) -> DataFrame:
     )
 
 
-def window_scores(paths: DataFrame, settings: Settings) -> DataFrame:
-    """Cumulative default incidence at the end of the binary window, per loan."""
-    return paths.where(F.col("loan_age") == settings.binary_window - 1).select(
-        *LOAN, F.col("cif_default").alias("score")
-    )
-
-
-def scored_values(paths: DataFrame, settings: Settings) -> DataFrame:
-    """Window score and expected NPV per loan from one pass over its months."""
-    at_window = F.col("loan_age") == settings.binary_window - 1
-    scored = paths.withColumn("_score", F.when(at_window, F.col("cif_default")))
-    legs = scored.withColumns(monthly_legs(settings))
-    value = legs.groupBy(*LOAN).agg(
-        F.max("_score").alias("score"),
-        *[F.sum(c).alias(c) for c in LEGS if c != "terminal_leg"],
-        F.max_by("ending_balance", "loan_age").alias("terminal_leg"),
-        F.first("original_upb", True).alias("principal"),
-    )
-    expected = -F.col("principal")
-    for leg in LEGS:
-        expected = expected + F.col(leg)
-    return value.select(*LOAN, "score", expected.alias("expected_npv"))
+def loan_values(
+    loans: DataFrame, hazards: Hazards, settings: Settings, calibrator: Calibrator | None = None, **overrides
+) -> DataFrame:
+    """Window score, legs and NPV per loan, folded inside its row; loans are neither exploded nor exchanged."""
+    return loan_lives(loans, {"_value": (hazards, calibrator)}, settings, **overrides).select(*LOAN, "_value.*")
 
 
-def price_book(paths: DataFrame, settings: Settings, **overrides) -> DataFrame:
-    return price_paths(paths, settings, list(LOAN), **overrides)
+def arm_values(
+    loans: DataFrame, arms: dict[str, tuple[Hazards, Calibrator | None]], settings: Settings
+) -> DataFrame:
+    """The loans with ``score_<arm>`` and ``expected_<arm>`` of every arm, in one pass."""
+    lives = loan_lives(loans, arms, settings)
+    named = [F.col(f"{a}.{of}").alias(f"{name}_{a}") for a in arms for name, of in (("score", "score"), ("expected", "npv"))]
+    over = [F.col(f"{a}.overflows") for a in arms]
+    return lives.select(*loans.columns, *named, sum(over[1:], over[0]).alias("overflows"))
 

@@ -22,6 +22,8 @@ from vintara.together import together
 class Calibrator(Protocol):
     name: str
 
+    def column(self, probability: Column) -> Column: ...
+
     def apply(self, rows: DataFrame, source: str, target: str) -> DataFrame: ...
 
 
@@ -53,14 +55,35 @@ class Isotonic:
     uncapped: float
     name: str = "isotonic"
 
+    def column(self, probability: Column) -> Column:
+        """The map as an expression: a binary search of the fitted boundaries, then interpolation between two of them."""
+        knots, values = self.model.boundaries.toArray().tolist(), self.model.predictions.toArray().tolist()
+        at, out = F.lit(knots), F.lit(values)
+        # Invariant: boundary[low] <= p < boundary[high], where p lies inside the boundaries.
+        steps = F.sequence(F.lit(1), F.lit(max(1, len(knots).bit_length())))
+        ends = F.struct(F.lit(0).alias("low"), F.lit(len(knots) - 1).alias("high"))
+
+        def narrower(range_: Column, _: Column) -> Column:
+            middle = F.floor((range_["low"] + range_["high"]) / 2).cast("int")
+            above = F.get(at, middle) <= probability
+            return F.struct(
+                F.when(above, middle).otherwise(range_["low"]).alias("low"),
+                F.when(above, range_["high"]).otherwise(middle).alias("high"),
+            )
+
+        def between(range_: Column) -> Column:
+            low, high = range_["low"], F.least(range_["low"] + 1, F.lit(len(knots) - 1))
+            width = F.get(at, high) - F.get(at, low)
+            share = F.try_divide(probability - F.get(at, low), width)
+            return F.get(out, low) + F.coalesce(share, F.lit(0.0)) * (F.get(out, high) - F.get(out, low))
+
+        found = F.get(F.transform(F.array(F.aggregate(steps, ends, narrower)), between), F.lit(0))
+        free = F.when(probability <= knots[0], values[0]).when(probability >= knots[-1], values[-1]).otherwise(found)
+        inside = F.least(F.greatest(free, F.lit(0.0)), F.lit(1.0))
+        return inside if self.ceiling is None else F.least(inside, F.lit(self.ceiling))
+
     def apply(self, rows: DataFrame, source: str, target: str) -> DataFrame:
-        model = self.model.copy()
-        model.setFeaturesCol("_isotonic_in").setPredictionCol("_isotonic_out")
-        fitted = model.transform(rows.withColumn("_isotonic_in", F.col(source)))
-        out = F.least(F.greatest(F.col("_isotonic_out"), F.lit(0.0)), F.lit(1.0))
-        if self.ceiling is not None:
-            out = F.least(out, F.lit(self.ceiling))
-        return fitted.withColumn(target, out).drop("_isotonic_in", "_isotonic_out")
+        return rows.withColumn(target, self.column(F.col(source)))
 
     def clamped_share(self, rows: DataFrame, source: str) -> DataFrame:
         """Share of rows whose fitted value exceeds the cap."""

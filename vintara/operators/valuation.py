@@ -62,41 +62,52 @@ def require_sound_paths(
         raise PathError(f"paths refused: {wrong}")
 
 
+def checked_lgd(settings: Settings, lgd: float | None, loss_probability: float) -> float:
+    severity = settings.lgd if lgd is None else lgd
+    if severity > loss_probability:
+        raise SettingsError(f"lgd {severity} above loss probability {loss_probability}")
+    return severity
+
+
+def leg_amounts(
+    alive: Column, default: Column, prepaid: Column, balance: Column, owed: Column, payment: Column, recovery: Column,
+    servicing_bps: float,
+) -> dict[str, Column]:
+    """Leg contributions of one month; ``alive`` is its entering survival, discounted to the loan's start.
+
+    Cash of month ``t`` arrives at ``t + 1``; ``ending_balance`` is what the loan is
+    expected to owe then, booked as the terminal leg in its last month.
+    """
+    stays = 1.0 - (default + prepaid)
+    return {
+        "interest_leg": alive * stays * payment,
+        "prepayment_leg": alive * prepaid * balance,
+        "default_leg": alive * default * balance * recovery,
+        "servicing_leg": -alive * (servicing_bps / 10_000.0 / 12.0) * balance,
+        "ending_balance": alive * stays * owed,
+    }
+
+
 def monthly_legs(
     settings: Settings,
     *,
-    lgd: Column | float | None = None,
+    lgd: float | None = None,
     loss_probability: float | None = None,
     recovery_lag: int | None = None,
     servicing_bps: float | None = None,
-    discount_rate: Column | None = None,
 ) -> dict[str, Column]:
-    """Discounted leg contributions of one projected month.
-
-    Cash of month ``t`` arrives at ``t + 1``; ``ending_balance`` is what the loan is
-    expected to owe then, booked as the terminal leg in its last month.
-    """
+    """Discounted leg contributions of one path row."""
     q = settings.loss_probability if loss_probability is None else loss_probability
     lag = settings.recovery_lag if recovery_lag is None else recovery_lag
     bps = settings.servicing_bps if servicing_bps is None else servicing_bps
-    if not isinstance(lgd, Column):
-        lgd = settings.lgd if lgd is None else lgd
-        if lgd > q:
-            raise SettingsError(f"lgd {lgd} above loss probability {q}")
     upb, term, age = F.col("original_upb"), F.col("original_loan_term"), F.col("loan_age")
     note = F.col("original_interest_rate") / 100.0
-    monthly = monthly_discount(F.col("discount_rate") if discount_rate is None else discount_rate)
-    default, prepaid = F.col("hazard_default"), F.col("hazard_prepayment")
-    stays = 1.0 - (default + prepaid)
-    balance = scheduled_balance(upb, note, term, age)
-    alive = F.col("survival_entering") * discount_factor(monthly, age + 1)
-    return {
-        "interest_leg": alive * stays * monthly_payment(upb, note, term),
-        "prepayment_leg": alive * prepaid * balance,
-        "default_leg": alive * default * balance * recovery_multiple(monthly, lgd, q, lag),
-        "servicing_leg": -alive * (bps / 10_000.0 / 12.0) * balance,
-        "ending_balance": alive * stays * scheduled_balance(upb, note, term, age + 1),
-    }
+    monthly = monthly_discount(F.col("discount_rate"))
+    return leg_amounts(
+        F.col("survival_entering") * discount_factor(monthly, age + 1), F.col("hazard_default"),
+        F.col("hazard_prepayment"), scheduled_balance(upb, note, term, age), scheduled_balance(upb, note, term, age + 1),
+        monthly_payment(upb, note, term), recovery_multiple(monthly, checked_lgd(settings, lgd, q), q, lag), bps,
+    )
 
 
 def price_paths(paths: DataFrame, settings: Settings, keys: list[str], **overrides) -> DataFrame:

@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import in_share, sigmoid
-from vintara.operators import ablation, binary, contrast, decision, hazard, projection, realised
+from vintara.operators import ablation, binary, contrast, decision, fold, hazard, projection, realised
 from vintara.operators import reliability as rel
 from vintara.operators import selection
 from vintara.plans.queries.economics import (
-    FIXED_PLATT, RoundedPlatt, fixed_hazards, loans_of, paths_of, realised_of,
+    FIXED_HAZARDS, FIXED_PLATT, RoundedPlatt, fixed_hazards, loans_of, paths_of, realised_of, values_of,
 )
 from vintara.plans.queries.panel import exits_of, rounded
 from vintara.plans.stored import panel_of
@@ -82,13 +82,13 @@ def _binary_score():
     return F.round(sigmoid(-1.5 - 0.006 * fico + 0.015 * cltv), 12)
 
 
-def _flat_paths(spark, folder):
-    loans = projection.from_origination(loans_of(spark, folder))
-    return projection.flat_paths(loans.withColumn("_p", _binary_score()), "_p", 0.02, S)
+def _flat_hazards():
+    return fold.flat_hazards(_binary_score(), 0.02, S)
 
 
 def flat_hazard_npv(spark, folder):
-    values = projection.price_book(_flat_paths(spark, folder), S)
+    loans = projection.from_origination(loans_of(spark, folder))
+    values = projection.loan_values(loans, _flat_hazards(), S)
     return rounded(values, 4, "npv").select("loan_identifier", "npv")
 
 
@@ -186,8 +186,7 @@ def _variant_paths(spark, folder, cohorts=None, sequential=True):
     loans = projection.from_origination(loans_of(spark, folder))
     if cohorts:
         loans = loans.where(F.col("origination_vintage").isin(*cohorts))
-    hazards = projection.column_hazards(*fixed_hazards())
-    return projection.variant_paths(loans, hazards, _variants(sequential), S)
+    return projection.variant_paths(loans, FIXED_HAZARDS, _variants(sequential), S)
 
 
 def projected_paths(spark, folder):
@@ -207,7 +206,7 @@ def cumulative_calibration(spark, folder):
 
 def _npv_scopes(spark, folder):
     paths = _variant_paths(spark, folder, S.test_cohorts)
-    return projection.portfolio_npv(paths, S, projection.scope_cells(S))
+    return projection.portfolio_npv(projection.portfolio_sums(paths, S), S, projection.scope_cells(S))
 
 
 def portfolio_npv(spark, folder):
@@ -225,8 +224,7 @@ def sensitivity_band(spark, folder):
 
 
 def applicants_of(spark, folder):
-    scored = projection.scored_values(paths_of(spark, folder), S)
-    scored = scored.withColumn("score", F.round("score", 12))
+    scored = values_of(spark, folder).select(*LOAN, F.round("score", 12).alias("score"), F.col("npv").alias("expected_npv"))
     paid = realised.funded_only(realised_of(spark, folder))
     return decision.applicants(scored, paid, exits_of(spark, folder), S)
 
@@ -277,23 +275,14 @@ def detail_of(spark, folder):
     """Every arm's score and expected value on the later test cohorts, from fixed hazards."""
     loans = projection.from_origination(loans_of(spark, folder))
     later = S.test_cohorts[1:]
-    loans = loans.where(F.col("origination_vintage").isin(*later)).withColumn("_p", _binary_score())
-    loans = durable(loans)
-    hazards = projection.column_hazards(*fixed_hazards())
-    arms = {}
-    for key, calibrator in (("B3", None), ("B4a", FIXED_PLATT), ("B4b", FIXED_SEQUENTIAL)):
-        paths = projection.projected_paths(loans, hazards, S, calibrator)
-        value = projection.scored_values(paths, S)
-        arms[key] = value.withColumn("score", F.round("score", 12))
-    flat = projection.price_book(projection.flat_paths(loans, "_p", 0.02, S), S)
-    arms["B2"] = flat.withColumnRenamed("npv", "expected_npv").join(
-        loans.select(*LOAN, F.col("_p").alias("score")), LOAN
-    )
+    loans = loans.where(F.col("origination_vintage").isin(*later))
+    arms = {"B3": (FIXED_HAZARDS, None), "B4a": (FIXED_HAZARDS, FIXED_PLATT), "B4b": (FIXED_HAZARDS, FIXED_SEQUENTIAL),
+            "B2": (_flat_hazards(), None)}
+    values = projection.arm_values(binary.loan_frame(loans, S).withColumn("_p", _binary_score()), arms, S)
     paid = realised.funded_only(realised_of(spark, folder)).select(*LOAN, F.col("npv").alias("realised"))
-    outcome = binary.loan_frame(loans, S).select(
-        *LOAN, "resolved", F.col(binary.TARGET).alias("defaulted")
-    )
-    return ablation.common_population(paid.join(outcome, LOAN), arms)
+    scores = {f"score_{a}": F.round(f"score_{a}", 12) for a in ("B3", "B4a", "B4b")}
+    values = values.withColumns(scores | {"score_B2": F.col("_p"), "defaulted": F.col(binary.TARGET)})
+    return ablation.common_population(values, paid, tuple(arms))
 
 
 def arms_of(spark, folder):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vintara.functions.cashflow import monthly_payment, scheduled_balance
 from vintara.functions.scalars import sigmoid
-from vintara.operators import projection, rates, realised, severity, valuation
+from vintara.operators import fold, projection, rates, realised, severity, valuation
 from vintara.operators.recalibration import Platt
 from vintara.plans.queries.panel import rounded
 from vintara.plans.stored import months_of, panel_of
@@ -28,9 +28,9 @@ class RoundedPlatt(Platt):
 FIXED_PLATT = RoundedPlatt(0.9, 0.2)
 
 
-def fixed_hazards():
+def fixed_hazards(age=None):
     """Hazards with fixed coefficients, so that plain SQL can reproduce them."""
-    age = F.col("loan_age")
+    age = F.col("loan_age") if age is None else age
     fico = F.coalesce(F.col("classic_fico"), F.lit(700)) - 700
     cltv = F.col("original_combined_loan_to_value") - 70
     default = sigmoid(-2.6 + 0.15 * age - 0.008 * fico + 0.02 * cltv)
@@ -38,6 +38,9 @@ def fixed_hazards():
     return F.round(0.5 * default, 12), F.round(0.5 * prepaid, 12)
 
 
+FIXED_HAZARDS = fold.Hazards(lambda age: fixed_hazards(age)[0], lambda age: fixed_hazards(age)[1])
+
+
 def benchmark_of(spark, folder):
     return rates.benchmark_by_cohort(rates.monthly_yields(daily_yields(spark, folder)))
 
@@ -183,25 +186,27 @@ def loans_of(spark, folder):
 
 def paths_of(spark, folder, calibrator=None):
     loans = projection.from_origination(loans_of(spark, folder))
-    return projection.projected_paths(
-        loans, projection.column_hazards(*fixed_hazards()), S, calibrator
-    )
+    return projection.projected_paths(loans, FIXED_HAZARDS, S, calibrator)
+
+
+def values_of(spark, folder):
+    return projection.loan_values(projection.from_origination(loans_of(spark, folder)), FIXED_HAZARDS, S)
 
 
 def path_audit(spark, folder):
     loans = projection.from_origination(loans_of(spark, folder))
-    paths = projection.projected_paths(loans, projection.column_hazards(*fixed_hazards()), S)
+    paths = projection.projected_paths(loans, FIXED_HAZARDS, S)
     keys = ("origination_vintage", "loan_identifier")
     return rounded(valuation.path_audit(paths, loans, keys), 9, "value")
 
 
 def loan_npv(spark, folder):
-    table = projection.price_book(paths_of(spark, folder), S).withColumn("variant", F.lit("raw"))
+    table = values_of(spark, folder).drop("score", "overflows").withColumn("variant", F.lit("raw"))
     return rounded(rounded(table, 4, *LEGS, "principal", "npv"), 9, "npv_per_dollar")
 
 
 def portfolio_decomposition(spark, folder):
-    table = valuation.portfolio_decomposition(projection.price_book(paths_of(spark, folder), S))
+    table = valuation.portfolio_decomposition(values_of(spark, folder))
     shares = [f"{c}_share" for c in (*LEGS, "npv")]
     table = rounded(rounded(table, 9, *shares), 2, "principal", "npv")
     return rounded(table, 4, "npv_per_loan").select("loans", "principal", "npv", *shares, "npv_per_loan")
