@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vintara.operators import model_store, reliability
 from vintara.operators.hazard import HazardOverflow
 from vintara.operators.valuation import LEGS, loan_npv, require_sound_paths
-from vintara.operators import projection
+from vintara.operators import fold, projection
 from vintara.plans import jobs, stored
 from vintara.plans.queries import sources
 from vintara.plans.queries.economics import rates_of
@@ -63,10 +63,9 @@ def test_fit_reproduces_the_event_counts(models, reports):
 def test_projected_hazards_equal_direct_scores(spark, folder, models):
     """Loan part plus age part gives the hazard the design matrix would give."""
     loans = projection.from_origination(projection.loan_terms(stored.panel_of(spark, folder), rates_of(spark, folder)))
-    split = projection.model_hazards(models)(loans, S).select("loan_identifier", "loan_age", "hazard_default")
-    direct = projection.projected_months(loans, S).select(
-        "loan_identifier", "loan_age", models.causes["default"].probability().alias("p")
-    )
+    split = projection.projected_paths(loans, fold.model_hazards(models, S), S).select("loan_identifier", "loan_age", "hazard_default")
+    months = loans.withColumn("loan_age", F.explode(F.sequence(F.lit(0), F.lit(S.horizon - 1))))
+    direct = months.select("loan_identifier", "loan_age", models.causes["default"].probability().alias("p"))
     gap = split.join(direct, ["loan_identifier", "loan_age"]).agg(
         F.max(F.abs(F.col("hazard_default") - F.col("p"))), F.count(F.lit(1))
     ).first()
@@ -85,9 +84,15 @@ def test_calibrate_decide_and_ablate(spark, folder, models, report, reports):
     assert scores[reliability.TRAIN, "raw"]["marginal_ratio"] == pytest.approx(1.0, abs=1e-6)
     assert scores[reliability.HOLDOUT, "platt"]["marginal_ratio"] == pytest.approx(1.0, abs=1e-3)
     assert {r["scope"] for r in reports["calibration_npv"]} == set(projection.SCOPES)
-    jobs.decide(panel, months, book, models, rates, S, report)
+    with pytest.raises(HazardOverflow):
+        jobs.decide(panel, months, book, models, rates, S, report)
+    jobs.decide(panel, months, book, models, rates, S, report, strict=False)
+    spoiled = {r["variant"] for r in reports["calibration_npv"] if r["overflows"]}
+    assert "raw" in spoiled
     assert [r["rule"] for r in sorted(reports["decision_rules"], key=lambda r: r["position"])][0] == "approve all"
-    jobs.ablate(panel, months, book, models, rates, done, S, report)
+    with pytest.raises(HazardOverflow):
+        jobs.ablate(panel, months, book, models, rates, done, S, report)
+    jobs.ablate(panel, months, book, models, rates, done, S, report, strict=False)
     arms = {r["arm"]: r for r in reports["ablation"]}
     assert list(sorted(arms)) == ["B0", "B1", "B2", "B3", "B4a", "B4b"]
     assert arms["B0"]["auc"] == pytest.approx(0.5) and arms["B0"]["approval_rate"] == 1.0
@@ -109,10 +114,10 @@ def test_model_fitted_under_other_settings_is_refused(spark, models):
 
 def test_values_from_two_tables_equal_values_from_one(spark, folder, models):
     loans = projection.from_origination(projection.loan_terms(stored.panel_of(spark, folder), rates_of(spark, folder)))
-    paths = projection.projected_paths(loans, projection.model_hazards(models), S)
+    paths = projection.projected_paths(loans, fold.model_hazards(models, S), S)
     require_sound_paths(paths, loans)
     apart = loan_npv(paths, loans, S).select("loan_identifier", F.col("npv").alias("a"))
-    joint = projection.price_book(paths, S)
+    joint = projection.loan_values(loans, fold.model_hazards(models, S), S)
     row = joint.join(apart, "loan_identifier").agg(
         F.max(F.abs(F.col("npv") - F.col("a"))).alias("gap"),
         F.max(F.abs(F.col("npv") - sum(F.col(c) for c in LEGS) + F.col("principal"))).alias("legs"),

@@ -239,6 +239,13 @@ def build_exits(performance: DataFrame, origination: DataFrame, settings: Settin
     return loan_exits(classified(performance, settings), origination, settings)
 
 
+def written_counts() -> dict[str, Column]:
+    """Rows, loans and events of panel rows, under the names that the report gives them."""
+    return {
+        "rows": F.count(F.lit(1)), "loans": F.count_if("is_exit_month"), "events": F.count_if("default_event"),
+    }
+
+
 def panel_report(
     performance: DataFrame, origination: DataFrame, settings: Settings
 ) -> DataFrame:

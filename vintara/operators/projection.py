@@ -240,3 +240,10 @@ def arm_values(
     over = [F.col(f"{a}.overflows") for a in arms]
     return lives.select(*loans.columns, *named, sum(over[1:], over[0]).alias("overflows"))
 
+
+def value_faults(*values: str) -> dict[str, Column]:
+    """Counts of values that do not hold: of loans that lack one, and of months whose hazards reach one."""
+    lacking = F.lit(False)
+    for value in values:
+        lacking = lacking | F.col(value).isNull()
+    return {"unpriced": F.count_if(lacking), "overflows": F.coalesce(F.sum("overflows"), F.lit(0))}

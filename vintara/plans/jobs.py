@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vintara.functions.scalars import in_share
 from vintara.operators import (
-    ablation, binary, curves, decision, hazard, model_store, panel, projection, realised, severity,
+    ablation, binary, curves, decision, fold, hazard, model_store, panel, projection, realised, severity, valuation,
 )
 from vintara.operators import recalibration as recal
 from vintara.operators import reliability as rel
@@ -24,7 +24,7 @@ from vintara.operators.design import model_columns
 from vintara.operators.hazard import LOAN, HazardModels
 from vintara.settings import Settings
 from vintara.sources import loan_files, loan_schema, panel_store
-from vintara.storage import durable, staged
+from vintara.storage import durable, staged, with_counts
 
 Report = Callable[[str, DataFrame], None]
 
@@ -38,23 +38,36 @@ def ingest(spark: SparkSession, folder: str, settings: Settings) -> dict[str, Da
     """Text files to typed tables: missing cohorts and repeated keys stop the job."""
     loan_files.require_files(spark, folder, settings)
     out: dict[str, DataFrame] = {}
-    losses = []
+    losses: list[tuple[str, str, int]] = []
     for kind, columns in loan_schema.TABLES.items():
         raw = loan_files.scan_cohorts(spark, folder, kind, settings)
-        losses.append(loan_files.cast_losses(raw, kind, columns))
-        out[kind] = staged(loan_files.typed(raw, columns), kind, (loan_schema.COHORT,))
+        rows, lost = loan_files.typed_and_losses(raw, columns)
+        out[kind] = staged(rows, kind, (loan_schema.COHORT,))
+        losses += [(kind, column, count) for column, count in lost().items()]
     loan_files.require_unique(out["origination"], out["performance"])
     out["summary"] = loan_files.load_summary(out["origination"], out["performance"])
-    out["cast_losses"] = losses[0].unionByName(losses[1])
+    out["cast_losses"] = spark.createDataFrame(losses, "table string, column string, lost bigint")
     return out
 
 
+class FaultyWrite(RuntimeError):
+    """The panel that was written is not the one its exits imply."""
+
+
 def build_panel(
     performance: DataFrame, origination: DataFrame, settings: Settings, path: str, report: Report
 ) -> DataFrame:
-    """The panel by cohort, its report, and the cohort curves."""
-    panel_store.write_panel(panel.build_panel(performance, origination, settings), path)
-    report("panel_report", panel.panel_report(performance, origination, settings))
+    """The panel by cohort, its report, and the cohort curves.
+
+    Rows, loans and events are counted while the panel is written and must be those that the exits imply.
+    """
+    rows, written = with_counts(panel.build_panel(performance, origination, settings), panel.written_counts())
+    panel_store.write_panel(rows, path)
+    table = durable(panel.panel_report(performance, origination, settings))
+    report("panel_report", table)
+    implied = table.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in panel.written_counts()]).first().asDict()
+    if implied != written():
+        raise FaultyWrite(f"written {written()}, implied by the exits {implied}")
     stored = panel_store.read_panel(performance.sparkSession, path)
     table = durable(curves.cohort_curves(stored, settings))
     report("cohort_curves", curves.smoothed(table, "hazard_default"))
@@ -114,14 +127,22 @@ class Calibration:
     npv: DataFrame
 
 
+def require_priced(found: dict, strict: bool) -> None:
+    """Refuse values whose paths do not hold: hazards that reach one, or loans without complete terms."""
+    if found["unpriced"]:
+        raise valuation.PathError(f"{found['unpriced']} loans have terms that give no value")
+    if strict and found["overflows"]:
+        raise hazard.HazardOverflow(f"{found['overflows']} months with total hazard of one or more")
+
+
 def calibrate(
     stored: DataFrame, models: HazardModels, rates: DataFrame, settings: Settings, report: Report,
     strict: bool = True,
 ) -> Calibration:
     """Measure calibration in and out of time, recalibrate, and price the difference.
 
-    Projected months whose hazards add up to one or more, and gaps, are refused; with ``strict`` off they are
-    only reported.
+    Projected months whose hazards add up to one or more are refused, whichever variant has them; with
+    ``strict`` off they are reported, and marked in the rows of the values they spoil.
     """
     if not models.holdout_share:
         raise ValueError("calibration needs models fitted without the holdout loans")
@@ -165,20 +186,21 @@ def calibrate(
 
     loans = projection.from_origination(projection.loan_terms(stored, rates))
     loans = loans.where(cohort.isin(*settings.test_cohorts))
-    score = projection.model_hazards(models)
+    score = fold.model_hazards(models, settings)
+    named: dict[str, recal.Calibrator | None] = {"raw": None, **calibrators}
+    if sequential:
+        named["sequential"] = sequential
+    sums = durable(projection.portfolio_sums(projection.variant_paths(loans, score, named, settings), settings))
+    # Ages come from a sequence, so a loan's span has no gaps.
+    audit = durable(sums.agg(F.lit(0).alias("month_gaps"), F.coalesce(F.sum("overflows"), F.lit(0)).alias("overflows")))
+    report("survival_audit", audit)
+    if strict and audit.first()["overflows"]:
+        raise hazard.HazardOverflow(f"{audit.first()['overflows']} months with total hazard of one or more")
     raw = projection.projected_paths(loans, score, settings)
-    if strict:
-        hazard.require_survivable(raw)
-    else:
-        report("survival_audit", hazard.survival_audit(raw))
     horizons = durable(projection.cumulative_calibration(raw, settings, rel.TEST))
     projection.require_matched(horizons)
     report("calibration_by_horizon", horizons)
-    named: dict[str, recal.Calibrator | None] = {"raw": None, **calibrators}
-    if sequential:
-        named["sequential"] = sequential
-    paths = projection.variant_paths(loans, score, named, settings)
-    npv = durable(projection.portfolio_npv(paths, settings, projection.scope_cells(settings)))
+    npv = durable(projection.portfolio_npv(sums, settings, projection.scope_cells(settings)))
     report("calibration_npv", npv)
     report("calibration_sensitivity", projection.sensitivity_band(npv))
     return Calibration(calibrators, sequential, scores, horizons, npv)
@@ -196,19 +218,23 @@ def realised_values(
 def decide(
     stored: DataFrame, performance: DataFrame, origination: DataFrame, models: HazardModels,
     rates: DataFrame, settings: Settings, report: Report, calibrator: recal.Calibrator | None = None,
+    strict: bool = True,
 ) -> decision.Decision:
-    """Compare approval rules on the test book, thresholds chosen on the in-time holdout."""
+    """Compare approval rules on the test book, thresholds chosen on the in-time holdout.
+
+    Loans without a value are refused, and hazards that reach one unless ``strict`` is off; both are counted while the values are stored.
+    """
     require_rates(rates, settings)
     loans = projection.from_origination(projection.loan_terms(stored, rates))
-    paths = projection.projected_paths(loans, projection.model_hazards(models), settings, calibrator)
-    paid = realised_values(performance, origination, rates, settings)
-    frame = staged(
-        decision.applicants(
-            projection.scored_values(paths, settings), paid,
-            loans.select(*LOAN, "exit_age", "exit_reason"), settings,
-        ),
-        "applicants",
+    values, found = with_counts(
+        projection.loan_values(loans, fold.model_hazards(models, settings), settings, calibrator), projection.value_faults("npv")
     )
+    values = staged(values, "loan-values")
+    require_priced(found(), strict)
+    paid = realised_values(performance, origination, rates, settings)
+    scored = values.select(*LOAN, "score", F.col("npv").alias("expected_npv"))
+    outcome = loans.select(*LOAN, "exit_age", "exit_reason")
+    frame = staged(decision.applicants(scored, paid, outcome, settings), "applicants")
     cohort = F.col("origination_vintage")
     test = frame.where(cohort.isin(*settings.test_cohorts))
     chooser = frame.where(cohort.isin(*settings.train_cohorts) & _held(settings, models.holdout_share or settings.holdout_share))
@@ -220,9 +246,12 @@ def decide(
 
 def ablate(
     stored: DataFrame, performance: DataFrame, origination: DataFrame, models: HazardModels,
-    rates: DataFrame, calibration: Calibration, settings: Settings, report: Report,
+    rates: DataFrame, calibration: Calibration, settings: Settings, report: Report, strict: bool = True,
 ) -> DataFrame:
-    """Every arm on one population of later test cohorts, and where the hazard arm fails."""
+    """Every arm on one population of later test cohorts, and where the hazard arm fails.
+
+    Refuses what ``decide`` refuses, for every arm.
+    """
     require_rates(rates, settings)
     cohort = F.col("origination_vintage")
     loans = projection.loan_terms(stored, rates)
@@ -237,30 +266,23 @@ def ablate(
     cutoff = decision.accuracy_threshold(chosen).first()["threshold"]
 
     later = projection.from_origination(loans).where(cohort.isin(*settings.test_cohorts[1:]))
-    later = staged(later.withColumn("_p", model.logit.probability()), "later-loans")
-    score = projection.model_hazards(models)
+    later = binary.loan_frame(later, settings).withColumns({"_p": model.logit.probability(), "defaulted": F.col(binary.TARGET)})
+    score = fold.model_hazards(models, settings)
     variants: dict[str, recal.Calibrator | None] = {"B3": None}
     if "platt" in calibration.calibrators:
         variants["B4a"] = calibration.calibrators["platt"]
     if calibration.sequential:
         variants["B4b"] = calibration.sequential
-    arms = {
-        key: projection.scored_values(
-            projection.projected_paths(later, score, settings, calibrator), settings
-        )
-        for key, calibrator in variants.items()
-    }
     prepayment = models.causes["prepayment"].base_rate
-    flat = projection.price_book(projection.flat_paths(later, "_p", prepayment, settings), settings)
-    arms["B2"] = flat.withColumnRenamed("npv", "expected_npv").join(
-        later.select(*LOAN, F.col("_p").alias("score")), list(LOAN)
-    )
+    arms: dict = {name: (score, calibrator) for name, calibrator in variants.items()}
+    arms["B2"] = (fold.flat_hazards(F.col("_p"), prepayment, settings), None)
+    values = projection.arm_values(later, arms, settings).withColumn("score_B2", F.col("_p"))
+    values, found = with_counts(values, projection.value_faults(*[f"expected_{a}" for a in arms]))
+    values = staged(values, "arm-values")
+    require_priced(found(), strict)
     paid = realised_values(performance, origination, rates, settings)
-    outcome = binary.loan_frame(later, settings).select(
-        *LOAN, "resolved", F.col(binary.TARGET).alias("defaulted")
-    )
-    base = paid.select(*LOAN, F.col("npv").alias("realised")).join(outcome, list(LOAN))
-    detail = staged(ablation.common_population(base, arms), "ablation-detail")
+    paid = paid.select(*LOAN, F.col("npv").alias("realised"))
+    detail = staged(ablation.common_population(values, paid, tuple(arms)), "ablation-detail")
     rate = detail.agg(ablation.base_rate(detail).alias("r")).first()["r"]
     table = ablation.arm_table(ablation.arm_rows(detail, cutoff, rate, tuple(variants)), settings)
     table = durable(ablation.arm_steps(table))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from vintara.settings import Settings
+from vintara.storage import with_counts
 from vintara.sources.loan_schema import (
     COHORT, LOAN_KEY, MONTHS, NOT_AVAILABLE, TABLES, sql_type,
 )
@@ -119,20 +120,31 @@ def typed(raw: DataFrame, columns: Iterable[str]) -> DataFrame:
     return raw.select(*out)
 
 
+def loss_counts(columns: Iterable[str]) -> dict[str, Column]:
+    """Per cast column, how many values present in the text the cast loses."""
+    return {
+        c: F.count_if(cleared(c).isNotNull() & cleared(c).try_cast(sql_type(c)).isNull())
+        for c in columns if sql_type(c) != "string"
+    }
+
+
 def cast_losses(raw: DataFrame, table: str, columns: Iterable[str]) -> DataFrame:
     """Values present in the text that a cast lost, per column, in a single pass."""
-    casts = [c for c in columns if sql_type(c) != "string"]
-    lost = [
-        F.count_if(cleared(c).isNotNull() & cleared(c).try_cast(sql_type(c)).isNull()).alias(c)
-        for c in casts
-    ]
-    row = raw.agg(*lost)
+    lost = loss_counts(columns)
+    row = raw.agg(*[count.alias(c) for c, count in lost.items()])
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).alias("lost")) for c in casts]
+        *[F.struct(F.lit(c).alias("column"), F.col(c).alias("lost")) for c in lost]
     )
     return row.select(F.lit(table).alias("table"), F.inline(pairs)).where(F.col("lost") > 0)
 
 
+def typed_and_losses(raw: DataFrame, columns: Iterable[str]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """The typed layer, and its cast losses once it has been written: the text is parsed once for both."""
+    columns = list(columns)
+    counted, losses = with_counts(raw, loss_counts(columns))
+    return typed(counted, columns), lambda: {c: n for c, n in losses().items() if n}
+
+
 def duplicate_keys(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """How many key values occur more than once."""
     return (

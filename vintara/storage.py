@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,3 +56,12 @@ def small_side(frame: DataFrame, limit: int = 100_000) -> DataFrame:
     """Materialise a join side and broadcast it only if its row count allows."""
     kept = durable(frame)
     return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+def with_counts(frame: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, Callable[[], dict]]:
+    """The frame with aggregates that its next action measures on the rows it passes on, and a function that returns them afterwards.
+
+    Checks and reports so cost no pass of their own, and count what was really written.
+    """
+    seen = Observation(f"counts-{uuid.uuid4().hex}")
+    return frame.observe(seen, *[c.alias(n) for n, c in metrics.items()]), lambda: dict(seen.get)
