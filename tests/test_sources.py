@@ -10,7 +10,7 @@ from vintara.sources.driver_tables import DRIVER_SETTINGS as S
 
 LIGHT = [
     n for n in catalog.oracle_sql()
-    if n[0] in "srvp" and not n.startswith(("p9", "p10", "p11"))
+    if n[0] in "srvpzlnj" and not n.startswith(("p9", "p10", "p11"))
 ]
 
 

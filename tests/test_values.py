@@ -156,6 +156,10 @@ def test_yield_files(spark, tmp_path):
     assert found == {"2000-01-01": 6.5, "2001-02-01": 5.0}
     with pytest.raises(yield_files.WrongSeries):
         yield_files.load_yields(spark, str(path), "DGS30")
+    bare = tmp_path / "bare.csv"
+    bare.write_text("observation_date,DGS10\n2000-01-03,.\n2000-01-04,\n")
+    with pytest.raises(yield_files.EmptySeries):
+        yield_files.load_yields(spark, str(bare), "DGS10")
     benchmark = rates.benchmark_by_cohort(monthly)
     rates.require_covered(benchmark, SETTINGS)
     table = {r["vintage"]: r["discount_rate"] for r in rates.discount_rates(benchmark, SETTINGS).collect()}

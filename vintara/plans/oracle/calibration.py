@@ -366,11 +366,19 @@ STATEMENTS = {
             source="(SELECT d.*, greatest(len([e FOR e IN edges IF e < score_b3]) - 1, 0) AS decile FROM t_detail d, t_deciles)",
         ) + " GROUP BY decile"),
     "a8_arm_contrast": with_sql("""
-        SELECT arm, round(max(base_rate) FILTER (WHERE pop = 'train (in-sample)' AND variant = 'raw'), 9) AS train_base_rate,
-               round(max(base_rate) FILTER (WHERE pop = 'test (out-of-time)' AND variant = 'raw'), 9) AS test_base_rate,
-               round(max(ratio) FILTER (WHERE pop = 'train (in-sample)' AND variant = 'raw'), 9) AS in_sample_ratio,
-               round(max(ratio) FILTER (WHERE pop = 'holdout (in-time)' AND variant = 'raw'), 9) AS holdout_ratio,
-               round(max(ratio) FILTER (WHERE pop = 'test (out-of-time)' AND variant = 'raw'), 9) AS test_ratio,
-               round(max(ece / base_rate) FILTER (WHERE pop = 'test (out-of-time)' AND variant = 'raw'), 9) AS ece_over_base_rate
-        FROM t_scores GROUP BY arm"""),
+        SELECT arm, round(base0, 9) AS train_base_rate, round(base1, 9) AS test_base_rate, round(r_train, 9) AS in_sample_ratio,
+               round(r_held, 9) AS holdout_ratio, round(r_test, 9) AS test_ratio, round(e_test / base1, 9) AS ece_over_base_rate,
+               round(base1 / base0, 9) AS base_rate_shift, round(1 - r_test, 9) AS shortfall,
+               round(1 - abs(r_platt - 1) / abs(r_test - 1), 9) AS platt_closes, round(1 - abs(r_fitted - 1) / abs(r_later - 1), 9) AS sequential_closes
+        FROM (
+            SELECT arm, max(base_rate) FILTER (WHERE pop = 'train (in-sample)' AND variant = 'raw') AS base0,
+                   max(base_rate) FILTER (WHERE pop = 'test (out-of-time)' AND variant = 'raw') AS base1,
+                   max(ratio) FILTER (WHERE pop = 'train (in-sample)' AND variant = 'raw') AS r_train,
+                   max(ratio) FILTER (WHERE pop = 'holdout (in-time)' AND variant = 'raw') AS r_held,
+                   max(ratio) FILTER (WHERE pop = 'test (out-of-time)' AND variant = 'raw') AS r_test,
+                   max(ratio) FILTER (WHERE pop = 'test (out-of-time)' AND variant = 'platt') AS r_platt,
+                   max(ratio) FILTER (WHERE pop LIKE '%sequential%' AND variant = 'raw') AS r_later,
+                   max(ratio) FILTER (WHERE pop LIKE '%sequential%' AND variant <> 'raw') AS r_fitted,
+                   max(ece) FILTER (WHERE pop = 'test (out-of-time)' AND variant = 'raw') AS e_test
+            FROM t_scores GROUP BY arm)"""),
 }

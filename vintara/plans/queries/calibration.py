@@ -329,7 +329,7 @@ def arm_contrast(spark, folder):
     )
     names = (
         "train_base_rate", "test_base_rate", "in_sample_ratio", "holdout_ratio", "test_ratio",
-        "ece_over_base_rate",
+        "ece_over_base_rate", "base_rate_shift", "shortfall", "platt_closes", "sequential_closes",
     )
     return rounded(contrast.arm_contrast(both), 9, *names).select("arm", *names)
 

@@ -12,8 +12,10 @@ from vintara.operators import fold, projection, rates, realised, severity, valua
 from vintara.operators.recalibration import Platt
 from vintara.plans.queries.panel import rounded
 from vintara.plans.stored import months_of, panel_of
+from vintara.sources import yield_files
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
 from vintara.sources.driver_tables import daily_yields, loan_book
+from vintara.storage import fresh_path
 
 LEGS = valuation.LEGS
 
@@ -50,7 +52,10 @@ def rates_of(spark, folder):
 
 
 def monthly_yields(spark, folder):
-    return rounded(rates.monthly_yields(daily_yields(spark, folder)), 9, "yield_pct")
+    """The daily series, written as the two-column file it usually comes as and read from there."""
+    path = fresh_path(spark, "yields")
+    daily_yields(spark, folder).withColumnRenamed("value", "DGS30").write.option("header", True).csv(path)
+    return rounded(yield_files.load_yields(spark, path, "DGS30"), 9, "yield_pct")
 
 
 def discount_rates(spark, folder):
@@ -149,13 +154,10 @@ def realised_npv(spark, folder):
 
 
 def portfolio_legs(spark, folder):
-    table = realised.portfolio_legs(realised_of(spark, folder))
-    table = rounded(table, 2, "advanced", "pv_interest_total", "pv_loss_total", "npv_total")
+    totals = ["advanced", *[f"pv_{leg}_total" for leg in ("interest", "principal", "terminal", "loss", "servicing")], "npv_total"]
+    table = rounded(realised.portfolio_legs(realised_of(spark, folder)), 2, *totals)
     table = rounded(table, 9, "loss_share", "alive_share")
-    return rounded(table, 4, "npv_per_loan").select(
-        "loans", "unfunded", "advanced", "pv_interest_total", "pv_loss_total", "npv_total",
-        "npv_per_loan", "loss_share", "alive_share",
-    )
+    return rounded(table, 4, "npv_per_loan").select("loans", "unfunded", *totals, "npv_per_loan", "loss_share", "alive_share")
 
 
 def loss_censoring(spark, folder):
