@@ -30,20 +30,22 @@ def _odd_texts() -> list[str]:
     return made + ["", " ", "  ", "a  ", "x" * 5000, "<|endoftext|>", "a<|endoftext|> b", "ü" * 300 + "1234567890" * 40, "I'll don't", "ab " * 90]
 
 
-def test_encode_and_decode_equal_the_library(library):
-    words, texts = bpe.Vocabulary(tokenizer_path()), _odd_texts()
+@pytest.mark.parametrize("kind", [bpe.Vocabulary, bitplane.LibraryVocabulary])
+def test_encode_and_decode_equal_the_library(library, kind):
+    words, texts = kind(tokenizer_path()), _odd_texts()
     ours = [np.frombuffer(ids, np.int32).tolist() for ids in words.encode(texts)]
     theirs = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert ours == theirs
     assert [words.decode(np.array(i, np.int32)).decode("utf-8", "replace") for i in ours] == [library.decode(i, skip_special_tokens=False) for i in theirs]
 
 
-def test_table_of_units_may_start_anew(library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 20)
-    words, texts = bpe.Vocabulary(tokenizer_path()), _odd_texts()[:400]
+@pytest.mark.parametrize("kind", [bpe.Vocabulary, bitplane.LibraryVocabulary])
+def test_table_of_units_may_start_anew(library, monkeypatch, kind):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20 * bpe.ENTRY)
+    words, texts = kind(tokenizer_path()), _odd_texts()[:400]
     for at in range(0, 400, 50):
         ours = [np.frombuffer(ids, np.int32).tolist() for ids in words.encode(texts[at : at + 50])]
-        assert ours == [e.ids for e in library.encode_batch(texts[at : at + 50], add_special_tokens=False)]
+        assert words.units.bytes >= 0 and ours == [e.ids for e in library.encode_batch(texts[at : at + 50], add_special_tokens=False)]
 
 
 def _expected(rows, library):
@@ -57,6 +59,10 @@ def test_operators_on_odd_rows(spark, library):
     assert sorted(((r[0], list(r[1])) for r in encoded.collect()), key=repr) == sorted(_expected(rows, library), key=repr)
     decoded = {(r["doc_id"], r["decoded"]) for r in bpe.decode(encoded, tokenizer_path()).collect()}
     assert decoded == {(i, library.decode(ids, skip_special_tokens=False)) for i, ids in _expected(rows, library)}
+    both = bpe.round_trip(docs, tokenizer_path())
+    assert {(r["doc_id"], r["decoded"]) for r in both.collect()} == decoded
+    assert sorted(((r[0], list(r[1])) for r in both.collect()), key=repr) == sorted(_expected(rows, library), key=repr)
+    assert bpe.round_trip(empty(docs), tokenizer_path()).count() == 0
     assert bpe.decode(bpe.encode(empty(docs), tokenizer_path()), tokenizer_path()).count() == 0
 
 
@@ -67,6 +73,13 @@ def test_bpe_query(spark, folder, library):
     assert {tuple(r) for r in op2_bpe(spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()} == wanted
 
 
+def test_decoder_needs_no_merges():
+    tokens = bpe.token_bytes(tokenizer_path())
+    assert not hasattr(tokens, "rank_of")
+    ids = np.frombuffer(bpe.Vocabulary(tokenizer_path()).encode(["a word"])[0], np.int32)
+    assert tokens.decode(np.array([-1, *ids, 10**6], np.int32)) == b"a word"
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip(bits):
     source = np.random.default_rng(1)

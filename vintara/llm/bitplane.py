@@ -140,20 +140,40 @@ class PlaneReader:
             rest, start = whole[count:], start + count
 
 
-class LibraryVocabulary(bpe.Vocabulary):
-    """Ids from the tokenizers library; repeated units come from the worker's table."""
+class LibraryVocabulary(bpe.UnitTable):
+    """Ids from the tokenizers library; repeated units come from the worker's table.
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    New units of one word are handed to the library as one string. Its tokens cover the string byte by byte, so a unit's ids lie between
+    the tokens that end with the unit before it and with itself; a unit without such ends is encoded alone.
+    """
+
+    def prepare(self, path: str, content: dict) -> None:
+        super().prepare(path, content)
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
 
-    def merge(self, pieces: list[str]) -> list[bytes]:
-        coded = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(c.ids, np.int32).tobytes() for c in coded]
+    def coded(self, texts: list[str]) -> Iterator[bytes]:
+        return (np.array(c.ids, np.int32).tobytes() for c in self.library.encode_batch_fast(texts, add_special_tokens=False))
+
+    def learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        alone = [u for u in units if bpe.OTHER(u)]
+        words = list(set(units).difference(alone))
+        (joined,) = self.coded(["".join(words)])
+        stops = np.cumsum(self.spans[np.frombuffer(joined, np.int32)])
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        last = np.searchsorted(stops, ends)
+        met = (last < len(stops)) & (stops[np.minimum(last, len(stops) - 1)] == ends) if len(stops) else np.zeros(len(words), bool)
+        begin, sound = 0, True
+        for word, end, here in zip(words, (4 * (last + 1)).tolist(), met.tolist()):
+            if here and sound:
+                yield word, joined[begin:end]
+            else:
+                alone.append(word)
+            begin, sound = end, here
+        yield from zip(alone, self.coded(alone))
 
 
 @lru_cache(maxsize=4)

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding over contiguous rank arrays.
 
 A text is cut at single spaces into units (a space and the characters up to the next one). Units repeat, so each
-worker keeps their ids in a bounded table. A unit that is not in the table is cut into pieces by the vocabulary's
+worker keeps their ids in a table bounded by bytes. A unit that is not in the table is cut into pieces by the vocabulary's
 split pattern, and the new pieces of a batch are merged together: one row per piece holds its part ids side by side
 and one row the ranks of adjacent parts. Each step finds the smallest rank of every row (the leftmost on ties),
 joins the two parts by deleting the boundary between them, and refreshes the ranks beside it, until no adjacent
@@ -35,8 +35,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 SHORT = 48
 NONE = np.int32(2**31 - 1)
-#: Entries of a worker's table; a full one becomes the older table, from which units in use are taken over.
-REMEMBERED = 250_000
+#: Bytes of a worker's table, and what an entry takes beside its characters and ids.
+REMEMBERED, ENTRY = 24 << 20, 160
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,15 +46,42 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class Vocabulary:
-    """Merges and token bytes of a tokenizer file."""
+class Remembered:
+    """Ids of strings. A full table becomes the older one, from which strings in use are taken over."""
+
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def unknown(self, wanted: set[str]) -> list[str]:
+        """Those that neither table holds; the others are in ``ids`` from here on."""
+        if self.bytes > REMEMBERED:
+            self.older, self.ids, self.bytes = self.ids, {}, 0
+        wanted = wanted.difference(self.ids)
+        again = wanted.intersection(self.older)
+        self.add(dict(zip(again, map(self.older.__getitem__, again))))
+        return list(wanted.difference(again))
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.ids.update(found)
+        self.bytes += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+
+    def drop(self, longer: int, among: list[str]) -> None:
+        """Forget long strings: rarely met again, and not small."""
+        for one in among:
+            if len(one) > longer:
+                self.bytes -= len(one) + len(self.ids.pop(one)) + ENTRY
+
+
+class TokenBytes:
+    """The bytes of each id of a tokenizer file, without its merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         letters = byte_letters()
         ids: dict[str, int] = content["model"]["vocab"]
-        self.first = np.array([ids[letters[b]] for b in range(256)], np.int32)
         self.special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}
         to_byte = {c: b for b, c in letters.items()}
         token_bytes = {i: bytes(to_byte[c] for c in token) for token, i in ids.items() if token not in self.special}
@@ -63,24 +90,67 @@ class Vocabulary:
         self.spans = np.array([len(b) for b in in_order], np.int64)
         self.starts = np.cumsum(self.spans) - self.spans
         self.joined_bytes = np.frombuffer(b"".join(in_order), np.uint8)
-        self.rank_of: dict[tuple[int, int], tuple[int, int]] = {}
-        keys, ranks, joined = [], [], []
+        self.prepare(path, content)
+
+    def prepare(self, path: str, content: dict) -> None:
+        """What encoders take from the file besides."""
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes behind ids: each id's span of the joined token bytes, copied side by side."""
+        inside = ids[(ids >= 0) & (ids < len(self.spans))]
+        sizes = self.spans[inside]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[inside] - (ends - sizes), sizes)
+        return self.joined_bytes[shift + np.arange(len(shift))].tobytes()
+
+
+class UnitTable(TokenBytes):
+    """Encodes texts by their units; ``learn`` gives the ids of new ones."""
+
+    def prepare(self, path: str, content: dict) -> None:
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.units = Remembered()
+
+    def learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        raise NotImplementedError
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers in sequence."""
+        plans = [self._units(text) for text in texts]
+        new = self.units.unknown(set(chain.from_iterable(u for plan in plans for u in plan if isinstance(u, list))))
+        self.units.add(dict(self.learn(new)))
+        known = self.units.ids.__getitem__
+        out = [b"".join(b"".join(map(known, u)) if isinstance(u, list) else u for u in plan) for plan in plans]
+        self.units.drop(4 * SHORT, new)
+        return out
+
+    def _units(self, text: str) -> list:
+        """Runs of units, and the ids of special tokens between them."""
+        if self.cut and any(token in text for token in self.special):
+            return [np.int32(self.special[p]).tobytes() if p in self.special else split_units(p) for p in self.cut.split(text) if p]
+        return [split_units(text)]
+
+
+class Vocabulary(UnitTable):
+    """Merges of a tokenizer file over contiguous rank arrays."""
+
+    def prepare(self, path: str, content: dict) -> None:
+        super().prepare(path, content)
+        ids, letters = content["model"]["vocab"], byte_letters()
+        self.first = np.array([ids[letters[b]] for b in range(256)], np.int32)
+        self.rank_of: dict[int, int] = {}
+        joined = []
         for rank, merge in enumerate(content["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            a, b, c = ids[left], ids[right], ids[left + right]
-            self.rank_of[a, b] = rank, c
-            keys.append((a << 32) | b)
-            ranks.append(rank)
-            joined.append(c)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys = np.array(keys, np.int64)[order]
+            self.rank_of[(ids[left] << 32) | ids[right]] = rank
+            joined.append(ids[left + right])
         self.joined = np.array(joined, np.int32)  # by rank
-        self.ranks = np.array(ranks, np.int32)[order]
+        keys = np.fromiter(self.rank_of, np.int64, len(self.rank_of))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.ranks = np.fromiter(self.rank_of.values(), np.int32, len(keys))[order]
         self.pattern = regex.compile(PATTERN)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Remembered()
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = (left.astype(np.int64) << 32) | right
@@ -130,21 +200,22 @@ class Vocabulary:
         part = self.first[np.frombuffer(word, np.uint8)].tolist()
         size = len(part)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        heap = [(*found, i, part[i], part[i + 1]) for i in range(size - 1) if (found := self.rank_of.get((part[i], part[i + 1])))]
-        heapq.heapify(heap)
-        heap = [(rank, i, joined, a, b) for rank, joined, i, a, b in heap]
-        heapq.heapify(heap)
+        heap: list[tuple[int, int, int, int]] = []
 
         def push(i: int) -> None:
-            if i >= 0 and after[i] < size and (found := self.rank_of.get((part[i], part[after[i]]))):
-                heapq.heappush(heap, (found[0], i, found[1], part[i], part[after[i]]))
+            if i >= 0 and after[i] < size:
+                a, b = part[i], part[after[i]]
+                if (rank := self.rank_of.get((a << 32) | b)) is not None:
+                    heapq.heappush(heap, (rank, i, a, b))
 
+        for i in range(size - 1):
+            push(i)
         while heap:
-            _, i, joined, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if part[i] != a or j >= size or part[j] != b:
                 continue
-            part[i], part[j], after[i] = joined, -1, after[j]
+            part[i], part[j], after[i] = int(self.joined[rank]), -1, after[j]
             if after[j] < size:
                 before[after[j]] = i
             push(before[i])
@@ -162,15 +233,12 @@ class Vocabulary:
 
     def learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
         """The ids of new units. Units of one word are cut into pieces in one run of the pattern over all of them."""
-        rest = [u for u in units if _OTHER(u)]
+        rest = [u for u in units if OTHER(u)]
         word = list(set(units).difference(rest))
         cut = [self.pattern.findall("".join(word)), *map(self.pattern.findall, rest)]
-        new = list(set(chain.from_iterable(cut)).difference(self.pieces))
-        if len(self.pieces) + len(new) > REMEMBERED:
-            self.pieces = {}
-            new = list(set(chain.from_iterable(cut)))
-        self.pieces.update(zip(new, self.merge(new)))
-        known = self.pieces.__getitem__
+        new = self.pieces.unknown(set(chain.from_iterable(cut)))
+        self.pieces.add(dict(zip(new, self.merge(new))))
+        known = self.pieces.ids.__getitem__
         coded = list(map(known, cut[0]))
         ends = np.cumsum(np.fromiter(map(len, cut[0]), np.int64, len(cut[0])))
         stops = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
@@ -181,45 +249,11 @@ class Vocabulary:
             begin = stop
         for unit, pieces in zip(rest, cut[1:]):
             yield unit, b"".join(map(known, pieces))
-        for piece in new:
-            if len(piece) > SHORT:  # rarely met again, and not small
-                del self.pieces[piece]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers in sequence."""
-        plans = [self._units(text) for text in texts]
-        wanted = set(chain.from_iterable(u for plan in plans for u in plan if isinstance(u, list)))
-        if len(self.units) > REMEMBERED:  # what is still in use moves over from the older table
-            self.older, self.units = self.units, {}
-        wanted.difference_update(self.units)
-        again = wanted.intersection(self.older)
-        self.units.update(zip(again, map(self.older.__getitem__, again)))
-        new = list(wanted.difference(again))
-        self.units.update(self.learn(new))
-        known = self.units.__getitem__
-        out = [b"".join(b"".join(map(known, u)) if isinstance(u, list) else u for u in plan) for plan in plans]
-        for unit in new:
-            if len(unit) > 4 * SHORT:
-                del self.units[unit]
-        return out
-
-    def _units(self, text: str) -> list:
-        """Runs of units, and the ids of special tokens between them."""
-        if self.cut and any(token in text for token in self.special):
-            return [np.int32(self.special[p]).tobytes() if p in self.special else split_units(p) for p in self.cut.split(text) if p]
-        return [split_units(text)]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes behind ids: each id's span of the joined token bytes, copied side by side."""
-        inside = ids[(ids >= 0) & (ids < len(self.spans))]
-        sizes = self.spans[inside]
-        ends = np.cumsum(sizes)
-        shift = np.repeat(self.starts[inside] - (ends - sizes), sizes)
-        return self.joined_bytes[shift + np.arange(len(shift))].tobytes()
+        self.pieces.drop(SHORT, new)
 
 
 #: Anything but a space and one word, over whose ends no run of white space can reach.
-_OTHER = re.compile(r"\S\s|\A[^ ]|\s\s|\A \Z").search
+OTHER = re.compile(r"\S\s|\A[^ ]|\s\s|\A \Z").search
 _AMBIGUOUS = regex.compile(r"\s \s|\s $")
 
 
@@ -242,12 +276,26 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(path)
+
+
 def id_lists(coded: list[bytes]) -> pa.ListArray:
     offsets = np.zeros(len(coded) + 1, np.int32)
     np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
 
+def _decoded(tokens: TokenBytes, keys: pa.Array, lists: pa.ListArray, sizes: np.ndarray, key: str) -> Iterator[pa.RecordBatch]:
+    """Batches (key, ids, decoded) of bounded size; bytes that are no UTF-8 become replacement characters."""
+    for a, b in small_lots(sizes, 500_000):
+        some = lists.slice(a, b - a)
+        ids, ends = some.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes[a:b]).tolist()
+        texts = pa.array([tokens.decode(ids[i:j]).decode("utf-8", "replace") for i, j in zip([0, *ends], ends)], pa.string())
+        yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), some, texts], names=[key, "ids", "decoded"])
+
+
 def encode(frame: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: the key and ``ids``, the token ids of the whole text in order."""
     with_workers(frame.sparkSession)
@@ -268,14 +316,25 @@ def decode(frame: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
     rows = frame.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        tokens = token_bytes(path)
         for batch in batches:
             sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for a, b in small_lots(sizes, 500_000):
-                lists = batch.column(1).slice(a, b - a)
-                ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes[a:b]).tolist()
-                texts = pa.array([words.decode(ids[i:j]).decode("utf-8", "replace") for i, j in zip([0, *ends], ends)], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, texts], names=[key, "ids", "decoded"])
+            yield from _decoded(tokens, batch.column(0), batch.column(1), sizes, key)
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
+def round_trip(frame: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode(encode(frame))`` in one pass: a core holds one Python worker with one vocabulary."""
+    with_workers(frame.sparkSession)
+    rows = text_rows(frame, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for batch in batches:
+            for keys, texts in text_lots(batch):
+                coded = words.encode(texts)
+                yield from _decoded(words, keys, id_lists(coded), np.array([len(c) // 4 for c in coded], np.int64), key)
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, ids array<int>, decoded string")
 

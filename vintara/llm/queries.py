@@ -27,7 +27,7 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document, and the digest of its decoded text."""
     path = tokenizer_path()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
+    return bpe.digests(bpe.round_trip(table(spark, folder, "documents"), path))
 
 
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
