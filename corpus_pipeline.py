@@ -30,9 +30,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
-    path = tokenizer_path()
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return bpe.digests(decoded, "doc_id", "ids")
+    return bpe.digests(bpe.round_trip(docs, tokenizer_path()), "doc_id", "ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_benchmark), ("bpe", encode)]
