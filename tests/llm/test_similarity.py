@@ -75,6 +75,49 @@ def test_classes_of_odd_rows(spark):
     assert probminhash.classes(empty(docs)).count() == 0 and probminhash.one_of_each(empty(docs)).count() == 0
 
 
+def test_bounds_hold_the_similarity():
+    source = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        runs = np.unique(source.integers(0, 30, 25).astype(np.uint64))
+        sets.append((runs, source.integers(1, 5, len(runs)).astype(float)))
+    sets.append((np.empty(0, np.uint64), np.empty(0)))
+    bounds = probminhash.Bounds(sets)
+    for i in range(len(sets)):
+        found = bounds.of(i)
+        assert all(found[j] >= probminhash.similarity(sets[i], sets[j]) - 1e-9 for j in range(len(sets)))
+
+
+def _variants(seed, count):
+    """Copies of one text whose words change more and more, so that some pairs lie on either side of the least similarity."""
+    source, words, out = np.random.default_rng(seed), prose(seed, 150).split(), []
+    for n in range(count):
+        changed = words[:]
+        for at in source.integers(0, len(words), n % 9):
+            changed[at] = f"other{n}"
+        out.append(" ".join(changed))
+    return out
+
+
+def test_large_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(probminhash, "CHUNK", 8)
+    rows = [(n, t) for n, t in enumerate([*_variants(70, 60), *_variants(71, 25), *(prose(100 + n, 80) for n in range(15))])]
+    found = probminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == _classes(rows)
+
+
+def test_texts_that_share_a_key_or_have_none(spark):
+    one, other, third = prose(80, 100), prose(81, 100), prose(82, 100)
+    near = one.replace(one.split()[50], "changed", 1)
+    rows = [(1, one), (1, other), (1, other), (2, near), (3, other), (None, third), (None, third), (None, one), (None, third + " more words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["class_id"]) for r in probminhash.classes(docs).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (None, None), (None, 1)}
+    kept = [tuple(r) for r in probminhash.one_of_each(docs).collect()]
+    assert len(kept) == 3 and {t for _, t in kept} - {third, third + " more words"} == {one, other}
+    assert sorted((k for k, _ in kept), key=repr) == [1, 1, None]
+
+
 def test_class_query(spark, folder):
     rows = [tuple(r) for r in table(spark, folder, "documents").select("doc_id", "text").collect()]
     assert {(r["doc_id"], r["class_id"]) for r in op10_probminhash(spark, folder).collect()} == set(_classes(rows).items())
@@ -189,6 +232,17 @@ def test_overlaps_of_odd_rows(spark, monkeypatch):
     assert decontamination.overlaps(empty(docs), items).count() == 0 and decontamination.overlaps(docs, empty(items)).count() == 0
 
 
+def test_rows_go_by_their_text_whatever_their_key(spark):
+    item = prose(20, 30) + "."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bad, clean = prose(30, 200) + " " + item, prose(31, 200)
+    rows = [(None, bad), (None, clean), (1, bad), (1, clean), (2, bad), (2, bad), (3, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as key", "'y' as digest", "'z' as hit_key")
+    left = decontamination.without_overlaps(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([r for r in rows if r[1] != bad], key=repr)
+
+
 def test_long_items_stand_once_beside_their_postings(spark, monkeypatch):
     long = " ".join(prose(n, 300) + f" word{n}." for n in range(10))
     items = spark.createDataFrame([(1, long), (2, prose(50, 20)), (None, prose(51, 20))], "item_id long, text string")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.llm.common import lots, stored, text_rows, with_workers
+from vintara.llm.common import lots, sha256, stored, text_rows, with_workers
 from vintara.operators.ordering import prefix_sums
 
 PART, PASSAGE, WIDTH = 64, 128, 5
@@ -238,14 +238,19 @@ def placed(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (key, item, score, question, answer): every document and item that overlap."""
-    spark = docs.sparkSession
-    with_workers(spark)
     rows = text_rows(docs, key, text).withColumn("key", F.col("key").cast("long"))
+    return _overlaps(rows, items, item, item_text).withColumnRenamed("_key", key)
+
+
+def _overlaps(rows: DataFrame, items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """``overlaps`` for rows (key, text) with keys of any type, which come back as ``_key``."""
+    spark = rows.sparkSession
+    with_workers(spark)
     texts = stored(named(items, item, item_text), "items")
     found = stored(postings(texts), "postings")
     parts = stored(placed(found, texts), "parts")
     count, mean = parts.agg(F.count("*"), F.avg("length")).first()
-    schema = f"`{key}` long, `{item}` long, score double, question double, answer double"
+    schema = f"_key {rows.schema['key'].dataType.simpleString()}, `{item}` long, score double, question double, answer double"
     if not count:
         return spark.createDataFrame([], schema)
     frequency = found.groupBy("term").agg(F.count("*").alias("frequency"))
@@ -257,9 +262,9 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     hits = None
     for shard in sorted(r["shard"] for r in indexes.select("shard").collect()):
         sent = spark.sparkContext.broadcast(bytes(indexes.where(F.col("shard") == shard).first()["index"]))  # a shard at once
-        some = rows.mapInArrow(_searcher(sent, (key, item)), schema)
+        some = rows.mapInArrow(_searcher(sent, ("_key", item)), schema)
         hits = some if hits is None else hits.unionAll(some)
-    return hits.groupBy(key, item).agg(*[F.max(c).alias(c) for c in ("score", "question", "answer")])
+    return hits.groupBy("_key", item).agg(*[F.max(c).alias(c) for c in ("score", "question", "answer")])
 
 
 def _builder(count: int, mean: float):
@@ -302,7 +307,7 @@ def _searcher(sent, names: tuple[str, str]):
                 if shares[0] >= QUESTION and shares[1] >= ANSWER:
                     out.append((batch.column(0)[doc].as_py(), contents[number][0], score, *shares))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                kinds = (batch.column(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[*names, "score", "question", "answer"])
 
     return run
@@ -319,6 +324,12 @@ def _share(wanted: set[tuple[str, ...]], inside: set[tuple[str, ...]], text: str
 
 
 def without_overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows that overlap no item, with all their columns."""
-    hit = overlaps(docs, items, key, text, item, item_text).select(F.col(f"`{key}`").alias("hit_key")).distinct()
-    return docs.join(hit, F.col(f"`{key}`").cast("long") == F.col("hit_key"), "left_anti")
+    """The rows that overlap no item, with all their columns.
+
+    Rows go by their text, whatever their key: one with a null key that overlaps an item goes, and of rows that share a key only those whose
+    own text overlaps.
+    """
+    digest = sha256(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    rows = docs.select(digest.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    hit = _overlaps(rows, items, item, item_text).select(F.col("_key").alias("_hit")).distinct()
+    return docs.join(hit, digest == F.col("_hit"), "left_anti")

@@ -6,11 +6,11 @@ register keeps the run that arrived first. Arrivals come in order of time, so a
 registers of its text. Two texts agree on a register with the probability Jaccard similarity of their weighted sets.
 
 Registers form bands; texts that agree on a band share a bucket. Texts that buckets connect form a group, and inside groups texts are compared by the
-exact similarity, except those already joined and those whose registers say that they are far from the least similarity. Large groups
+exact similarity, except those already joined and those whose common runs bound it below the least similarity. Large groups
 are cut into chunks and each pair of chunks is compared in one task, which returns the links that join its texts and no pairs. Exact copies are one row throughout.
 
-Null texts are empty; texts without words are near copies only of equal texts. Rows with a null key join the class of an equal text or
-get none. Texts that share a key share its class. An empty table gives no rows.
+Null texts are empty; texts without words are near copies only of equal texts. A class is one of texts: rows that share a key but not their text have the
+class of their own text, and rows with a null key that of their text, whose id is null if no row of it has a key. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.llm import buckets
-from vintara.llm.common import lots, partitions, stored, text_rows, with_workers
+from vintara.llm.common import lots, partitions, stored, text_rows, with_each, with_workers
 
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Docs of a chunk, and the largest group that is compared without registers.
-CHUNK, FEW = 256, 12
-#: Share of equal registers four deviations below the least similarity.
-FAR = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
+#: Docs of a chunk.
+CHUNK = 256
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 _U = np.uint64
@@ -133,35 +131,49 @@ def sketches(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(run, "key long, digest string, bands array<long>")
 
 
+class Bounds:
+    """Upper bounds of the similarities of one of several weighted sets to all of them.
+
+    A common run d adds 1 / sum over e of max(a(e) / a(d), b(e) / b(d)) to the similarity, at most min(a(d) / A, b(d) / B) with the total weights A and B.
+    """
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.runs, self.shares = [s[0] for s in sets], [s[1] / s[1].sum() if len(s[1]) else s[1] for s in sets]
+        runs = np.concatenate(self.runs)
+        order = np.argsort(runs, kind="stable")
+        self.ordered, self.share = runs[order], np.concatenate(self.shares)[order]
+        self.owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])[order]
+
+    def of(self, i: int) -> np.ndarray:
+        low, high = (np.searchsorted(self.ordered, self.runs[i], side) for side in ("left", "right"))
+        sizes = high - low
+        at = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        least = np.minimum(self.share[at], np.repeat(self.shares[i], sizes))
+        return np.bincount(self.owner[at], least, len(self.runs))
+
+
 def links_within(rows: list[tuple[int, int, str]], hashes: WordHashes) -> list[tuple[int, int]]:
     """Links among rows (side, key, text) that join all rows linked by the exact similarity.
 
     Rows of side 0 are compared with each other if there is no side 1, else with those of side 1. Rows already joined need no
-    comparison; registers spare the exact one where they are far from the least similarity.
+    comparison, nor do those whose bound is below the least similarity.
     """
     sets = [weighted_runs(hashes.of(text)) for _, _, text in rows]
-    root = list(range(len(rows)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    other = np.array([side for side, _, _ in rows])
+    root = np.arange(len(rows))
+    other = np.array([side for side, _, _ in rows], bool)
     split = bool(other.any())
-    kept = signatures(sets) if len(rows) > FEW else None
+    bounds = Bounds(sets)
     out = []
     for i in range(len(rows)):
         if split and other[i]:
             continue
-        rest = np.flatnonzero(other == 1) if split else np.arange(i + 1, len(rows))
-        if kept is not None and len(rest):
-            rest = rest[(kept[rest] == kept[i]).mean(axis=1) >= FAR]
+        rest = np.flatnonzero(other if split else np.arange(len(rows)) > i)
+        rest = rest[root[rest] != root[i]]
+        if len(rest):
+            rest = rest[bounds.of(i)[rest] >= SIMILAR - 1e-9]
         for j in rest.tolist():
-            a, b = find(i), find(j)
-            if a != b and similarity(sets[i], sets[j]) >= SIMILAR:
-                root[b] = a
+            if root[i] != root[j] and similarity(sets[i], sets[j]) >= SIMILAR:
+                root[root == root[j]] = root[i]
                 out.append((rows[i][1], rows[j][1]))
     return out
 
@@ -204,15 +216,15 @@ def classes(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def one_of_each(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stand for their classes, with all their columns; rows without a key stay if no keyed row has their text, one of equals."""
-    found = stored(_classes(frame, key, text), "classes")
-    leaders = found.where("key = class_id").select(F.col("key").alias("leading_key")).distinct()
-    own = F.col(f"`{key}`")
-    keyed = frame.join(leaders, own.cast("long") == F.col("leading_key"), "left_semi").dropDuplicates([key])
-    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
-    lone = found.where("class_id is null").select(F.col("digest").alias("lone_digest")).distinct()
-    bare = frame.where(own.isNull()).join(lone, digest == F.col("lone_digest"), "left_semi").dropDuplicates([text])
-    return keyed.unionAll(bare)
+    """One row of each class with all its columns: that of the smallest key, null last, then of the smallest digest; one of equals."""
+    found = _classes(frame, key, text)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("bare"), F.coalesce("key", F.lit(0)).alias("at"), "digest")).alias("first"))
+    first = least.select(F.col("first.bare").alias("_bare"), F.col("first.at").alias("_at"), F.col("first.digest").alias("_digest"))
+    own = F.col(f"`{key}`").cast("long")
+    marked = frame.select("*", own.isNull().alias("_bare"), F.coalesce(own, F.lit(0)).alias("_at"),
+                          F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256).alias("_digest"))
+    where = ["_bare", "_at", "_digest"]
+    return marked.join(first, where, "left_semi").dropDuplicates(where).drop(*where)
 
 
 def _placed(groups: DataFrame) -> DataFrame:
@@ -227,17 +239,24 @@ def _placed(groups: DataFrame) -> DataFrame:
 
 
 def _classes(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: key, digest of its text, ``root``, which is one number per class, and class_id."""
     sketched = stored(sketches(frame, key, text), "sketches")
     copies = sketched.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
-    banded = copies.where("rep is not null").select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket"))
+    copies = stored(copies.select(F.monotonically_increasing_id().alias("doc"), "*"), "copies")
+    banded = copies.select("doc", F.explode("bands").alias("bucket"))
     leads = banded.groupBy(F.col("bucket").alias("b")).agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
     near = stored(banded.join(leads, F.col("bucket") == F.col("b")).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "near")
     joined = buckets.components(near)
     groups = joined.select("root", "key").unionAll(joined.select("root", F.col("root").alias("key")).distinct())
     groups = stored(groups.select(F.col("root").alias("group"), F.col("key").alias("doc")), "groups")
-    plain = text_rows(frame, key, text).select(F.col("key").cast("long").alias("key"), "text")
-    texts = stored(plain.join(groups.select(F.col("doc").alias("want")), F.col("key") == F.col("want"), "left_semi").dropDuplicates(["key"]), "texts")
+    # The texts of grouped docs, each from one of the rows that hold it.
+    wanted = groups.select("doc").join(copies.select("doc", "digest", "rep"), "doc")
+    plain = text_rows(frame, key, text).select(F.col("key").cast("long").alias("own"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    bare = F.col("own").isNull() == F.col("rep").isNull()
+    same = (F.coalesce("own", F.lit(0)) == F.coalesce("rep", F.lit(0))) & (plain["digest"] == wanted["digest"]) & bare
+    texts = stored(plain.join(wanted, same).select(F.col("doc").alias("key"), "text").dropDuplicates(["key"]), "texts")
     roots = buckets.components(linked(_placed(groups), texts))
-    named = copies.select("digest", "rep")
-    named = named.join(roots.select(F.col("key").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
-    return sketched.select("key", "digest").join(named, "digest").select("key", "digest", "class_id")
+    named = copies.join(roots.select(F.col("key").alias("doc"), "root"), "doc", "left").select("doc", "digest", "rep", F.coalesce("root", "doc").alias("root"))
+    ids = named.groupBy(F.col("root").alias("of")).agg(F.min("rep").alias("class_id"))
+    named = named.join(ids, F.col("root") == F.col("of")).select("digest", "root", "class_id")
+    return with_each(sketched.select("key", "digest"), stored(named, "named"), "digest")
