@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.llm.common import code_points, sha256, small_lots, text_lots, text_rows, with_workers
+from vintara.llm.common import code_points, released, sha256, small_lots, text_lots, text_rows, with_workers
 
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,7 +36,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SHORT = 48
 NONE = np.int32(2**31 - 1)
 #: Bytes of a worker's table, and what an entry takes beside its characters and ids.
-REMEMBERED, ENTRY = 24 << 20, 160
+REMEMBERED, ENTRY = 16 << 20, 160
 
 
 def byte_letters() -> dict[int, str]:
@@ -273,7 +273,10 @@ def split_units(text: str) -> list[str]:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    released()
+    words = Vocabulary(path)
+    released()  # of the parsed file
+    return words
 
 
 @lru_cache(maxsize=4)

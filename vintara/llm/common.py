@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -47,6 +49,15 @@ def with_workers(spark: SparkSession) -> None:
     context._vintara_sent = True
 
 
+def released() -> None:
+    """Give memory that ended work left in this worker back to the system; a worker serves one operator after another."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
