@@ -42,6 +42,7 @@ def test_encode_and_decode_equal_the_library(library, kind):
 @pytest.mark.parametrize("kind", [bpe.Vocabulary, bitplane.LibraryVocabulary])
 def test_table_of_units_may_start_anew(library, monkeypatch, kind):
     monkeypatch.setattr(bpe, "REMEMBERED", 20 * bpe.ENTRY)
+    monkeypatch.setattr(bitplane, "UNIT_BYTES", 20 * bpe.ENTRY)
     words, texts = kind(tokenizer_path()), _odd_texts()[:400]
     for at in range(0, 400, 50):
         ours = [np.frombuffer(ids, np.int32).tolist() for ids in words.encode(texts[at : at + 50])]

@@ -33,6 +33,8 @@ MAGIC = b"VTPLANE1"
 BLOCK = 65_536
 #: Blocks a writer or reader holds at a time.
 HELD = 8
+#: Bytes of a worker's unit table; there is no table of pieces beside it.
+UNIT_BYTES = 64 << 20
 MANIFEST = "file string, place int, docs long, ids long"
 
 
@@ -155,6 +157,9 @@ class LibraryVocabulary(bpe.UnitTable):
         self.library.no_padding()
         self.library.no_truncation()
 
+    def table_bytes(self) -> int:
+        return UNIT_BYTES
+
     def coded(self, texts: list[str]) -> Iterator[bytes]:
         return (np.array(c.ids, np.int32).tobytes() for c in self.library.encode_batch_fast(texts, add_special_tokens=False))
 

@@ -49,14 +49,15 @@ def byte_letters() -> dict[int, str]:
 class Remembered:
     """Ids of strings. A full table becomes the older one, from which strings in use are taken over."""
 
-    def __init__(self):
+    def __init__(self, limit: int):
+        self.limit = limit
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bytes = 0
 
     def unknown(self, wanted: set[str]) -> list[str]:
         """Those that neither table holds; the others are in ``ids`` from here on."""
-        if self.bytes > REMEMBERED:
+        if self.bytes > self.limit:
             self.older, self.ids, self.bytes = self.ids, {}, 0
         wanted = wanted.difference(self.ids)
         again = wanted.intersection(self.older)
@@ -109,7 +110,10 @@ class UnitTable(TokenBytes):
 
     def prepare(self, path: str, content: dict) -> None:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.units = Remembered()
+        self.units = Remembered(self.table_bytes())
+
+    def table_bytes(self) -> int:
+        return REMEMBERED
 
     def learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
         raise NotImplementedError
@@ -150,7 +154,7 @@ class Vocabulary(UnitTable):
         self.keys = keys[order]
         self.ranks = np.fromiter(self.rank_of.values(), np.int32, len(keys))[order]
         self.pattern = regex.compile(PATTERN)
-        self.pieces = Remembered()
+        self.pieces = Remembered(self.table_bytes())
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = (left.astype(np.int64) << 32) | right
