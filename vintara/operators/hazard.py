@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from vintara.together import together
 # Cause -> event column of the panel.
 EVENTS = {"default": "default_event", "prepayment": "prepayment_event"}
 LOAN = ("origination_vintage", "loan_identifier")
+# The penalty of a fit is off by at most this share; so many fits are made to get there.
+SAME_WEIGHTS, REPEATS = 2e-3, 6
 
 
 class NothingToFit(ValueError):
@@ -177,13 +180,16 @@ def fit_logit(
     passes. Constant columns cannot carry a coefficient and are left out.
 
     The solver scales its penalty by the summed working weights, which depend on the
-    fit; a short first fit supplies them, so that the final penalty is ``1 / (2 C)``.
+    fit. A short first fit supplies them; where the weights of the full fit turn out to
+    differ, it is repeated with them, so that the final penalty is ``1 / (2 C)``.
     """
     events = int(matrix.agg(F.sum(label)).first()[0] or 0)
     if not 0 < events < rows:
         raise NothingToFit(f"{events} events of {label} in {rows} rows")
     weights = rows * (events / rows) * (1.0 - events / rows)
-    for tolerance, cap in ((1e-3, 3), (settings.tolerance, settings.max_iterations)):
+    full = (settings.tolerance, settings.max_iterations)
+    for step, (tolerance, cap) in enumerate(((1e-3, 3), *[full] * REPEATS)):
+        assumed = weights
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", featuresCol="features", labelCol=label,
             regParam=1.0 / (settings.inverse_penalty * weights),
@@ -192,6 +198,8 @@ def fit_logit(
         p = F.col("prediction")
         scored = model.transform(matrix).agg(F.sum(p).alias("total"), F.sum(p * (1.0 - p)).alias("weights")).first()
         weights = scored["weights"]
+        if step and abs(weights / assumed - 1.0) < SAME_WEIGHTS:
+            break
     coefficients = [0.0] * len(spec.names)
     for position, value in zip(varying, model.coefficients.toArray()):
         coefficients[position] = float(value)
@@ -217,6 +225,30 @@ def fit_hazards(panel: DataFrame, settings: Settings, holdout_share: float = 0.0
     return HazardModels(causes, settings, holdout_share)
 
 
+def score_equations(
+    fits: dict[str, LogitModel], labels: dict[str, str], rows: DataFrame, settings: Settings
+) -> DataFrame:
+    """Per cause and feature: the events and the predicted events, each weighted by the feature, from one pass.
+
+    At the optimum the events equal the predicted ones plus the slope of the penalty, for every feature and the
+    intercept; a wrong label, a lost row or a solver that stopped shows as a gap. All fits share one design.
+    """
+    spec = next(iter(fits.values())).spec
+    weights = {f"_{side}_{c}": w for c, m in fits.items() for side, w in (("y", F.col(labels[c])), ("p", m.probability()))}
+    matrix = design_matrix(rows, spec, weights)
+    sums = [Summarizer.sum(F.col("features"), F.col(w)).alias(w) for w in weights]
+    found = matrix.agg(*sums, *[F.sum(w).alias(f"{w}_all") for w in weights]).first()
+    table = []
+    for cause, fit in fits.items():
+        y, p = found[f"_y_{cause}"], found[f"_p_{cause}"]
+        table.append((cause, "intercept", found[f"_y_{cause}_all"], found[f"_p_{cause}_all"], 0.0))
+        for i, (name, slope) in enumerate(zip(spec.names, fit.coefficients)):
+            table.append((cause, name, float(y[i]), float(p[i]), slope / settings.inverse_penalty))
+    return rows.sparkSession.createDataFrame(
+        table, "cause string, feature string, observed double, predicted double, penalty double"
+    )
+
+
 def survival_paths(
     rows: DataFrame, keys: tuple[str, ...] = LOAN, causes: tuple[str, ...] = tuple(EVENTS)
 ) -> DataFrame:

@@ -107,6 +107,7 @@ def fit_hazards(
         model_store.save(spark, models, model_path)
     scored = models.score(train)
     report("hazard_fits", models.fit_table(spark))
+    report("hazard_score_equations", hazard.score_equations(models.causes, hazard.EVENTS, train, settings))
     report("hazard_fit_by_age", hazard.fit_by_age(scored))
     residuals = durable(selection.cohort_residuals(scored))
     report("hazard_residuals", residuals)

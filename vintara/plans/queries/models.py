@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from dataclasses import replace
+from functools import lru_cache, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.functions.scalars import in_share
+from vintara.functions.scalars import in_share, logit
 from vintara.functions.splines import Spline
 from vintara.operators import binary, design, hazard, model_store, recalibration, selection
 from vintara.operators import reliability as rel
+from vintara.operators.ordering import numbered
 from vintara.plans.queries.calibration import scored_of
 from vintara.plans.queries.panel import rounded
 from vintara.plans.stored import panel_of
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
-from vintara.storage import fresh_path
+from vintara.storage import durable, fresh_path
 
 NUMERIC = (*S.spline_columns, *S.linear_columns)
-FICO_KNOTS = (600.0, 650.0, 700.0, 750.0, 820.0)
 AGE_SPLINE = Spline.uniform(0.0, float(S.horizon), S.age_knots)
 
 
@@ -60,36 +62,40 @@ def age_basis(spark, folder):
     return rows.select("loan_age", *[F.round(F.expr(c), 9).alias(f"b{i}") for i, c in enumerate(basis)])
 
 
-def fico_basis(spark, folder):
-    basis = Spline(FICO_KNOTS).columns("CAST(classic_fico AS DOUBLE)")
-    return training_loans(spark, folder).where("classic_fico IS NOT NULL").select(
-        "loan_identifier", *[F.round(F.expr(c), 9).alias(f"b{i}") for i, c in enumerate(basis)]
-    )
+def covariate_basis(spark, folder):
+    """Every spline block of the fitted design at every value the training loans take, imputed ones included."""
+    loans = training_loans(spark, folder)
+    spec = design.fit_spec(loans, S)
+    parts = []
+    for name, spline in spec.splines.items():
+        raw = design.raw_value(name)
+        points = loans.groupBy(
+            F.coalesce(raw, F.lit(spec.medians[name])).alias("value"), raw.isNull().alias("missing")
+        ).agg(F.count(F.lit(1)).alias("loans"))
+        entries = [F.struct(F.lit(i).alias("position"), F.round(F.expr(c), 9).alias("basis")) for i, c in enumerate(spline.columns("value"))]
+        parts.append(points.select(F.lit(name).alias("column"), F.round("value", 6).alias("value"), "missing", "loans", F.inline(F.array(*entries))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def encoded_design(spark, folder):
-    """Linear, missing-flag and one-hot columns of the fitted design, per loan."""
+    """The whole fitted design at each training loan's first month, one row per loan and feature."""
     loans = training_loans(spark, folder)
     spec = design.fit_spec(loans, S)
-    wanted = {
-        "lin_original_interest_rate": "lin_rate", "lin_log_original_upb": "lin_log_upb",
-        "classic_fico_is_missing": "fico_missing",
-        "original_debt_to_income_ratio_is_missing": "dti_missing",
-        "cat_loan_purpose=O": "purpose_o", "cat_loan_purpose=P": "purpose_p",
-        "cat_channel=OTHER": "channel_other",
-    }
-    named = dict(zip(spec.names, spec.columns()))
-    return loans.select(
-        "loan_identifier", *[F.round(named[n], 7).alias(short) for n, short in wanted.items()]
-    )
+    entries = [
+        F.struct(F.lit(n).alias("feature"), F.round(c, 7).alias("value")) for n, c in zip(spec.names, spec.columns())
+    ]
+    return loans.select("loan_identifier", F.inline(F.array(*entries)))
+
+
+def fitting_panel(spark, folder):
+    held = in_share(F.col("loan_identifier"), S.holdout_share, S.holdout_seed)
+    return training_panel(spark, folder).where(~held).select(*design.model_columns(S))
 
 
 @lru_cache(maxsize=8)
 def fitted(spark, folder):
     """Hazards fitted on the training loans outside the holdout."""
-    held = in_share(F.col("loan_identifier"), S.holdout_share, S.holdout_seed)
-    panel = training_panel(spark, folder).where(~held).select(*design.model_columns(S))
-    return hazard.fit_hazards(panel, S, S.holdout_share)
+    return hazard.fit_hazards(fitting_panel(spark, folder), S, S.holdout_share)
 
 
 def hazard_fit(spark, folder):
@@ -105,6 +111,17 @@ def coefficients(spark, folder):
     return fitted(spark, folder).causes["default"].coefficient_table(spark)
 
 
+def score_equations(spark, folder):
+    """What the fits predict, weighted by each feature. At the optimum it is what the events give, which the oracle sums."""
+    table = hazard.score_equations(fitted(spark, folder).causes, hazard.EVENTS, fitting_panel(spark, folder), S)
+    return table.select("cause", "feature", _weighted())
+
+
+def _weighted():
+    value = F.round(F.col("predicted") + F.col("penalty"), 1)
+    return F.when(value == 0.0, F.lit(0.0)).otherwise(value).alias("weighted_events")
+
+
 def model_card(spark, folder):
     """Save and reload the fitted models under the same settings."""
     path = fresh_path(spark, "models")
@@ -118,21 +135,49 @@ def model_card(spark, folder):
     )
 
 
-def binary_fit(spark, folder):
+@lru_cache(maxsize=8)
+def fitted_binary(spark, folder):
+    return binary.fit_binary(_binary_loans(spark, folder), S)
+
+
+def _binary_loans(spark, folder):
     held = in_share(F.col("loan_identifier"), S.holdout_share, S.holdout_seed)
-    loans = binary.loan_frame(training_panel(spark, folder).where(~held), S)
-    model = binary.fit_binary(loans, S)
+    return binary.loan_frame(training_panel(spark, folder).where(~held), S)
+
+
+def binary_fit(spark, folder):
+    model = fitted_binary(spark, folder)
     return spark.createDataFrame(
         [(model.logit.rows, model.logit.events, model.unresolved, abs(model.logit.marginal_gap) < 1e-3)],
         "rows bigint, events bigint, unresolved bigint, converged boolean",
     )
 
 
-def knot_study(spark, folder):
+def binary_score_equations(spark, folder):
+    """The same equations for the binary model, over its resolved loans."""
+    loans = _binary_loans(spark, folder).where("resolved")
+    table = hazard.score_equations({"window": fitted_binary(spark, folder).logit}, {"window": binary.TARGET}, loans, S)
+    return table.select("feature", _weighted())
+
+
+@lru_cache(maxsize=8)
+def _study(spark, folder):
     panel = training_panel(spark, folder).select(*design.model_columns(S))
-    return selection.knot_study(panel, S, knot_counts=(4, 6)).select(
-        "knots", (F.abs("marginal_gap") < 1e-3).alias("converged"),
-        (F.col("bic_by_rows") > F.col("bic_by_events")).alias("rows_cost_more"),
+    return durable(selection.knot_study(panel, S))
+
+
+def knot_study(spark, folder):
+    """Likelihood and both criteria for each knot count of the study."""
+    return _study(spark, folder)
+
+
+def knot_penalties(spark, folder):
+    """What the two criteria add to the likelihood, which depends on the design and the sample alone."""
+    deviance = -2.0 * F.col("log_likelihood")
+    return _study(spark, folder).select(
+        "knots", "parameters", F.round(F.col("bic_by_rows") - deviance, 5).alias("penalty_by_rows"),
+        F.round(F.col("bic_by_events") - deviance, 5).alias("penalty_by_events"),
+        (F.abs("marginal_gap") < 1e-3).alias("converged"),
     )
 
 
@@ -142,30 +187,31 @@ def _held_rows(spark, folder):
 
 
 def platt_fit(spark, folder):
-    """A fitted Platt map reproduces the event count of the sample it was fitted on."""
+    """Both score equations of a fitted Platt map: its predictions, plain and weighted by the log-odds."""
     rows = _held_rows(spark, folder)
     fit = recalibration.fit_platt(rows, S)
-    out = fit.apply(rows, "predicted", "calibrated").agg(
+    return fit.apply(rows, "predicted", "calibrated").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("observed").cast("bigint").alias("events"),
-        F.sum("calibrated").alias("_total"),
+        F.round(F.sum("calibrated"), 3).alias("weighted_events"),
+        F.round(F.sum(F.col("calibrated") * logit(F.col("predicted"))), 3).alias("weighted_log_odds"),
     )
-    return out.withColumn(
-        "reproduces_events", F.abs(F.col("_total") / F.col("events") - 1.0) < 1e-3
-    ).drop("_total")
 
 
 def isotonic_fit(spark, folder):
-    """The isotonic map is monotone, capped, and keeps every row."""
+    """The isotonic map keeps every row and, before its cap, the events; it never falls from one prediction to the next."""
     rows = _held_rows(spark, folder)
     fit = recalibration.fit_isotonic(rows, S)
-    points = fit.apply(rows, "predicted", "calibrated").groupBy("predicted").agg(
-        F.max("calibrated").alias("calibrated"), F.count(F.lit(1)).alias("n")
+    free = replace(fit, ceiling=None)
+    both = free.apply(fit.apply(rows, "predicted", "calibrated"), "predicted", "free")
+    points = both.groupBy("predicted").agg(
+        F.max("calibrated").alias("calibrated"), F.max("free").alias("free"), F.count(F.lit(1)).alias("n")
     )
-    return points.agg(
-        F.sum("n").alias("rows"),
-        (F.max("calibrated") <= fit.ceiling + 1e-12).alias("capped"),
-        (F.min("calibrated") >= 0.0).alias("in_range"),
-        (F.corr("predicted", "calibrated") > 0.0).alias("increasing"),
+    ordered, _ = numbered(points, ["predicted"], "at")
+    before = ordered.select((F.col("at") + 1).alias("at"), F.col("calibrated").alias("before"))
+    return ordered.join(before, "at", "left").agg(
+        F.sum("n").alias("rows"), F.round(F.sum(F.col("free") * F.col("n")), 4).alias("weighted_events"),
+        F.count_if(F.col("calibrated") < F.col("before")).alias("falls"),
+        F.count_if(~F.col("calibrated").between(0.0, fit.ceiling)).alias("outside"),
     )
 
 
@@ -198,13 +244,16 @@ QUERIES = {
     "f2_numeric_statistics": numeric_statistics,
     "f3_level_shares": level_shares,
     "f4_age_basis": age_basis,
-    "f4_covariate_basis": fico_basis,
+    "f4_covariate_basis": covariate_basis,
     "f5_encoded_design": encoded_design,
     "h1_hazard_fit": hazard_fit,
     "h5_coefficients": coefficients,
+    "h5_score_equations": score_equations,
     "h6_model_card": model_card,
     "b2_binary_fit": binary_fit,
+    "b2_score_equations": binary_score_equations,
     "m1_knot_study": knot_study,
+    "m1_knot_penalties": knot_penalties,
     "k6_platt_fit": platt_fit,
     "k7_isotonic_fit": isotonic_fit,
     "k9_score_rows": score_rows,
