@@ -60,6 +60,30 @@ def test_platt_undoes_a_known_distortion(distorted):
     assert total == pytest.approx(y.sum(), rel=1e-6)
 
 
+def test_platt_converges_on_predictions_that_many_rows_share(spark):
+    points = spark.range(200).select((F.col("id") * 0.02 - 5.0).alias("score"))
+    rows = points.select(
+        (1.0 / (1.0 + F.exp(-F.col("score")))).alias("predicted"), F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("copy")
+    ).select("predicted", (F.col("copy") <= 1000 * F.sqrt("predicted")).cast("double").alias("observed"))
+    fit = recalibration.fit_platt(rows, replace(S, max_iterations=20))
+    back = fit.apply(rows, "predicted", "c")
+    gap = F.col("c") - F.col("observed")
+    plain, weighted = back.agg(F.sum(gap), F.sum(gap * F.ln(F.col("predicted") / (1.0 - F.col("predicted"))))).first()
+    assert fit.converged and abs(plain) < 1e-6 and abs(weighted) < 1e-6
+
+
+@pytest.mark.parametrize("observed, total", [([1.0, 1.0, 1.0], 3.0), ([0.0, 1.0, 1.0], 2.0)])
+def test_platt_stands_samples_without_a_finite_optimum(spark, observed, total):
+    rows = spark.createDataFrame(list(zip([0.1, 0.2, 0.3], observed)), "predicted double, observed double")
+    fit = recalibration.fit_platt(rows, S)
+    assert fit.apply(rows, "predicted", "c").agg(F.sum("c")).first()[0] == pytest.approx(total, abs=1e-3)
+
+
+def test_platt_of_one_prediction_is_the_rate(spark):
+    rows = spark.createDataFrame([(0.2, 1.0), (0.2, 0.0), (0.2, 0.0)], "predicted double, observed double")
+    assert recalibration.fit_platt(rows, S).apply(rows, "predicted", "c").first()["c"] == pytest.approx(1 / 3)
+
+
 def test_isotonic_is_monotone_and_capped(distorted):
     frame, _, y = distorted
     fit = recalibration.fit_isotonic(frame, S)

@@ -5,15 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import (
-    GeneralizedLinearRegression, IsotonicRegression, IsotonicRegressionModel,
-)
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import logit, sigmoid
 from vintara.operators.hazard import reached
+from vintara.operators.newton import fit_logistic
 from vintara.operators.reliability import require_probabilities
 from vintara.settings import Settings
 from vintara.together import together
@@ -101,20 +99,16 @@ def _tallied(rows: DataFrame) -> DataFrame:
 
 def fit_platt(rows: DataFrame, settings: Settings) -> Platt:
     """Unpenalised logistic fit of the outcome on the log-odds of ``predicted``."""
-    require_probabilities(rows, need_events=True)
+    found = require_probabilities(rows, need_events=True)
     points = _tallied(rows).select(
-        array_to_vector(F.array(logit(F.col("predicted")))).alias("features"), "observed", "weight"
+        F.array(logit(F.col("predicted"))).alias("features"), "observed", "weight"
     ).persist()
     try:
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", featuresCol="features", labelCol="observed",
-            weightCol="weight", regParam=0.0, tol=settings.tolerance,
-            maxIter=settings.max_iterations,
-        ).fit(points)
+        fit, = fit_logistic(points, ["observed"], [(found["events"] + 0.5) / (found["rows"] + 1.0)], settings, 1, weight="weight")
     finally:
         points.unpersist()
-    converged = reached(int(model.summary.numIterations), settings, "the Platt map")
-    return Platt(float(model.coefficients[0]), float(model.intercept), converged=converged)
+    converged = reached(fit.iterations, settings, "the Platt map")
+    return Platt(fit.coefficients[0], fit.intercept, converged=converged)
 
 
 def tail_value(rows: DataFrame, support: int) -> float | None:

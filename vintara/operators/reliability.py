@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import in_share
@@ -40,7 +40,8 @@ def probability_audit(rows: DataFrame) -> DataFrame:
     )
 
 
-def require_probabilities(rows: DataFrame, need_events: bool = False) -> None:
+def require_probabilities(rows: DataFrame, need_events: bool = False) -> Row:
+    """The audit of the rows, which must hold."""
     found = probability_audit(rows).first()
     if not found["rows"]:
         raise ProbabilityError("no rows to calibrate")
@@ -49,6 +50,7 @@ def require_probabilities(rows: DataFrame, need_events: bool = False) -> None:
         raise ProbabilityError(f"bad calibration input: {wrong}")
     if need_events and not found["events"]:
         raise ProbabilityError("no events in the calibration sample")
+    return found
 
 
 def calibration_rows(
