@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.compare import connect, difference
 from vintara.operators import hazard, selection
 from vintara.operators.design import fit_spec, loans_with_months
+from vintara.operators.newton import weighted_sums as newton_sums
 from vintara.plans import catalog
 from vintara.plans.queries import models as queries
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
@@ -84,3 +85,32 @@ def test_a_wrong_model_breaks_its_score_equations(spark, folder):
     table = hazard.score_equations({"default": shifted}, hazard.EVENTS, panel, S)
     row = table.where("feature = 'intercept'").first()
     assert row["predicted"] > 1.05 * row["observed"]
+
+
+def test_encoder_and_expressions_give_the_same_design(spark, folder):
+    panel = queries.training_panel(spark, folder)
+    # Values at and beyond the knots, nulls and levels that the fit does not know.
+    edge = panel.limit(50).withColumns({
+        "classic_fico": F.when(F.rand(1) < 0.3, 200).when(F.rand(2) < 0.3, 900).otherwise(F.col("classic_fico")),
+        "channel": F.lit("unheard of"), "original_upb": F.lit(None).cast("double"),
+    })
+    spec = fit_spec(loans_with_months(panel), S)
+    rows = panel.unionByName(edge)
+    sums = newton_sums(rows.select(*spec.compact(), F.lit(1.0).alias("w"), F.col("loan_age").cast("double").alias("a")),
+                       spec.encoder(), ["w", "a"], len(spec.names))
+    wide = rows.select("loan_age", *[c.alias(f"f{i}") for i, c in enumerate(spec.columns())])
+    for name, weight in (("w", F.lit(1.0)), ("a", F.col("loan_age"))):
+        expected = wide.agg(*[F.sum(F.col(f"f{i}") * weight) for i in range(len(spec.names))]).first()
+        assert np.allclose(sums[name][1:], list(expected), rtol=1e-9, atol=1e-9)
+
+
+def test_fits_meet_their_score_equations_and_hold_no_wide_rows(spark, folder):
+    fitted = queries.fitted(spark, folder)
+    table = hazard.score_equations(fitted.causes, hazard.EVENTS, queries.fitting_panel(spark, folder), S)
+    gaps = [abs(r["observed"] - r["predicted"] - r["penalty"]) for r in table.collect() if r["observed"]]
+    assert max(gaps) < 1e-4
+    panel = queries.fitting_panel(spark, folder)
+    labels = {e: F.col(e) for e in hazard.EVENTS.values()}
+    spec = fitted.causes["default"].spec
+    with hazard.fitting_matrix(panel, loans_with_months(panel), spec, labels) as (held, _, _):
+        assert len(held.columns) < len(spec.names) / 2

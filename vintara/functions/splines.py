@@ -7,7 +7,7 @@ collapses into a single cubic per interval.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,6 +94,24 @@ class Spline:
             for j in range(self.size)
         ]
 
+    def evaluator(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from values to the design columns, one row per value; it needs nothing but numpy where it runs."""
+        size, knots, pieces = self.size, np.asarray(self.knots), self.pieces()
+        anchors = np.array([anchor for anchor, _ in pieces])
+        tables = np.zeros((len(pieces), size, self.degree + 1))
+        for into, (_, table) in zip(tables, pieces):
+            into[:, : table.shape[1]] = table[:size]
+
+        def columns(x: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(knots, x, side="right") - (x == knots[-1])
+            away, table = (x - anchors[at])[:, None], tables[at]
+            out = table[:, :, -1]
+            for power in range(table.shape[2] - 2, -1, -1):
+                out = out * away + table[:, :, power]
+            return out
+
+        return columns
+
     def effect(self, x: str, weights: Sequence[float]) -> str:
         """The weighted sum of the design columns as one polynomial per interval."""
         w = np.asarray(weights, dtype=float)

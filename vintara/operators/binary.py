@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vintara.functions.scalars import defaulted_by, resolved_by
 from vintara.operators.design import fit_spec
-from vintara.operators.hazard import LogitModel, NothingToFit, fit_logit, fitting_matrix
+from vintara.operators.hazard import LogitModel, NothingToFit, fit_logits, fitting_matrix
 from vintara.settings import Settings
 
 TARGET = "defaulted_within"
@@ -40,6 +40,6 @@ def fit_binary(loans: DataFrame, settings: Settings) -> BinaryModel:
     if not counts["events"]:
         raise NothingToFit(f"no resolved loan defaulted within {settings.binary_window} months")
     spec = fit_spec(usable, settings, include_age=False)
-    with fitting_matrix(usable, usable, spec, {TARGET: F.col(TARGET)}) as (matrix, varying, rows):
-        logit = fit_logit(matrix, TARGET, spec, settings, varying, rows)
+    with fitting_matrix(usable, usable, spec, {TARGET: F.col(TARGET)}) as (held, varying, rows):
+        logit, = fit_logits(held, [TARGET], spec, settings, varying, rows)
     return BinaryModel(logit, settings.binary_window, counts["unresolved"])

@@ -7,9 +7,10 @@ origination, so they are computed from one row per loan weighted by its months.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,51 @@ class DesignSpec:
     def age_width(self) -> int:
         return self.age.size if self.age else 0
 
+    def compact(self) -> list[Column]:
+        """What the design is made of in a few narrow columns, which ``encoder`` reads by position."""
+        numbers = [_AGE_TEXT] if self.age else []
+        numbers += [value_text(c) for c in (*self.splines, *self.linear)]
+        out = [F.expr(text) for text in numbers]
+        for name, levels in self.levels.items():
+            known = ", ".join(quoted(v) for v in levels)
+            out.append(F.expr(f"CAST(array_position(array({known}), {level_text(name)}) AS INT)"))
+        return [c.alias(f"_d{i}") for i, c in enumerate(out)]
+
+    def encoder(self, kept: Sequence[int] | None = None) -> Callable:
+        """A function from an Arrow batch with the ``compact`` columns to the kept design columns.
+
+        The same values as ``columns``, many rows at a time; it needs nothing but numpy where it runs.
+        """
+        age = self.age.evaluator() if self.age else None
+        splines = [(s.evaluator(), self.medians[c]) for c, s in self.splines.items()]
+        linear = [(mean, deviation, self.medians[c]) for c, (mean, deviation) in self.linear.items()]
+        sizes = [len(levels) for levels in self.levels.values()]
+        kept = list(range(len(self.names)) if kept is None else kept)
+
+        def encode(batch) -> np.ndarray:
+            blocks, read = [], iter(range(batch.num_columns))
+
+            def numbers() -> tuple[np.ndarray, np.ndarray]:
+                column = batch.column(f"_d{next(read)}")
+                missing = column.is_null().to_numpy(zero_copy_only=False)
+                return column.to_numpy(zero_copy_only=False).astype(float), missing
+
+            if age:
+                blocks.append(age(numbers()[0]))
+            for basis, median in splines:
+                value, missing = numbers()
+                blocks += [basis(np.where(missing, median, value)), missing[:, None]]
+            for mean, deviation, median in linear:
+                value, missing = numbers()
+                blocks += [((np.where(missing, median, value) - mean) / deviation)[:, None], missing[:, None]]
+            for size in sizes:
+                # Levels are numbered from one; the first is the base, zero stands for all others.
+                level = numbers()[0][:, None]
+                blocks.append(level == np.array([*range(2, size + 1), 0]))
+            return np.hstack([np.empty((batch.num_rows, 0)), *blocks])[:, kept]
+
+        return encode
+
     def columns(self) -> list[Column]:
         """Design columns in the order of ``names``."""
         return [F.expr(text) for _, text in self._features()]

@@ -7,6 +7,7 @@ fix. Outcomes that share the features are fitted in the same passes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,7 @@ class _Search:
     done: bool = False
 
 
-def _sums(matrix: DataFrame, outcomes: list[str], points: list[np.ndarray], weight: str | None) -> np.ndarray:
+def _sums(rows: DataFrame, encode: Callable, outcomes: list[str], points: list[np.ndarray], weight: str | None) -> np.ndarray:
     """Per outcome: (log-likelihood, predicted events), slope and curvature, flattened, from one pass."""
     wide = len(points[0])
 
@@ -46,10 +47,7 @@ def _sums(matrix: DataFrame, outcomes: list[str], points: list[np.ndarray], weig
         for batch in batches:
             if not batch.num_rows:
                 continue
-            listed = batch.column("features")
-            x = np.empty((batch.num_rows, wide))
-            x[:, 0] = 1.0
-            x[:, 1:] = listed.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, wide - 1)
+            x = np.column_stack([np.ones(batch.num_rows), encode(batch)])
             read = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(float)
             times = read(weight) if weight else np.ones(batch.num_rows)
             if not np.isfinite(x).all():
@@ -65,7 +63,7 @@ def _sums(matrix: DataFrame, outcomes: list[str], points: list[np.ndarray], weig
                 into[2 + wide :] += (x.T @ (x * (times * p * (1.0 - p))[:, None])).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([found.ravel()], pa.list_(pa.float64()))], ["sums"])
 
-    parts = matrix.mapInArrow(add_up, "sums array<double>").collect()
+    parts = rows.mapInArrow(add_up, "sums array<double>").collect()
     return np.sum([r["sums"] for r in parts], axis=0).reshape(len(points), -1)
 
 
@@ -104,18 +102,33 @@ def _advance(search: _Search, sums: np.ndarray, ridge: float, settings: Settings
 
 
 def fit_logistic(
-    matrix: DataFrame, outcomes: list[str], rates: list[float], settings: Settings,
+    rows: DataFrame, encode: Callable, outcomes: list[str], rates: list[float], settings: Settings,
     width: int, ridge: float = 0.0, weight: str | None = None,
 ) -> list[Solution]:
     """Maximise the log-likelihood less ``ridge / 2`` times the squared slopes, per outcome.
 
-    ``matrix`` has an array ``features`` of ``width`` doubles, 0/1 outcomes and, if named, a weight; it is read once
-    per step. ``rates`` are the shares of events, strictly between 0 and 1, where the search starts.
+    ``rows`` has 0/1 outcomes and, if named, a weight; it is read once per step. ``encode`` turns an Arrow batch of it
+    into ``width`` features and runs in tasks, so it should need nothing but numpy there. ``rates`` are the shares of events, strictly between 0 and 1, where the search starts.
     """
     starts = [np.concatenate([[np.log(r / (1.0 - r))], np.zeros(width)]) for r in rates]
     searches = [_Search(best=s, trial=s) for s in starts]
     while open_ := [i for i, s in enumerate(searches) if not s.done]:
-        found = _sums(matrix, [outcomes[i] for i in open_], [searches[i].trial for i in open_], weight)
+        found = _sums(rows, encode, [outcomes[i] for i in open_], [searches[i].trial for i in open_], weight)
         for i, sums in zip(open_, found):
             _advance(searches[i], sums, ridge, settings)
     return [Solution(float(s.best[0]), tuple(map(float, s.best[1:])), float(s.total), s.passes) for s in searches]
+
+
+def weighted_sums(rows: DataFrame, encode: Callable, weights: list[str], width: int) -> dict[str, np.ndarray]:
+    """Per weight column its sum, followed by the sums of the features under that weight, from one pass."""
+
+    def add_up(batches):
+        found = np.zeros((len(weights), 1 + width))
+        for batch in batches:
+            if batch.num_rows:
+                times = np.stack([batch.column(w).to_numpy(zero_copy_only=False).astype(float) for w in weights])
+                found += times @ np.column_stack([np.ones(batch.num_rows), encode(batch)])
+        yield pa.RecordBatch.from_arrays([pa.array([found.ravel()], pa.list_(pa.float64()))], ["sums"])
+
+    parts = rows.mapInArrow(add_up, "sums array<double>").collect()
+    return dict(zip(weights, np.sum([r["sums"] for r in parts], axis=0).reshape(len(weights), -1)))

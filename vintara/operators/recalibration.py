@@ -101,10 +101,12 @@ def fit_platt(rows: DataFrame, settings: Settings) -> Platt:
     """Unpenalised logistic fit of the outcome on the log-odds of ``predicted``."""
     found = require_probabilities(rows, need_events=True)
     points = _tallied(rows).select(
-        F.array(logit(F.col("predicted"))).alias("features"), "observed", "weight"
+        logit(F.col("predicted")).alias("log_odds"), "observed", "weight"
     ).persist()
+    encode = lambda batch: batch.column("log_odds").to_numpy(zero_copy_only=False)[:, None]
+    rate = (found["events"] + 0.5) / (found["rows"] + 1.0)
     try:
-        fit, = fit_logistic(points, ["observed"], [(found["events"] + 0.5) / (found["rows"] + 1.0)], settings, 1, weight="weight")
+        fit, = fit_logistic(points, encode, ["observed"], [rate], settings, 1, weight="weight")
     finally:
         points.unpersist()
     converged = reached(fit.iterations, settings, "the Platt map")

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.operators.hazard import EVENTS, fit_logit, fitting_matrix
+from vintara.operators.hazard import EVENTS, fit_logits, fitting_matrix
 from vintara.operators.design import fit_spec, loans_with_months
 from vintara.settings import Settings
 
@@ -22,8 +22,8 @@ def knot_study(
     for knots in knot_counts:
         candidate = replace(settings, age_knots=knots)
         spec = fit_spec(loans, candidate)
-        with fitting_matrix(panel, loans, spec, {event: F.col(event)}) as (matrix, varying, rows):
-            fitted = fit_logit(matrix, event, spec, candidate, varying, rows)
+        with fitting_matrix(panel, loans, spec, {event: F.col(event)}) as (held, varying, rows):
+            fitted, = fit_logits(held, [event], spec, candidate, varying, rows)
         p, y = F.col("_p"), F.col(event)
         likelihood = panel.withColumn("_p", fitted.probability()).agg(
             F.sum(F.when(y, F.ln(p)).otherwise(F.log1p(-p))).alias("ll")
