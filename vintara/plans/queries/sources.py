@@ -21,9 +21,15 @@ def _text(column):
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def _by_file(rows, stem):
+    """Rows in the order of their file, named by cohort. The narrow rows are sorted, so that their text need not be."""
+    name = F.concat(F.lit(f"{stem}_"), F.coalesce(F.col(COHORT).cast("string"), F.lit("")), F.lit(".txt"))
+    return rows.withColumn("file", name).sortWithinPartitions("file")
+
+
 def _origination_text(spark, folder):
     """The loan book in file layout, with not-available codes and some bad numbers."""
-    book = loan_book(spark, folder)
+    book = _by_file(loan_book(spark, folder), "sample_orig")
     key = F.col("loan_identifier")
     filled = {c: F.lit("") for c in loan_schema.ORIGINATION}
     filled |= {c: _text(F.col(c)) for c in book.columns if c in filled}
@@ -41,11 +47,11 @@ def _origination_text(spark, folder):
         "first_payment_date": F.concat(F.col(COHORT).cast("string"), F.lit("03")),
         "maturity_date": F.when(key % 40 == 0, "203013").otherwise("203001"),
     }
-    return book.select(COHORT, *[filled[c].alias(c) for c in loan_schema.ORIGINATION])
+    return book.select("file", *[filled[c].alias(c) for c in loan_schema.ORIGINATION])
 
 
 def _performance_text(spark, folder):
-    months = months_of(spark, folder)
+    months = _by_file(months_of(spark, folder), "sample_perf")
     key = F.col("loan_identifier")
     filled = {c: F.lit("") for c in loan_schema.PERFORMANCE}
     filled |= {c: _text(F.col(c)) for c in months.columns if c in filled}
@@ -57,30 +63,38 @@ def _performance_text(spark, folder):
         ),
         "estimated_loan_to_value": F.lit("999"),
     }
-    return months.select(COHORT, *[filled[c].alias(c) for c in loan_schema.PERFORMANCE])
+    return months.select("file", *[filled[c].alias(c) for c in loan_schema.PERFORMANCE])
+
+
+@lru_cache(maxsize=8)
+def _export_root(spark, folder) -> str:
+    return fresh_path(spark, "loan-files")
+
 
+@lru_cache(maxsize=16)
+def exported_kind(spark, folder, kind) -> str:
+    """The driver tables as loan files of one kind below the shared folder, written once per session.
 
-def _write_files(frame, columns, path, stem):
-    """One folder of text parts per cohort, named like the published files."""
-    name = F.concat(F.lit(f"{stem}_"), F.col(COHORT).cast("string"), F.lit(".txt"))
+    One folder of compressed text parts per cohort, named like the published files.
+    """
+    path = f"{_export_root(spark, folder)}/{kind}"
+    text = _origination_text if kind == "origination" else _performance_text
     (
-        frame.select(name.alias("file"), *columns).repartition("file", F.col("loan_identifier"))
-        .write.mode("append").partitionBy("file").option("sep", "|").option("quote", "").option("emptyValue", "")
-        .option("nullValue", "").csv(path)
+        text(spark, folder).write.mode("append").partitionBy("file").option("sep", "|").option("quote", "")
+        .option("emptyValue", "").option("nullValue", "").option("compression", "gzip").csv(path)
     )
+    return path
 
 
-@lru_cache(maxsize=8)
 def exported(spark, folder) -> str:
-    """The driver tables as loan files below the shared folder, written once per session."""
-    path = fresh_path(spark, "loan-files")
-    _write_files(_origination_text(spark, folder), loan_schema.ORIGINATION, path, "sample_orig")
-    _write_files(_performance_text(spark, folder), loan_schema.PERFORMANCE, path, "sample_perf")
-    return path
+    """The folder with the loan files of every kind."""
+    for kind in loan_schema.TABLES:
+        exported_kind(spark, folder, kind)
+    return _export_root(spark, folder)
 
 
 def raw(spark, folder, kind):
-    return loan_files.scan_cohorts(spark, exported(spark, folder), kind, S)
+    return loan_files.scan_cohorts(spark, exported_kind(spark, folder, kind), kind, S)
 
 
 def scan_text(spark, folder):
