@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 
 from tests.compare import connect, difference
 from vintara.plans import catalog, stored
+from vintara.plans.queries import sources
 from vintara.plans.queries.panel import built_panel
 from vintara.sources import loan_files, panel_store
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
@@ -58,3 +61,18 @@ def test_panel_plan_shuffles_the_months_at_most_once(spark, folder):
     plan = built_panel(spark, folder, S)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+def test_originations_are_exported_without_the_months(spark, tmp_path):
+    day = datetime(1996, 3, 1)
+    rows = [(1, 10, "F", 1000.0, day, "1-URGENT"), (1, 10, "F", 1000.0, day, "1-URGENT"),
+            (2, 11, "O", 2000.0, None, "2-HIGH"), (None, 12, "O", 3000.0, day, None), (4, None, None, None, day, "5-LOW")]
+    schema = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+              "o_orderpriority string")
+    # There are no line items, so any query on the months would fail; an order without a date has no file.
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/orders.parquet")
+    found = sources.typed_origination(spark, str(tmp_path)).collect()
+    assert sorted((r["loan_identifier"] or 0, r["original_upb"] or 0.0) for r in found) == [
+        (0, 3000.0), (1, 1000.0), (1, 1000.0), (4, 0.0)
+    ]
+    assert {r["origination_vintage"] for r in found} == {1996}
