@@ -62,6 +62,15 @@ def test_heavy_values_finds_the_hot_key(skewed):
     assert heavy_values(skewed, "key").isEmpty()
 
 
+def test_heavy_values_are_told_from_others_of_their_group(skewed, monkeypatch):
+    from vintara.operators import ordering
+
+    monkeypatch.setattr(ordering, "VALUE_GROUPS", 2)
+    assert [r["key"] for r in heavy_values(skewed, "key", hot_rows=500).collect()] == ["hot"]
+    # Each group holds more rows than that, but no key does.
+    assert heavy_values(skewed.where("key != 'hot'"), "key", hot_rows=500).isEmpty()
+
+
 def test_panel_and_realised_legs_do_not_depend_on_splitting(spark):
     months, book = performance(spark), origination(spark)
     split = Timeline.of(months, panel.LOAN, ["period"], hot=months.where("loan_identifier in ('L2000-11', 'L2001-02')").select("loan_identifier").distinct()).rows

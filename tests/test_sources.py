@@ -5,11 +5,13 @@ from datetime import datetime
 import pytest
 
 from tests.compare import connect, difference
+from vintara import storage
 from vintara.plans import catalog, stored
 from vintara.plans.queries import sources
 from vintara.plans.queries.panel import built_panel
 from vintara.sources import loan_files, panel_store
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
+from vintara.sources.driver_tables import loan_months
 
 LIGHT = [
     n for n in catalog.oracle_sql()
@@ -63,6 +65,33 @@ def test_panel_plan_shuffles_the_months_at_most_once(spark, folder):
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
 
 
+@pytest.fixture
+def many_lines(spark, tmp_path, monkeypatch):
+    """60 orders of 5 lines, 4 lines without an order, partitions of at most 40 rows on average."""
+    day = datetime(1996, 3, 1)
+    monkeypatch.setattr(storage, "PART_ROWS", 40)
+    orders = [(k, k, "F", 1000.0 + k, day, "1-URGENT") for k in range(60)]
+    lines = [(k, 1, 1, n, 5.0, 10.0 * n, 0.05, 0.02, "N", "F", day) for k in [*range(60), None] for n in range(1, 6)][:304]
+    spark.createDataFrame(
+        orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(
+        [*lines, lines[0], lines[303]], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_buckets_and_join_partitions_grow_with_the_lines(spark, many_lines):
+    plan = loan_months(spark, many_lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(l_orderkey" in plan and ", 8), REPARTITION_BY_NUM" in plan
+    months = stored.months_of(spark, many_lines)
+    described = spark.sql(f"DESCRIBE EXTENDED {stored._months_table(spark, many_lines)}").where("col_name = 'Num Buckets'")
+    assert described.first()["data_type"] == "8"
+    assert months.count() == 301 and months.where("loan_identifier = 0").count() == 6
+    assert months.groupBy("loan_identifier").count().where("count != 5").count() == 1
+
+
 def test_originations_are_exported_without_the_months(spark, tmp_path):
     day = datetime(1996, 3, 1)
     rows = [(1, 10, "F", 1000.0, day, "1-URGENT"), (1, 10, "F", 1000.0, day, "1-URGENT"),
