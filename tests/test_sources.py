@@ -92,6 +92,13 @@ def test_buckets_and_join_partitions_grow_with_the_lines(spark, many_lines):
     assert months.groupBy("loan_identifier").count().where("count != 5").count() == 1
 
 
+def test_key_audit_bounds_the_keys_of_a_task(spark, many_lines):
+    audit = sources.key_audit(spark, many_lines)
+    # 306 lines and 301 months need 8 partitions; the null key counts as a value like any other.
+    assert audit._jdf.queryExecution().executedPlan().toString().count(", 8), REPARTITION_BY_NUM") == 2
+    assert {r["table"]: r["duplicate_keys"] for r in audit.collect()} == {"origination": 0, "performance": 0, "line items": 2}
+
+
 def test_originations_are_exported_without_the_months(spark, tmp_path):
     day = datetime(1996, 3, 1)
     rows = [(1, 10, "F", 1000.0, day, "1-URGENT"), (1, 10, "F", 1000.0, day, "1-URGENT"),

@@ -12,7 +12,7 @@ from vintara.plans.stored import months_of, panel_path
 from vintara.sources import loan_files, loan_schema, panel_store
 from vintara.sources.driver_tables import DRIVER_SETTINGS as S
 from vintara.sources.driver_tables import loan_book
-from vintara.storage import fresh_path
+from vintara.storage import fresh_path, parts_for
 
 COHORT = loan_schema.COHORT
 
@@ -144,7 +144,7 @@ def key_audit(spark, folder):
         ("line items", spark.read.parquet(f"{folder}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]),
     )
     parts = [
-        loan_files.duplicate_keys(frame, keys).withColumn("table", F.lit(name))
+        loan_files.duplicate_keys(frame, keys, parts_for(frame)).withColumn("table", F.lit(name))
         for name, frame, keys in checks
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -145,10 +145,14 @@ def typed_and_losses(raw: DataFrame, columns: Iterable[str]) -> tuple[DataFrame,
     return typed(counted, columns), lambda: {c: n for c, n in losses().items() if n}
 
 
-def duplicate_keys(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """How many key values occur more than once."""
+def duplicate_keys(frame: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """How many key values occur more than once.
+
+    Keys are nearly all different, so a task holds a counter per key: ``parts`` bounds these for tables of many rows.
+    """
+    dealt = frame if parts is None else frame.select(*keys).repartition(parts, *keys)
     return (
-        frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
+        dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
             F.count_if(F.col("_n") > 1).alias("duplicate_keys")
         )
     )
