@@ -49,6 +49,26 @@ def test_table_of_units_may_start_anew(library, monkeypatch, kind):
         assert words.units.bytes >= 0 and ours == [e.ids for e in library.encode_batch(texts[at : at + 50], add_special_tokens=False)]
 
 
+def test_pieces_that_many_units_share_reach_the_library_once(library, monkeypatch):
+    words, given = bitplane.LibraryVocabulary(tokenizer_path()), []
+    coded = words.coded
+    monkeypatch.setattr(words, "coded", lambda texts: coded(given.extend(texts) or texts))
+    texts = [f"so zebra{mark} zebra{mark}\nzebra" for mark in ".,;:!?)\"'%&"] * 3
+    ours = [np.frombuffer(ids, np.int32).tolist() for ids in words.encode(texts)]
+    assert ours == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert "".join(given).count("zebra") == 2  # after a space and after a line break
+
+
+def test_cuts_between_pieces_change_no_ids(library):
+    source = random.Random(9)
+    letters = " \n\r\tabé1.,!'s<|\u00a0\u1680\u180e\u2003\u2028\u3000\x1c\x85×÷漢ひ😀ªЖ"
+    texts = ["".join(source.choices(letters, k=source.randint(0, 30))) for _ in range(5000)]
+    texts[7:7] = ["", "a<|endoftext|> b", "<|endoftext|>", "", "b <|endoftext|>\n<|endoftext|>"]
+    ids, counts = bitplane.LibraryVocabulary(tokenizer_path()).encode_all(pa.array([None, *texts], pa.string()).fill_null("").slice(1))
+    theirs = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(i) for i in theirs] and ids.tolist() == [i for one in theirs for i in one]
+
+
 def _expected(rows, library):
     return [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
 
@@ -110,6 +130,16 @@ def test_plane_query(spark, folder, library):
     assert {tuple(r) for r in op9_bitplane(spark, folder).collect()} == wanted
 
 
+def test_lots_of_texts_keep_their_order(spark, folder, monkeypatch):
+    docs = table(spark, folder, "documents")
+    whole = {tuple(r) for r in bitplane.read(bitplane.write(docs, tokenizer_path(), files=2)).collect()}
+    small = docs.repartition(3)
+    assert {tuple(r) for r in bitplane.read(bitplane.write(small, tokenizer_path(), files=5)).collect()} == whole
+    batches = pa.table({"key": range(9), "text": ["ab"] * 9}).to_batches(2)
+    monkeypatch.setattr(bitplane, "LOT", 8)
+    assert [lot.column(0).to_pylist() for lot in bitplane._large_lots(iter(batches))] == [[0, 1, 2, 3], [4, 5, 6, 7], [8]]
+
+
 def test_plane_files_of_odd_rows(spark):
     docs = documents(spark)
     found = bitplane.read(bitplane.write(docs, tokenizer_path(), files=3)).orderBy("start").collect()

@@ -14,6 +14,7 @@ stay, in no promised order among themselves; null texts are empty and hold the e
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -21,20 +22,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.llm import bpe
-from vintara.llm.common import opened, output_folder, partitions, stored, text_lots, text_rows, with_workers
+from vintara.llm.common import opened, output_folder, partitions, stored, text_rows, with_workers
 
 MAGIC = b"VTPLANE1"
 BLOCK = 65_536
 #: Blocks a writer or reader holds at a time.
 HELD = 8
-#: Bytes of a worker's unit table; there is no table of pieces beside it.
+#: Bytes of a worker's table of pieces.
 UNIT_BYTES = 64 << 20
+#: Pieces that reach the library as one string.
+TOGETHER = 8_192
+WHITE = re.compile(r"\s").search
 MANIFEST = "file string, place int, docs long, ids long"
 
 
@@ -72,10 +77,14 @@ class PlaneWriter:
         out.write(MAGIC)
 
     def add(self, key: int | None, ids: bytes) -> None:
-        self.keys.append(key)
-        self.counts.append(len(ids) // 4)
-        self.held.append(ids)
-        self.waiting += len(ids) // 4
+        self.add_all([key], np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]))
+
+    def add_all(self, keys: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Several documents, whose ids stand in sequence."""
+        self.keys += keys
+        self.counts += counts.tolist()
+        self.held.append(ids.astype("<u4").tobytes())
+        self.waiting += len(ids)
         if self.waiting >= HELD * BLOCK:
             self._flush(False)
 
@@ -142,11 +151,51 @@ class PlaneReader:
             rest, start = whole[count:], start + count
 
 
+#: Kinds of bytes: letters, other visible ASCII characters, ends of other characters that are no white space, white space but the space, spaces.
+LETTER, MARK, SEEN, LINE, SPACE = 1, 2, 4, 8, 16
+KINDS = np.zeros(256, np.uint8)
+KINDS[33:127] = MARK
+KINDS[65:91] = KINDS[97:123] = LETTER
+KINDS[9:14] = LINE
+KINDS[32] = SPACE
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of texts in UTF-8; 0 is any that no cut may rely on, as U+1680 and U+2000 are white space too."""
+    found = KINDS[data]
+    lead = np.flatnonzero(data > 0xC2)
+    if len(lead):
+        first, second = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+        found[lead[(first < 0xE0)] + 1] = SEEN
+        found[lead[(first == 0xC3) & (second != 0x97) & (second != 0xB7)] + 1] = LETTER
+        found[lead[((first > 0xE3) & (first < 0xF0)) | ((first == 0xE3) & (second > 0x80)) | ((first == 0xE2) & (second > 0x81))] + 2] = SEEN
+        found[lead[first > 0xEF] + 3] = SEEN
+    return found
+
+
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the bytes of texts, which begin at ``starts``, may be cut so that each part is split and encoded as within its text.
+
+    The split pattern always ends a match between a character and white space after it, between a letter and a visible character that is no
+    letter, and after a single line break. Other places stay uncut, in long runs of white space above all.
+    """
+    cut = np.zeros(len(data), bool)
+    if len(data):
+        kind = kinds(data)
+        seen = (kind & (LETTER | MARK | SEEN)) != 0
+        cut[1:] = (kind[1:] >= LINE) & seen[:-1]
+        cut[2:] |= cut[1:-1] & (kind[1:-1] == LINE) & ((kind[2:] & (LETTER | MARK)) != 0)
+        cut[1:] |= (kind[:-1] == LETTER) & (kind[1:] == MARK)
+        cut[starts[starts < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
 class LibraryVocabulary(bpe.UnitTable):
-    """Ids from the tokenizers library; repeated units come from the worker's table.
+    """Ids from the tokenizers library; repeated pieces come from the worker's table.
 
-    New units of one word are handed to the library as one string. Its tokens cover the string byte by byte, so a unit's ids lie between
-    the tokens that end with the unit before it and with itself; a unit without such ends is encoded alone.
+    Many texts are cut at once, in their bytes, and each distinct piece is looked up once. New pieces are handed to the library as strings of
+    many, those without white space after a line break each. Its tokens cover a string byte by byte, so a piece's ids lie between
+    the tokens that end with the piece before it and with itself; a piece without such ends is encoded alone.
     """
 
     def prepare(self, path: str, content: dict) -> None:
@@ -163,22 +212,100 @@ class LibraryVocabulary(bpe.UnitTable):
     def coded(self, texts: list[str]) -> Iterator[bytes]:
         return (np.array(c.ids, np.int32).tobytes() for c in self.library.encode_batch_fast(texts, add_special_tokens=False))
 
-    def learn(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
-        alone = [u for u in units if bpe.OTHER(u)]
-        words = list(set(units).difference(alone))
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        loose = [u for u in units if bpe.OTHER(u)]
+        rows = list(set(units).difference(loose))
+        alone = [u for u in loose if WHITE(u)]
+        for unit in set(loose).difference(alone):
+            rows += "\n", unit
+        found: dict[str, bytes] = {}
+        for at in range(0, len(rows), TOGETHER):
+            found |= self._side_by_side(rows[at : at + TOGETHER], alone)
+        return found | dict(zip(alone, self.coded(alone)))
+
+    def _side_by_side(self, words: list[str], alone: list[str]) -> dict[str, bytes]:
+        """The ids of words that the library gets as one string; words whose ids are not to be told apart go to ``alone``."""
         (joined,) = self.coded(["".join(words)])
         stops = np.cumsum(self.spans[np.frombuffer(joined, np.int32)])
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
-        last = np.searchsorted(stops, ends)
-        met = (last < len(stops)) & (stops[np.minimum(last, len(stops) - 1)] == ends) if len(stops) else np.zeros(len(words), bool)
-        begin, sound = 0, True
-        for word, end, here in zip(words, (4 * (last + 1)).tolist(), met.tolist()):
-            if here and sound:
-                yield word, joined[begin:end]
-            else:
-                alone.append(word)
-            begin, sound = end, here
-        yield from zip(alone, self.coded(alone))
+        ends = np.frombuffer(pa.array(words, pa.large_string()).buffers()[1], np.int64)[: len(words) + 1]
+        last = np.searchsorted(stops, ends[1:])
+        met = stops[np.minimum(last, len(stops) - 1)] == ends[1:] if len(stops) else np.zeros(len(words), bool)
+        cuts = [0, *(4 * (last + 1)).tolist()]
+        found = dict(zip(words, [joined[i:j] for i, j in zip(cuts, cuts[1:])]))
+        for unsound in np.flatnonzero(~(met & np.append(True, met[:-1]))).tolist():
+            alone.append(words[unsound])
+            found.pop(words[unsound], None)
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, counts = self.encode_all(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist())]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in sequence, and how many each text has."""
+        texts = texts.cast(pa.large_string())
+        apart = np.zeros(len(texts), bool)
+        for token in self.special:
+            apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not apart.any():
+            return self._encode_plain(texts)
+        ids, counts = self._encode_plain(pc.if_else(pa.array(apart), pa.scalar("", pa.large_string()), texts))
+        coded = super().encode(texts.filter(pa.array(apart)).to_pylist())
+        sizes = np.array([len(c) // 4 for c in coded], np.int64)
+        ids = np.insert(ids, np.repeat((np.cumsum(counts) - counts)[apart], sizes), np.frombuffer(b"".join(coded), np.int32))
+        counts[apart] = sizes
+        return ids, counts
+
+    def _encode_plain(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        base, size = int(bounds[0]), int(bounds[-1] - bounds[0])
+        if not size:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        part, bounds = data.slice(base, size), bounds - base
+        starts = piece_starts(np.frombuffer(part, np.uint8), bounds[:-1])
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, size)), part).dictionary_encode()
+        coded = self._looked_up(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+        which = pieces.indices.to_numpy()
+        begin = (np.cumsum(sizes, dtype=np.int64) - sizes)[which]
+        sizes = sizes[which]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        begin -= ends - sizes
+        at = np.repeat(begin, sizes)
+        at += np.arange(len(at))
+        before = np.concatenate([[0], ends])[np.searchsorted(starts, bounds)]
+        return np.frombuffer(b"".join(coded), np.int32)[at], np.diff(before)
+
+    def _looked_up(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, from the table or else from the library."""
+        coded = list(map(self.units.ids.get, distinct))
+        missing = [i for i, ids in enumerate(coded) if ids is None]
+        new = self.units.unknown({distinct[i] for i in missing})
+        self.units.add(self.learn(new))
+        for i in missing:
+            coded[i] = self.units.ids[distinct[i]]
+        self.units.drop(4 * bpe.SHORT, new)
+        return coded
+
+
+#: Texts that a task encodes together, in bytes.
+LOT = 16 << 20
+
+
+def _large_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to lots of about ``LOT`` bytes; a lot takes the batch that fills it whole."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+        if size >= LOT:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 @lru_cache(maxsize=4)
@@ -197,20 +324,18 @@ def write(frame: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     folder = output_folder(spark, "planes")
     rows = text_rows(frame, key, text).withColumn("key", F.col("key").cast("long"))
     dealt = rows.repartitionByRange(files or partitions(spark), "key").sortWithinPartitions("key")
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, place, writer, stream = library_vocabulary(path), TaskContext.get().partitionId(), None, None
-        for batch in batches:
-            if batch.num_rows and writer is None:
+        for lot in _large_lots(batches):
+            if writer is None:
                 system, root = opened(folder)
                 system.create_dir(root, recursive=True)
                 name = f"part-{place:05d}-{uuid.uuid4().hex}.planes"
                 stream = system.open_output_stream(f"{root}/{name}")
                 writer = PlaneWriter(stream, bits)
-            for keys, texts in text_lots(batch):
-                for one, ids in zip(keys.to_pylist(), words.encode(texts)):
-                    writer.add(one, ids + last)
+            ids, counts = words.encode_all(lot.column(1).chunk(0))
+            writer.add_all(lot.column(0).to_pylist(), np.insert(ids, np.cumsum(counts), end), counts + 1)
         if writer is not None:
             writer.close()
             stream.close()
