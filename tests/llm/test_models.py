@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -148,6 +149,40 @@ def test_learning_raises_the_probability():
     assert model.log_probability(events).sum() > before / 4
 
 
+def test_words_of_many_texts_are_looked_up_once(monkeypatch):
+    source = random.Random(2)
+    texts = [None, "", " ", "Ää A\u2003B\x1cC", *("".join(source.choices("aB é\t\n\x0b\x0c\r\x1c\u00a0漢.", k=source.randint(0, 25))) for _ in range(700)), ""]
+    batches = pa.table({"key": range(len(texts)), "text": pa.array(texts).fill_null("")}).to_batches(300)
+    asked = []
+    monkeypatch.setattr(maxent.Lexicon, "__getitem__", lambda self, word: asked.append(word) or dict.__getitem__(self, word))
+    ranked = [b"a", b"b", maxent.END]
+    numbering, wanted = maxent.Numbering(ranked), [[w.encode() for w in _tokens(t)] for t in texts]
+    keys, numbers, starts, bags = [], [], [], []
+    for some, *lot in maxent.spelled_lots(iter(batches)):
+        found, begin = numbering.of(*lot)
+        keys += some.to_pylist()
+        starts += (begin + len(numbers)).tolist()
+        numbers += found.tolist()
+        bags += [sorted(m) for m in maxent._bags(*lot, found >= maxent.UNKNOWN).to_pylist()]
+    assert keys == list(range(len(texts)))
+    assert numbers == [ranked.index(w) if w in ranked else maxent.UNKNOWN + maxent.tail_class(w) for one in wanted for w in one]
+    assert starts == [at for k, one in enumerate(wanted) for at in [sum(map(len, wanted[:k]))] * len(one)]
+    assert bags == [sorted(Counter(w for w in one if w not in ranked).items()) for one in wanted]
+    words = [w for w in asked if w != maxent.END]
+    assert len(words) == len(set(words)) == len({w for one in wanted for w in one} - {maxent.END})
+
+
+def test_sums_of_rows_are_those_of_reduceat():
+    source = np.random.default_rng(8)
+    for high in (1, 3, 40, 900, 60_000):
+        rows, gradient = source.integers(0, high, 3000) * source.integers(0, 2, 3000), source.normal(size=(3000, 32)).astype(np.float32)
+        order = np.argsort(rows, kind="stable")
+        which, first = np.unique(rows[order], return_index=True)
+        found, total = maxent.row_sums(rows, gradient)
+        by = np.argsort(found)
+        assert np.array_equal(found[by], which) and np.array_equal(total[by], np.add.reduceat(gradient[order], first, axis=0))
+
+
 def test_pipeline(spark, folder):
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import documents, empty
-from vintara.llm import bitplane, bpe
+from vintara.llm import bitplane, bpe, common
 from vintara.llm.queries import op2_bpe, op9_bitplane, table, tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -136,8 +136,9 @@ def test_lots_of_texts_keep_their_order(spark, folder, monkeypatch):
     small = docs.repartition(3)
     assert {tuple(r) for r in bitplane.read(bitplane.write(small, tokenizer_path(), files=5)).collect()} == whole
     batches = pa.table({"key": range(9), "text": ["ab"] * 9}).to_batches(2)
-    monkeypatch.setattr(bitplane, "LOT", 8)
-    assert [lot.column(0).to_pylist() for lot in bitplane._large_lots(iter(batches))] == [[0, 1, 2, 3], [4, 5, 6, 7], [8]]
+    assert [[k for b in lot for k in b.column(0).to_pylist()] for lot in common.large_lots(iter(batches), 8)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8]]
+    monkeypatch.setattr(bitplane, "LOT", 0)
+    assert {tuple(r) for r in bitplane.read(bitplane.write(docs, tokenizer_path(), files=2)).collect()} == whole
 
 
 def test_plane_files_of_odd_rows(spark):

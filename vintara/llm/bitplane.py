@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.llm import bpe
-from vintara.llm.common import opened, output_folder, partitions, stored, text_rows, with_workers
+from vintara.llm.common import large_lots, opened, output_folder, partitions, stored, text_rows, with_workers
 
 MAGIC = b"VTPLANE1"
 BLOCK = 65_536
@@ -294,20 +294,6 @@ class LibraryVocabulary(bpe.UnitTable):
 LOT = 16 << 20
 
 
-def _large_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined to lots of about ``LOT`` bytes; a lot takes the batch that fills it whole."""
-    held, size = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
-        if size >= LOT:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 @lru_cache(maxsize=4)
 def library_vocabulary(path: str) -> LibraryVocabulary:
     import os
@@ -327,7 +313,8 @@ def write(frame: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, place, writer, stream = library_vocabulary(path), TaskContext.get().partitionId(), None, None
-        for lot in _large_lots(batches):
+        for held in large_lots(batches, LOT):
+            lot = pa.Table.from_batches(held).combine_chunks()
             if writer is None:
                 system, root = opened(folder)
                 system.create_dir(root, recursive=True)

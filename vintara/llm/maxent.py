@@ -18,9 +18,7 @@ a null key are scored and not learned from; repeated rows count each time. An em
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.llm.common import remainder, stored, text_lots, text_rows, with_workers
+from vintara.llm.common import large_lots, lots, remainder, stored, text_rows, with_workers
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, MEMBERS, TAILS = 1024, 64, 16
@@ -41,6 +39,10 @@ KNOWN = 200_000
 REMEMBERED = 200_000
 ROUNDS, RATE, STEP = 2, 0.25, 8_192
 BLOCK = 4_096
+#: Tokens whose softmax is worked out together, and the most occurrences of a row that are summed one by one.
+PART, SELDOM = 1024, 8
+#: Texts that a task cuts into words together, in bytes.
+LOT = 16 << 20
 #: The end of a text; no word holds white space.
 END = b"\n"
 UNKNOWN = 1 << 30
@@ -52,10 +54,43 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word.rstrip(_ENDS)[-3:]) % TAILS
 
 
-def tokens(text: str) -> list[bytes]:
-    words = text.encode().lower().split()
-    words.append(END)
-    return words
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
+
+
+def spelled(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Many texts at once: the distinct words, the place among them of every word in sequence, and the words of each text; ends are left out."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    base, size = int(bounds[0]), int(bounds[-1] - bounds[0])
+    if not size:
+        return pa.array([], pa.binary()), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+    lower = np.frombuffer(data.slice(base, size).to_pybytes().lower(), np.uint8)
+    bounds = bounds - base
+    black = ~WHITE[lower]
+    first = black.copy()
+    first[1:] &= ~black[:-1]
+    begin = bounds[:-1][bounds[:-1] < size]
+    first[begin] = black[begin]
+    letters, starts = lower[black], np.flatnonzero(first[black])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(letters))), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), bounds))
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64), counts
+
+
+def spelled_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """What ``spelled`` gives for many batches, cut into their lots: keys, distinct words, places of the lot's words, words of each text."""
+    for held in large_lots(batches, LOT):
+        distinct, places, counts = spelled(pa.Table.from_batches(held).column(1).combine_chunks())
+        row, word = 0, 0
+        for batch in held:
+            for lot in lots(batch):
+                some = counts[row : row + lot.num_rows]
+                end = word + int(some.sum())
+                yield lot.column(0), distinct, places[word:end], some
+                row, word = row + lot.num_rows, end
 
 
 class Lexicon(dict):
@@ -121,31 +156,39 @@ class Model:
         return group, numbers, inside, outer, inner
 
     def chances(self, group, numbers, inside, outer, inner) -> tuple[np.ndarray, ...]:
-        """Softmax of the classes, and of the members for tokens in the head."""
-        a = self.outer[outer[0]]
-        for row in outer[1:]:
-            a += self.outer[row]
-        a += self.bias + self.shut
-        a -= a.max(axis=1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=1, keepdims=True)
+        """Exponentials and their sums, for the classes and for the members of tokens in the head, by parts that stay in the processor's cache."""
         at = np.flatnonzero(inside)
-        b = self.inner[inner[0, at]]
-        b += self.inner[inner[1, at]]
-        b += self.inner_bias[group[at]] + self.open[group[at]]
-        b -= b.max(axis=1, keepdims=True)
-        np.exp(b, out=b)
-        b /= b.sum(axis=1, keepdims=True)
-        return a, b, at
+        a, b = np.empty((len(group), CLASSES), np.float32), np.empty((len(at), MEMBERS), np.float32)
+        bias, inner_bias = self.bias + self.shut, self.inner_bias + self.open
+        a_sums = self._exponentials(a, [(self.outer, row) for row in outer], bias, None)
+        b_sums = self._exponentials(b, [(self.inner, row[at]) for row in inner], inner_bias, group[at])
+        return a, a_sums, b, b_sums, at
+
+    @staticmethod
+    def _exponentials(out: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], biases: np.ndarray, which: np.ndarray | None) -> np.ndarray:
+        sums = np.empty((len(out), 1), np.float32)
+        held = np.empty((PART, out.shape[1]), np.float32)
+        for lo in range(0, len(out), PART):
+            a = out[lo : lo + PART]
+            more = held[: len(a)]
+            (table, rows), *others = parts
+            np.take(table, rows[lo : lo + PART], axis=0, out=a, mode="clip")
+            for table, rows in others:
+                a += np.take(table, rows[lo : lo + PART], axis=0, out=more, mode="clip")
+            a += biases if which is None else np.take(biases, which[lo : lo + PART], axis=0, out=more, mode="clip")
+            a -= a.max(axis=1, keepdims=True)
+            np.exp(a, out=a)
+            a.sum(axis=1, keepdims=True, out=sums[lo : lo + PART])
+        return sums
 
     def log_probability(self, events: tuple[np.ndarray, ...]) -> np.ndarray:
         """log10 of the modelled part for each token, in steps of bounded size."""
         out = np.zeros(len(events[0]))
         for lo in range(0, len(out), STEP):
             group, numbers, inside, outer, inner = (e[..., lo : lo + STEP] for e in events)
-            a, b, at = self.chances(group, numbers, inside, outer, inner)
-            part = np.log10(np.maximum(a[np.arange(len(group)), group], 1e-30)).astype(float)
-            part[at] += np.log10(np.maximum(b[np.arange(len(at)), numbers[at] % MEMBERS], 1e-30))
+            a, a_sums, b, b_sums, at = self.chances(group, numbers, inside, outer, inner)
+            part = np.log10(np.maximum(a[np.arange(len(group)), group] / a_sums[:, 0], 1e-30)).astype(float)
+            part[at] += np.log10(np.maximum(b[np.arange(len(at)), numbers[at] % MEMBERS] / b_sums[:, 0], 1e-30))
             out[lo : lo + STEP] = part
         return out
 
@@ -153,10 +196,10 @@ class Model:
         """Gradient steps over tokens, each scaled by the gradients its row has seen."""
         for lo in range(0, len(events[0]), STEP):
             group, numbers, inside, outer, inner = (e[..., lo : lo + STEP] for e in events)
-            a, b, at = self.chances(group, numbers, inside, outer, inner)
-            np.negative(a, out=a)
+            a, a_sums, b, b_sums, at = self.chances(group, numbers, inside, outer, inner)
+            a /= -a_sums
             a[np.arange(len(group)), group] += 1
-            np.negative(b, out=b)
+            b /= -b_sums
             b[np.arange(len(at)), numbers[at] % MEMBERS] += 1
             for rows in outer:
                 self._step(self.outer, memory[0], rows, a)
@@ -169,48 +212,75 @@ class Model:
     def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         if not len(rows):
             return
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total = np.add.reduceat(gradient[order], first, axis=0)
-        which = ordered[first]
+        which, total = row_sums(rows, gradient)
         seen[which] += (total * total).mean(axis=1)
         table[which] += RATE * total / np.sqrt(seen[which] + 1.0)[:, None]
 
 
+def row_sums(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct row numbers, all below 65,536, and the sums of the gradients of each.
+
+    The sums are those of ``np.add.reduceat``, to the last bit. It takes rows that occur seldom by far too slowly, so these are summed
+    by their second, third, ... occurrences, many rows at once.
+    """
+    if not rows.any():
+        return np.zeros(1, np.int64), np.add.reduceat(gradient, [0], axis=0)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    times = np.diff(np.append(first, len(rows)))
+    by = np.argsort(-np.minimum(times, SELDOM + 1).astype(np.int8), kind="stable")
+    first, times = first[by], times[by]
+    many = int(np.count_nonzero(times > SELDOM))
+    total = np.empty((len(first), gradient.shape[1]), np.float32)
+    if many:
+        sizes = times[:many]
+        begin = np.cumsum(sizes) - sizes
+        places = np.repeat(first[:many] - begin, sizes) + np.arange(sizes.sum())
+        total[:many] = np.add.reduceat(gradient.take(order[places], axis=0, mode="clip"), begin, axis=0)
+    if many < len(first):
+        rest, start, times = total[many:], first[many:], times[many:]
+        gradient.take(order[start], axis=0, mode="clip", out=rest)
+        twice = int(np.count_nonzero(times > 1))
+        later = gradient.take(order[start[:twice] + 1], axis=0, mode="clip")
+        for k in range(2, SELDOM):
+            live = int(np.count_nonzero(times > k))
+            later[:live] += gradient.take(order[start[:live] + k], axis=0, mode="clip")
+        rest[:twice] += later
+    return ordered[first], total
+
+
 def _model(weights: np.ndarray, head: int, tails: np.ndarray) -> Model:
     model = Model(weights, head)
     model.tails = tails
     return model
 
 
-def _numbered(lexicon: Lexicon, texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    lexicon.trim()
-    words = [tokens(t) for t in texts]
-    sizes = [len(w) for w in words]
-    numbers = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return words, numbers, starts
+class Numbering:
+    """Numbers of tokens in lots; the distinct words of a run of lots are looked up once."""
+
+    def __init__(self, ranked: list[bytes]):
+        self.lexicon, self.distinct, self.numbers = Lexicon(ranked), None, None
+
+    def of(self, distinct: pa.Array, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all tokens, ends included, and for each token the place of its text's first one."""
+        if distinct is not self.distinct:
+            self.lexicon.trim()
+            words = distinct.to_numpy(zero_copy_only=False).tolist()
+            self.distinct, self.numbers = distinct, np.fromiter(map(self.lexicon.__getitem__, words), np.int64, len(words))
+        sizes = counts + 1
+        numbers = np.insert(self.numbers[places], np.cumsum(counts), self.lexicon[END])
+        return numbers, np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
     """Occurrences of every token in the texts (token, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
-
-        for batch in batches:
-            for _, texts in text_lots(batch):
-                for text in texts:
-                    held.update(tokens(text))
-                if len(held) > 2 * REMEMBERED:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+        for held in large_lots(batches, LOT):
+            distinct, places, counts = spelled(pa.Table.from_batches(held).column(1).combine_chunks())
+            times = np.append(np.bincount(places, minlength=len(distinct)), len(counts))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([distinct, pa.array([END], pa.binary())]), pa.array(times, pa.int64())], names=["token", "n"])
 
     return rows.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -262,14 +332,13 @@ def train(rows: DataFrame, sent, weights: np.ndarray) -> np.ndarray:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranked, head, tails = sent.value[:3]
-            lexicon, mine, seen = Lexicon(ranked), now.value.copy(), 0
+            numbering, mine, seen = Numbering(ranked), now.value.copy(), 0
             model = _model(mine, head, tails)
             memory = [np.zeros(shape[0], np.float32) for shape in Model.SHAPES]
-            for batch in batches:
-                for _, texts in text_lots(batch):
-                    _, numbers, starts = _numbered(lexicon, texts)
-                    model.learn(model.events(numbers, starts), memory)
-                    seen += len(numbers)
+            for _, *lot in spelled_lots(batches):
+                numbers, starts = numbering.of(*lot)
+                model.learn(model.events(numbers, starts), memory)
+                seen += len(numbers)
             if seen:
                 change = (mine - now.value) * np.float32(seen)
                 blocks = range(0, len(change), BLOCK)
@@ -301,6 +370,15 @@ def _added(rows: pa.Table) -> pa.Table:
                                 names=["block", "place", "change"])
 
 
+def _bags(distinct: pa.Array, places: np.ndarray, counts: np.ndarray, rare: np.ndarray) -> pa.MapArray:
+    """The rare tokens of each text and how often they occur in it; ``rare`` also has the ends, which may be rare themselves."""
+    words, width = pa.concat_arrays([distinct, pa.array([END], pa.binary())]), len(distinct) + 1
+    owner = np.repeat(np.arange(len(counts)), counts + 1)[rare]
+    found, times = np.unique(owner * width + np.insert(places, np.cumsum(counts), len(distinct))[rare], return_counts=True)
+    offsets = np.searchsorted(found, np.arange(len(counts) + 1) * width).astype(np.int32)
+    return pa.MapArray.from_arrays(offsets, words.take(pa.array(found % width)), pa.array(times, pa.int32()))
+
+
 def score(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = frame.sparkSession
@@ -320,26 +398,23 @@ def score(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, head, tails, logs, sizes = sent.value
-        lexicon, model, row = Lexicon(ranked), _model(weights.value, head, tails), TaskContext.get().partitionId() << 33
+        numbering, model, row = Numbering(ranked), _model(weights.value, head, tails), TaskContext.get().partitionId() << 33
         logs = logs if len(logs) else np.zeros(1)
-        for batch in batches:
-            for keys, texts in text_lots(batch):
-                words, numbers, starts = _numbered(lexicon, texts)
-                events = model.events(numbers, starts)
-                rare = numbers >= UNKNOWN
-                count = np.where(rare, 0.0, logs[np.where(rare, 0, numbers)])  # log10(c + 1)
-                part = model.log_probability(events)
-                part += np.where(events[2], 0.0, count - sizes[np.maximum(events[0] - HEADS, 0)])
-                ends = np.cumsum([len(w) for w in words])
-                begin = ends - [len(w) for w in words]
-                others = [Counter(w for w, r in zip(found, rare[a:b].tolist()) if r) if rare[a:b].any() else {} for found, a, b in zip(words, begin, ends)]
-                sums = [np.add.reduceat(x, begin) for x in (count, part, ~rare)]
-                bags = pa.MapArray.from_arrays(np.cumsum([0, *map(len, others)]).astype(np.int32), pa.array(list(chain.from_iterable(others)), pa.binary()),
-                                               pa.array(list(chain.from_iterable(o.values() for o in others)), pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(texts))), keys, pa.array(ends - begin, pa.int64()), pa.array(sums[2].astype(np.int64)),
-                     pa.array(sums[0]), pa.array(sums[1]), bags], names=["row", "key", "n_tokens", "n_known", "counted", "part", "rare"])
-                row += len(texts)
+        for keys, distinct, places, counts in spelled_lots(batches):
+            numbers, starts = numbering.of(distinct, places, counts)
+            events = model.events(numbers, starts)
+            rare = numbers >= UNKNOWN
+            count = np.where(rare, 0.0, logs[np.where(rare, 0, numbers)])  # log10(c + 1)
+            part = model.log_probability(events)
+            part += np.where(events[2], 0.0, count - sizes[np.maximum(events[0] - HEADS, 0)])
+            ends = np.cumsum(counts + 1)
+            begin = ends - counts - 1
+            sums = [np.add.reduceat(x, begin) for x in (count, part, ~rare)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + len(keys))), keys, pa.array(counts + 1, pa.int64()), pa.array(sums[2].astype(np.int64)),
+                 pa.array(sums[0]), pa.array(sums[1]), _bags(distinct, places, counts, rare)],
+                names=["row", "key", "n_tokens", "n_known", "counted", "part", "rare"])
+            row += len(keys)
 
     scored = stored(rows.mapInArrow(run, f"row long, key {kind}, n_tokens long, n_known long, counted double, part double, rare map<binary,int>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("token", "times"))
