@@ -197,6 +197,26 @@ def test_fingerprint_query(spark, folder):
     assert np.mean(near) > 0.15 and np.mean([n > 0 for n in near]) > 0.95
 
 
+def test_fingerprints_broadcast_no_table_that_grows(spark, monkeypatch):
+    plans, keep = {}, simhash.stored
+    told = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+
+    def seen(frame, name):
+        plans.setdefault(name, []).append(told(frame))
+        return keep(frame, name)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    monkeypatch.setattr(buckets, "stored", seen)
+    words = prose(90, 400).split()
+    near = [" ".join([*words[:n], f"other{n}", *words[n + 1:]]) for n in range(12)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate([*near, *(prose(200 + n, 60) for n in range(8))])], "doc_id long, text string")
+    found = simhash.compare(docs)
+    plans["result"] = [told(found)]
+    assert {"fingerprints", "tables", "heads", "live"} <= set(plans) and found.count() == 20
+    # Left out: "order" broadcasts a row per range, "edges" are links.
+    assert [n for n, ps in plans.items() if n not in ("order", "edges") and any("BroadcastHashJoin" in p for p in ps)] == []
+
+
 def test_wand_finds_all_above_the_least_score():
     source = np.random.default_rng(8)
     words = [f"w{n}" for n in range(60)]

@@ -6,7 +6,8 @@ and every bit votes with the term's weight for one or zero; the signs of the vot
 
 Search: a fingerprint is cut into ``BLOCKS`` blocks. Two fingerprints within the radius agree on at least ``BLOCKS - RADIUS`` blocks, so there is a table
 for each choice of that many blocks, keyed by their bits. Rows of a key are compared with its leaders (``buckets.roots``); equal fingerprints are one
-row throughout.
+row throughout. Tables that grow with the input are joined by merging sorted rows, by a hint: Spark sizes exploded and compressed rows too low and would broadcast them
+from the driver.
 
 Null texts are empty; a text without words has the fingerprint of zeros. A null key counts as the smallest key. Repeated rows give repeated rows; where a key has
 several texts, its neighbour sees the smallest. An empty table gives no rows.
@@ -102,11 +103,11 @@ def with_edited(frame: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     sizes = rows.groupBy("key").agg(F.max(F.length("text")).alias("n"))
     order = stored(neighbours(sizes), "order")
     needs = order.select(F.col("next").alias("key"), F.floor(F.col("n") / 3).cast("int").alias("need"), F.col("key").alias("to"))
-    asked = rows.join(order.select("key", "next"), "key")
-    given = rows.join(needs, "key").select("to", F.expr("left(text, need)").alias("piece")).groupBy("to").agg(F.min("piece").alias("piece"))
+    asked = rows.join(order.select("key", "next").hint("merge"), "key")
+    given = rows.join(needs.hint("merge"), "key").select("to", F.expr("left(text, need)").alias("piece")).groupBy("to").agg(F.min("piece").alias("piece"))
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.col("piece").substr(F.lit(1), third))
-    return asked.join(given, F.col("key") == F.col("to")).select("key", "next", "text", edited.alias("edited"))
+    return asked.join(given.hint("merge"), F.col("key") == F.col("to")).select("key", "next", "text", edited.alias("edited"))
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -119,10 +120,10 @@ def classes(prints: DataFrame) -> DataFrame:
     rows = stored(buckets.shared(distinct.select("doc", F.explode(F.array(*tables)).alias("bucket"))), "tables")
     side = lambda name: distinct.select(F.col("doc").alias(name), F.col("high").alias(f"{name}_high"), F.col("low").alias(f"{name}_low"))
     close = distance(("leader_high", "leader_low"), ("member_high", "member_low")) <= RADIUS
-    found = buckets.roots(rows, lambda pairs: pairs.join(side("member"), "member").join(side("leader"), "leader").where(close).select("a", "b"))
+    found = buckets.roots(rows, lambda pairs: pairs.join(side("member").hint("merge"), "member").join(side("leader").hint("merge"), "leader").where(close).select("a", "b"))
     if found is None:
         return distinct.select("high", "low", F.col("doc").alias("class_id"))
-    return distinct.join(found.select(F.col("key").alias("doc"), "root"), "doc", "left").select("high", "low", F.coalesce("root", "doc").alias("class_id"))
+    return distinct.join(found.select(F.col("key").alias("doc"), "root").hint("merge"), "doc", "left").select("high", "low", F.coalesce("root", "doc").alias("class_id"))
 
 
 def compare(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,8 +138,9 @@ def compare(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     own, edited = prints.where("kind = 0").drop("kind"), prints.where("kind = 1").select(
         "key", "i", "j", "edited_sha256", F.col("high").alias("edited_high"), F.col("low").alias("edited_low"))
     least = own.groupBy(F.col("key").alias("next")).agg(F.min(F.struct("high", "low")).alias("to"))
-    pairs = own.join(edited, ["key", "i", "j", "edited_sha256"]).join(least.select("next", F.col("to.high").alias("next_high"), F.col("to.low").alias("next_low")), "next")
-    named = pairs.join(classes(own), ["high", "low"])
+    least = least.select("next", F.col("to.high").alias("next_high"), F.col("to.low").alias("next_low"))
+    pairs = own.join(edited.hint("merge"), ["key", "i", "j", "edited_sha256"]).join(least.hint("merge"), "next")
+    named = pairs.join(classes(own).hint("merge"), ["high", "low"])
     here = ("high", "low")
     return named.select(
         F.when(F.col("key") != LEAST, F.col("key")).alias(key), "n_chars", "edited_sha256", text_form(*here).alias("fingerprint"),
