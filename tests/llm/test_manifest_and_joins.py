@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import WORDS, documents, empty, prose
-from vintara.llm import merkle, shingle_rtree, spelling
+from vintara.llm import common, merkle, shingle_rtree, spelling
 
 
 def _h(text):
@@ -223,6 +224,38 @@ def test_components_of_near_copies(spark, monkeypatch):
     assert 8 < len({c for _, _, c in found}) < len(found) - 40
 
 
+def test_components_leave_no_shuffle_files(spark):
+    store = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {n for n in (str(f.getName()) for f in iter_of(store.getAllFiles())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    def iter_of(files):
+        return [files.apply(i) for i in range(files.size())]
+
+    before = shuffles()
+    docs = spark.createDataFrame([(n, prose(400 + n // 3, 60)) for n in range(60)], "doc_id long, text string")
+    shingle_rtree.components(docs)
+    until = time.time() + 10
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("slices", (1, 3))
+def test_components_are_the_same_in_any_number_of_slices(spark, monkeypatch, slices):
+    words = prose(500, 200).split()
+    near = [" ".join([*words[:n], f"other{n}", *words[n + 1:]]) for n in range(9)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate([*near, near[0], None, *(prose(510 + n, 50) for n in range(6))])], "doc_id long, text string")
+    seen, keep = [], common.stored
+    monkeypatch.setattr(common, "SLICES", slices)
+    monkeypatch.setattr(common, "stored", lambda frame, name: seen.append(name) or keep(frame, name))
+    found = {r["doc_id"]: r["component_id"] for r in shingle_rtree.components(docs).collect()}
+    assert found == {**dict.fromkeys(range(10), 0), **{n: n for n in range(10, 17)}}
+    assert seen.count("met_in") == seen.count("sets") == slices
+
+
 def test_linked_sets_share_a_bucket():
     source = np.random.default_rng(4)
     met = 0
