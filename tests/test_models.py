@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import connect, difference
-from vintara.operators import hazard, selection
+from vintara.operators import hazard, newton as solver, selection
 from vintara.operators.design import fit_spec, loans_with_months
 from vintara.operators.newton import weighted_sums as newton_sums
 from vintara.plans import catalog
@@ -78,6 +78,37 @@ def test_knot_study_likelihoods_equal_an_independent_solver(spark, folder):
         assert row["bic_by_rows"] == pytest.approx(-2 * likelihood + row["parameters"] * math.log(len(x)), abs=0.05)
 
 
+def test_knot_counts_share_their_passes(spark, folder, monkeypatch):
+    calls, sums = [], solver._sums
+    monkeypatch.setattr(solver, "_sums", lambda *a, **k: calls.append(1) or sums(*a, **k))
+    panel = queries.training_panel(spark, folder)
+    one = [tuple(r) for r in selection.knot_study(panel, S, knot_counts=(9,)).collect()]
+    alone = len(calls)
+    both = [tuple(r) for r in selection.knot_study(panel, S, knot_counts=(6, 9, 16)).collect()]
+    assert len(calls) - alone < 2 * alone
+    assert [r[0] for r in both] == [6, 9, 16] and both[1] == pytest.approx(one[0], rel=1e-9, abs=1e-9)
+
+
+def test_months_of_a_loan_are_encoded_once_in_any_order(spark, folder):
+    panel = queries.training_panel(spark, folder)
+    spec = fit_spec(loans_with_months(panel), S)
+    rows = panel.select(*spec.compact(), F.col("default_event").cast("double").alias("y"))
+    batch = rows.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    ages, loans = spec.factors()(batch)
+    assert len(loans[0]) < 0.6 * batch.num_rows and len(ages[0]) <= S.horizon + 1
+    assert np.array_equal(np.hstack([ages[0][ages[1]], loans[0][loans[1]]]), spec.encoder()(batch))
+    width = len(spec.names)
+    point = np.linspace(-0.5, 0.5, 1 + width)
+    plain = solver.Problem(spec.encoder(), "y", 0.1, width)
+    factored = solver.Problem(spec.factors(), "y", 0.1, width)
+    expected, = solver._sums(rows, [plain], [point])
+    for found in (*solver._sums(rows, [factored], [point]), *solver._sums(rows.orderBy(F.rand(3)), [factored], [point])):
+        assert np.allclose(found, expected, rtol=1e-9, atol=1e-7)
+    kept, = solver.varying(rows, [spec.factors()], [width])
+    x = spec.encoder()(batch)
+    assert kept == np.flatnonzero(x.min(axis=0) < x.max(axis=0)).tolist()
+
+
 def test_a_wrong_model_breaks_its_score_equations(spark, folder):
     fitted = queries.fitted(spark, folder)
     shifted = replace(fitted.causes["default"], intercept=fitted.causes["default"].intercept + 0.1)

@@ -56,35 +56,61 @@ class DesignSpec:
 
         The same values as ``columns``, many rows at a time; it needs nothing but numpy where it runs.
         """
+        tables = self.factors(kept)
+        kept = len(self.names) if kept is None else len(kept)
+
+        def encode(batch) -> np.ndarray:
+            return np.hstack([np.empty((batch.num_rows, 0)), *(table[place] for table, place in tables(batch))])
+
+        if not kept:
+            return lambda batch: np.empty((batch.num_rows, 0))
+        return encode
+
+    def factors(self, kept: Sequence[int] | None = None) -> Callable:
+        """Like ``encoder``, in two factors: an array per distinct age and one per run of equal loans, each with every row's place in it.
+
+        ``kept`` is ascending. A loan's months follow each other in the panel; where they do not, its runs are more and shorter.
+        """
         age = self.age.evaluator() if self.age else None
         splines = [(s.evaluator(), self.medians[c]) for c, s in self.splines.items()]
         linear = [(mean, deviation, self.medians[c]) for c, (mean, deviation) in self.linear.items()]
         sizes = [len(levels) for levels in self.levels.values()]
+        first, count = int(age is not None), len(splines) + len(linear) + len(sizes)
         kept = list(range(len(self.names)) if kept is None else kept)
+        by_age = [i for i in kept if i < self.age_width]
+        by_loan = [i - self.age_width for i in kept if i >= self.age_width]
 
-        def encode(batch) -> np.ndarray:
-            blocks, read = [], iter(range(batch.num_columns))
-
-            def numbers() -> tuple[np.ndarray, np.ndarray]:
-                column = batch.column(f"_d{next(read)}")
-                missing = column.is_null().to_numpy(zero_copy_only=False)
-                return column.to_numpy(zero_copy_only=False).astype(float), missing
-
-            if age:
-                blocks.append(age(numbers()[0]))
+        def loan_table(columns: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+            blocks, read = [], iter(columns)
             for basis, median in splines:
-                value, missing = numbers()
+                value, missing = next(read)
                 blocks += [basis(np.where(missing, median, value)), missing[:, None]]
             for mean, deviation, median in linear:
-                value, missing = numbers()
+                value, missing = next(read)
                 blocks += [((np.where(missing, median, value) - mean) / deviation)[:, None], missing[:, None]]
             for size in sizes:
                 # Levels are numbered from one; the first is the base, zero stands for all others.
-                level = numbers()[0][:, None]
+                level = next(read)[0][:, None]
                 blocks.append(level == np.array([*range(2, size + 1), 0]))
-            return np.hstack([np.empty((batch.num_rows, 0)), *blocks])[:, kept]
+            return np.hstack([np.empty((rows, 0)), *blocks])[:, by_loan]
 
-        return encode
+        def tables(batch) -> list[tuple[np.ndarray, np.ndarray]]:
+            columns, begins = [], np.zeros(batch.num_rows, bool)
+            begins[:1] = True
+            for position in range(first, first + count):
+                column = batch.column(f"_d{position}")
+                missing = column.is_null().to_numpy(zero_copy_only=False)
+                value = column.fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+                begins[1:] |= (value[1:] != value[:-1]) | (missing[1:] != missing[:-1])
+                columns.append((value, missing))
+            starts = np.flatnonzero(begins)
+            out = [(loan_table([(v[starts], m[starts]) for v, m in columns], len(starts)), np.cumsum(begins) - 1)]
+            if age:
+                ages, place = np.unique(batch.column("_d0").to_numpy(zero_copy_only=False).astype(float), return_inverse=True)
+                out.insert(0, (age(ages)[:, by_age], place))
+            return out
+
+        return tables
 
     def columns(self) -> list[Column]:
         """Design columns in the order of ``names``."""
@@ -297,6 +323,11 @@ def fit_spec(loans: DataFrame, settings: Settings, include_age: bool = True) ->
 
     ``loans`` is the result of ``loans_with_months`` on the training panel.
     """
+    return fit_specs(loans, settings, [settings.age_knots], include_age)[0]
+
+
+def fit_specs(loans: DataFrame, settings: Settings, knot_counts: Sequence[int], include_age: bool = True) -> list[DesignSpec]:
+    """``fit_spec`` for several knot counts, which differ in nothing but the knots, from the same passes."""
     numeric = [*settings.spline_columns, *settings.linear_columns]
     wanted = [*numeric, *settings.categorical_columns]
     present = [c for c in wanted if source_of(c) in loans.columns]
@@ -315,9 +346,10 @@ def fit_spec(loans: DataFrame, settings: Settings, include_age: bool = True) ->
     linear = [c for c in settings.linear_columns if c not in dropped]
     medians = {r["column"]: r["quantiles"][0] for r in middles if r["column"] not in dropped}
     filled = {c: F.coalesce(raw[c], F.lit(medians[c])) for c in (*splined, *linear)}
-    steps = even_steps(settings.age_knots - 1)
+    steps = [even_steps(count - 1) for count in knot_counts]
+    ends = np.cumsum([0, *map(len, steps)]).tolist()
     placed, moments = together(
-        lambda: numeric_quantiles(loans, {c: filled[c] for c in splined}, steps).collect()
+        lambda: numeric_quantiles(loans, {c: filled[c] for c in splined}, sum(steps, [])).collect()
         if splined else nothing,
         lambda: numeric_moments(loans, {c: filled[c] for c in linear}).collect() if linear else nothing,
     )
@@ -334,11 +366,14 @@ def fit_spec(loans: DataFrame, settings: Settings, include_age: bool = True) ->
             dropped[c] = f"fewer than two levels reach the {settings.min_level_share:.1%} floor"
         else:
             levels[c] = found
-    return DesignSpec(
-        age=Spline.uniform(0.0, float(settings.horizon), settings.age_knots) if include_age else None,
-        splines={c: Spline.at(knots[c]) for c in splined},
-        linear={c: scales[c] for c in linear},
-        medians=medians,
-        levels=levels,
-        dropped=dropped,
-    )
+    return [
+        DesignSpec(
+            age=Spline.uniform(0.0, float(settings.horizon), count) if include_age else None,
+            splines={c: Spline.at(knots[c][start:end]) for c in splined},
+            linear={c: scales[c] for c in linear},
+            medians=medians,
+            levels=levels,
+            dropped=dropped,
+        )
+        for count, start, end in zip(knot_counts, ends[:-1], ends[1:])
+    ]

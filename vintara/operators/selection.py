@@ -8,8 +8,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintara.operators.hazard import EVENTS, fit_logits, fitting_matrix
-from vintara.operators.design import fit_spec, loans_with_months
+from vintara.operators.design import fit_specs, loans_with_months
+from vintara.operators.hazard import EVENTS, fitting_matrices, model_of, problems_of
+from vintara.operators.newton import fit_all, log_likelihoods
 from vintara.settings import Settings
 
 
@@ -17,17 +18,16 @@ def knot_study(
     panel: DataFrame, settings: Settings, cause: str = "default",
     knot_counts: tuple[int, ...] = (6, 9, 12, 16),
 ) -> DataFrame:
-    """Refit one cause per knot count and score the fits by two BIC variants."""
+    """Refit one cause per knot count and score the fits by two BIC variants; all counts share their passes."""
     event, table, loans = EVENTS[cause], [], loans_with_months(panel)
-    for knots in knot_counts:
-        candidate = replace(settings, age_knots=knots)
-        spec = fit_spec(loans, candidate)
-        with fitting_matrix(panel, loans, spec, {event: F.col(event)}) as (held, varying, rows):
-            fitted, = fit_logits(held, [event], spec, candidate, varying, rows)
-        p, y = F.col("_p"), F.col(event)
-        likelihood = panel.withColumn("_p", fitted.probability()).agg(
-            F.sum(F.when(y, F.ln(p)).otherwise(F.log1p(-p))).alias("ll")
-        ).first()["ll"]
+    # Every count is checked as a setting.
+    specs = fit_specs(loans, settings, [replace(settings, age_knots=knots).age_knots for knots in knot_counts])
+    with fitting_matrices(panel, loans, specs, {event: F.col(event)}) as (held, kept, rows):
+        problems, (events,) = problems_of(held, [event], specs, settings, kept, rows)
+        fits = fit_all(held, problems, settings)
+        likelihoods = log_likelihoods(held, problems, fits)
+    for knots, spec, positions, fit, likelihood in zip(knot_counts, specs, kept, fits, likelihoods):
+        fitted = model_of(spec, positions, rows, events, fit, settings, event)
         size = len(fitted.coefficients) + 1
         table.append(
             (
